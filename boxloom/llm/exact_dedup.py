@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, checkpointed
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -43,26 +43,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = exact_groups(docs, id_col, text_col, salts)
     # Different texts under one digest: counted on digests alone; the texts travel no further than the global combine.
-    found = groups.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n_bodies"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+    found = checkpointed(
+        groups.groupBy("digest").agg(
+            F.count(F.lit(1)).alias("n_bodies"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+        )
     )
     members = docs.select(
         F.col(id_col).alias("doc_id"),
         F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), 256).alias("digest"),
     )
-    alone = members.join(found.where("n_bodies = 1"), "digest").select("doc_id", "keep_id", "group_size", "digest")
-
-    # A digest with several texts: compare whole texts again. There is practically never a row on this path.
+    every = members.join(found.where("n_bodies = 1"), "digest").select("doc_id", "keep_id", "group_size", "digest")
     shared = found.where("n_bodies > 1").select("digest")
-    bodies = docs.select(
-        F.col(id_col).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ").alias("body")
-    ).withColumn("digest", F.sha2("body", 256))
-    rest = (
-        bodies.join(shared, "digest", "left_semi")
-        .join(groups.join(shared, "digest", "left_semi"), ["digest", "body"])
-        .select("doc_id", "keep_id", "group_size", "digest")
-    )
-    return alone.unionByName(rest).select(
+    if not shared.isEmpty():  # two texts share a digest: their members compare whole texts again
+        bodies = docs.select(
+            F.col(id_col).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ").alias("body")
+        ).withColumn("digest", F.sha2("body", 256))
+        rest = bodies.join(shared, "digest", "left_semi").join(groups.join(shared, "digest", "left_semi"), ["digest", "body"])
+        every = every.unionByName(rest.select("doc_id", "keep_id", "group_size", "digest"))
+    return every.select(
         "doc_id",
         "keep_id",
         "group_size",
