@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import held_out, read_table
 from .exact_dedup import exact_dedup
 from .kneser_ney import lm_query
+from .line_templates import line_query
 from .packing import pack_documents
+from .piece_nbest import piece_query
 from .quality import quality_query
 from .secret_scan import secret_query
 from .simhash import simhash_query
@@ -24,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_query(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -32,6 +38,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_query(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_query(read_table(spark, sf_dir, "documents"))
 
@@ -57,8 +67,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_piece_nbest": op4_piece_nbest,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,

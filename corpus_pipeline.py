@@ -1,10 +1,88 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Quality classifier (rejected documents go), line dedup, SimHash near-dedup (one document of each group stays), secret
+scan (spans are replaced), best-fit packing. Each stage is a function of (spark, docs, sf_dir) whose result is written
+as Parquet and read again as the next stage's docs; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boxloom.llm.common import checkpoint_dir, held_out, read_table, row_key
+from boxloom.llm.line_templates import drop_recurring_lines
+from boxloom.llm.packing import pack_documents
+from boxloom.llm.quality import score_quality, train_quality
+from boxloom.llm.queries import tokenizer_path
+from boxloom.llm.secret_scan import redact, scan_secrets
+from boxloom.llm.simhash import simhash_components
+
+
+def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of docs, with n_chars, where there is one, counted anew."""
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives at least 0.3."""
+    model = train_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 0))
+    return score_quality(docs, model, score_col="__score").where("__score >= 0.3").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts without lines of recurring templates, but for the first occurrence of each."""
+    return _columns(docs, drop_recurring_lines(docs))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id. Rows without an id stay."""
+    groups = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(groups, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts with every secret replaced by a mark. Only documents with a secret are joined to their spans."""
+    found = scan_secrets(docs, key=row_key("doc_id", "text")).where("size(spans) > 0").select("key", "spans").dropDuplicates(["key"])
+
+    def replaced(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in parts:
+            yield pd.Series([t if s is None else redact(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
+
+    joined = docs.withColumn("__key", row_key("doc_id", "text")).join(found.withColumnsRenamed({"key": "__key", "spans": "__spans"}), "__key", "left")
+    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.pandas_udf(replaced, "string")("text", F.coalesce("__spans", F.expr("array()").cast("array<struct<start:int,end:int,kind:string>>"))))
+    return _columns(docs, joined.withColumn("text", clean))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens: a row per piece."""
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("simhash near-dedup", near_dedup_stage),
+    ("secret scan", secret_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Trained models and hashes of shingles are beyond SQL; a test holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
