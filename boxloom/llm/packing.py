@@ -14,9 +14,11 @@ Spark tasks. No piece, document or sequence passes through the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,49 +32,85 @@ from .common import checkpointed, shuffle_partitions
 TRAIL = b".,!*&#$%;:?)|"
 
 
-class WordIds(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of the parts of a text between ASCII white space.
+#: Stands between words when many are encoded as one text; the tokenizer makes one token of it.
+MARK = b"\x01"
 
-    White space is dropped before the merges and no token spans it, so a text's ids are its words' ids in order. The
-    cache is bounded: beyond ``most`` words it starts anew.
+
+#: Words that the normaliser leaves alone and the splitter keeps whole, once A-Z are lower-cased.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
+
+
+class WordIds:
+    """Ids, as little-endian unsigned 32-bit bytes, of whole texts.
+
+    The tokenizer drops white space before its merges and no token spans it, so a text's ids are those of its words in
+    order. Each distinct word is encoded once; the cache is bounded and starts anew beyond ``most`` entries. Plain words
+    skip the tokenizer's normaliser and pattern, which would leave them as they are.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that all the words are known."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        cores = set()
-        for w in new:
-            lower = w if b"<|" in w else w.lower()
-            core = lower.rstrip(TRAIL)
-            if core == lower or not core[-1:].isalnum():
-                core = lower
-            parts[w] = core, lower[len(core) :]
-            cores.update(x for x in parts[w] if x and x not in self)
-        todo = list(cores)
-        for i in range(0, len(todo), 4096):
-            some = todo[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
-        self[b""] = b""
-        for w, (core, trail) in parts.items():
-            self[w] = self[core] + self[trail]
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            self.learn(set(words))
-            return b"".join([self[w] for w in words])
+    def __init__(self, path: str, most: int = 500_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[bytes, bytes] = {b"": b""}
+        mark = self.raw(MARK)
+        self.mark = int(np.frombuffer(mark, "<u4")[0]) if len(mark) == 4 else None
+
+    def raw(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def learn(self, tokenizer, words: list[bytes], block: int = 2000) -> None:
+        """Encode words that aren't known, many at a time as one text with marks between them."""
+        for i in range(0, len(words), block):
+            some = words[i : i + block]
+            text = (b" " + MARK + b" ").join(some).decode("utf-8", "replace")
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else np.zeros(0, dtype=int)
+            if len(cuts) != len(some) - 1:  # a word holds the mark
+                self.known.update((w, self.raw(w)) for w in some)
+                continue
+            body = ids.tobytes()
+            at = [-4, *(cuts * 4).tolist(), len(body)]
+            self.known.update((w, body[x + 4 : y]) for w, x, y in zip(some, at, at[1:]))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; texts that repeat are encoded once."""
+        distinct = dict.fromkeys(texts)
+        split = [t.split() for t in distinct]
+        words = list(set().union(*split))
+        special = any(b"<|" in t for t in distinct)  # lower-casing could make a special token of a word
+        lower = [w if special and b"<|" in w else w.lower() for w in words]
+        cores = [w.rstrip(TRAIL) for w in lower]
+        cores = [c if c and c[-1] in ALNUM else w for c, w in zip(cores, lower)]
+        if len(self.known) > self.most:
+            self.known = {b"": b""}
+        trails = [w[len(c) :] for c, w in zip(cores, lower)]
+        new = [c for c in {*cores, *trails} if c not in self.known]
+        plain = [PLAIN.fullmatch(c.decode("utf-8", "replace")) is not None for c in new]
+        self.learn(self.plain, [c for c, p in zip(new, plain) if p])
+        self.learn(self.tokenizer, [c for c, p in zip(new, plain) if not p])
+        known = self.known
+        of = {w: known[c] + known[t] for w, c, t in zip(words, cores, trails)}
+        for t, own in zip(distinct, split):
+            distinct[t] = b"".join([of[w] for w in own])
+        return [distinct[t] for t in texts]
+
+
+def groups(texts: list[bytes], most: int = 16_000_000) -> Iterator[list[bytes]]:
+    """The texts in order, some megabytes at a time."""
+    own, size = [], 0
+    for t in texts:
+        own.append(t)
+        size += len(t)
+        if size >= most:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,8 +121,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: dict[str, list] = defaultdict(list)
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = ids_of((text.as_py() or "").encode("utf-8", "replace")) + end
+            texts = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(1)]
+            every = (ids + end for some in groups(texts) for ids in ids_of.encode(some))
+            for doc_id, ids in zip(batch.column(0), every):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows["doc_id"].append(doc_id.as_py())
