@@ -35,7 +35,7 @@ from .common import checkpoint_dir, shuffle_partitions
 
 #: Hashes of the start and the end, apart from any word's.
 START, END = np.uint64(xxhash.xxh64_intdigest(b"\0start")), np.uint64(xxhash.xxh64_intdigest(b"\0end"))
-SLICE = 400_000
+SLICE = 800_000
 WORD_FIELDS = ("c", "cont", "n1", "n2", "n3")
 
 
@@ -99,6 +99,18 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(own, f"{folder}/{name}.npy")
 
 
+def packed(h: np.ndarray) -> bytes:
+    """Sorted hashes as compressed differences, byte planes apart."""
+    planes = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return len(h).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    planes = np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def narrow(counts: np.ndarray) -> np.ndarray:
     most = counts.max(initial=0)
     return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint64)
@@ -184,9 +196,6 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
     blobs = pa.schema([("range", pa.int32())] + [(f"b{k}", pa.binary()) for k in range(4)])
     kinds = "range int, b0 binary, b1 binary, b2 binary, b3 binary"
 
-    def row(r: int, *arrays: np.ndarray) -> tuple:
-        return (int(r), *[a.tobytes() for a in arrays], *[b""] * (4 - len(arrays)))
-
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({n: [x[i] for x in rows] for i, n in enumerate(blobs.names)}, schema=blobs)
 
@@ -204,7 +213,7 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
                     uv, iv = np.unique(v[own], return_inverse=True)  # each hash once; the bigrams refer to it
                     uw, iw = np.unique(w[own], return_inverse=True)
                     index = np.concatenate((iv, iw, n[own])).astype(np.uint32)
-                    rows.append((int(r), uv.tobytes(), uw.tobytes(), pa.compress(index.tobytes(), codec="zstd", asbytes=True), str(len(index)).encode()))
+                    rows.append((int(r), packed(uv), packed(uw), pa.compress(index.tobytes(), codec="zstd", asbytes=True), str(len(index)).encode()))
                 yield batch(rows)
 
     def bigrams(table: pa.Table) -> pa.Table:
@@ -212,7 +221,7 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
         parts = []
         for b0, b1, b2, b3 in zip(*[table.column(f"b{k}").to_pylist() for k in range(4)]):
             iv, iw, n = np.frombuffer(pa.decompress(b2, 4 * int(b3), codec="zstd", asbytes=True), np.uint32).reshape(3, -1)
-            parts.append((np.frombuffer(b0, np.uint64)[iv], np.frombuffer(b1, np.uint64)[iw], n))
+            parts.append((unpacked(b0)[iv], unpacked(b1)[iw], n))
         v, w, n = (np.concatenate(x) for x in zip(*parts))
         keys, n, first = sum_by(mix(v, w), n.astype(np.int64))
         v, w = v[first], w[first]
@@ -231,7 +240,7 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
             own = slice(cuts[q], cuts[q + 1])
             if cuts[q] < cuts[q + 1] or q == r:
                 raw = sums[own].T.astype(np.uint64).tobytes()
-                rows.append((q, words[own].tobytes(), pa.compress(raw, codec="zstd", asbytes=True), str(len(raw)).encode(), totals.tobytes() if q == r else b""))
+                rows.append((q, packed(words[own]), pa.compress(raw, codec="zstd", asbytes=True), str(len(raw)).encode(), totals.tobytes() if q == r else b""))
         return pa.Table.from_batches([batch(rows)])
 
     names = ["range", "words", "tokens", "types", "docs", *[f"u{k}" for k in range(1, 5)], *[f"t{k}" for k in range(1, 5)]]
@@ -241,7 +250,7 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
         keys, values, totals = [], [], np.zeros(4, dtype=np.int64)
         for b0, b1, b2, b3 in zip(*[table.column(f"b{k}").to_pylist() for k in range(4)]):
             raw = pa.decompress(b1, int(b2), codec="zstd", asbytes=True) if int(b2) else b""
-            keys.append(np.frombuffer(b0, np.uint64))
+            keys.append(unpacked(b0))
             values.append(np.frombuffer(raw, np.uint64).reshape(5, -1).T.astype(np.int64))
             totals += np.frombuffer(b3, np.int64) if b3 else 0
         h, sums, _ = sum_by(np.concatenate(keys), np.concatenate(values))
