@@ -58,7 +58,7 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
     text = docs.select("key", "id", F.col(text_col).alias("text"))
     lines = checkpointed(text.mapInArrow(parse, "key long, id long, n int, leaf long, line long"))
     once = lines.groupBy("leaf", "key").agg(F.lit(1).alias("x")).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
-    common = once.where(F.col("docs") >= min_docs).select("leaf")
+    common = checkpointed(once.where(F.col("docs") >= min_docs).select("leaf"))  # apart from its aggregate, so that the join can split a hot leaf
     # each distinct line of a common leaf: its documents, and where it stands first
     ours = checkpointed(lines.join(common, "leaf", "left_semi"))
     distinct = (
