@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W, H = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+
+def sides() -> tuple[Column, Column]:
+    return F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
 
 
 def filter_confidence(det: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
@@ -17,11 +19,13 @@ def filter_confidence(det: DataFrame, threshold: float, strict: bool = True) ->
 def filter_large(det: DataFrame, images: DataFrame, side: float = 0.9, area: float = 0.8) -> DataFrame:
     """Without boxes wider or higher than the share of the image's side, or larger than the share of its area."""
     j = det.join(images, "image_id")
-    return j.where((W / F.col("width") <= side) & (H / F.col("height") <= side) & (W * H / (F.col("width") * F.col("height")) <= area)).select(*det.columns)
+    w, h = sides()
+    return j.where((w / F.col("width") <= side) & (h / F.col("height") <= side) & (w * h / (F.col("width") * F.col("height")) <= area)).select(*det.columns)
 
 
 def filter_small(det: DataFrame, least: float = 30) -> DataFrame:
-    return det.where((W >= least) | (H >= least))
+    w, h = sides()
+    return det.where((w >= least) | (h >= least))
 
 
 def filter_classes(det: DataFrame, classes: Sequence[str], column: str = "label") -> DataFrame:

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import elapsed
 
-VIDEO = Window.partitionBy("video_id").orderBy("frame_idx")
+
+def in_order():
+    """A video's frames in order."""
+    return Window.partitionBy("video_id").orderBy("frame_idx")
+
+
 #: Time formats tried in order.
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss")
 
 
 def with_diff(frames: DataFrame) -> DataFrame:
     """Column diff: the mean absolute gray difference from the previous frame, null for the first."""
-    before = F.lag("gray").over(VIDEO)
+    before = F.lag("gray").over(in_order())
     total = F.aggregate(F.zip_with("gray", before, lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
     return frames.withColumn("diff", F.when(before.isNotNull(), total.cast("double") / F.size("gray")))
 
@@ -42,7 +47,7 @@ def keyframes_both(frames: DataFrame, fps: float = 10.0, threshold: float = 5.0,
 
 def sample_every_n(frames: DataFrame, n: int = 30) -> DataFrame:
     """Every n-th frame with a consecutive number."""
-    return frames.where(F.col("frame_idx") % n == 0).withColumn("out_idx", F.row_number().over(VIDEO) - 1)
+    return frames.where(F.col("frame_idx") % n == 0).withColumn("out_idx", F.row_number().over(in_order()) - 1)
 
 
 def with_timestamps(frames: DataFrame, fps: float = 10.0) -> DataFrame:
@@ -61,14 +66,14 @@ def frame_creation_time(text: Column, seconds: Column) -> Column:
 
 def rolling_latency(frames: DataFrame, last: int = 30) -> DataFrame:
     """Mean, least and most of each camera's last so many times, and the frames a second that the mean allows."""
-    w = VIDEO.rowsBetween(1 - last, 0)
+    w = in_order().rowsBetween(1 - last, 0)
     mean = F.avg("infer_ms").over(w)
     return frames.select("video_id", "frame_idx", mean.alias("avg_ms"), F.min("infer_ms").over(w).alias("min_ms"), F.max("infer_ms").over(w).alias("max_ms"), F.when(mean > 0, 1000 / mean).alias("fps"))
 
 
 def in_batches(frames: DataFrame, size: int = 4) -> DataFrame:
     """Column batch: consecutive groups of so many frames of a video, and the rest."""
-    return frames.withColumn("batch", F.floor((F.row_number().over(VIDEO) - 1) / size).cast("long"))
+    return frames.withColumn("batch", F.floor((F.row_number().over(in_order()) - 1) / size).cast("long"))
 
 
 def refine_boxes(boxes: DataFrame, pixels: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,10 @@ from . import sqlparts as s
 from .fixtures import oracle
 from .registry import query
 
-W, H = F.col("width"), F.col("height")
+
+def size():
+    """Width and height of the image, as doubles."""
+    return F.col("width").cast("double"), F.col("height").cast("double")
 
 
 def sized(t):
@@ -25,7 +28,7 @@ SELECT det_id, x2-x1 AS bw, y2-y1 AS bh, round((x1+(x2-x1)/2)/640, 9) AS ncx, ro
   round((y2-y1)/480, 9) AS nh, round(x1/640*100, 9) AS px, round((x2-x1)/640*100, 9) AS pw FROM det"""))
 def box_convert(t):
     d, b = sized(t), g.box()
-    yolo, pct, wh = g.to_yolo(b, W, H), g.to_percent(b, W, H), g.to_xywh(b)
+    yolo, pct, wh = g.to_yolo(b, *size()), g.to_percent(b, *size()), g.to_xywh(b)
     return d.select("det_id", wh[2].alias("bw"), wh[3].alias("bh"), *rounded(yolo, ("ncx", "ncy", "nw", "nh"), 9), F.round(pct[0], 9).alias("px"), F.round(pct[2], 9).alias("pw"))
 
 
@@ -33,7 +36,7 @@ def box_convert(t):
 def box_convert_back(t):
     """Corners to normalised centres and back, which must give the corners again."""
     d, b = sized(t), g.box()
-    back = g.from_centre(g.to_yolo(b, W, H), W, H)
+    back = g.from_centre(g.to_yolo(b, *size()), *size())
     return d.select("det_id", *g.named([F.round(c, 4) for c in back]))
 
 
@@ -68,7 +71,7 @@ _pair_query("box_center_distance", s.distance, g.centre_distance)
 
 @query("box_validate", oracle(f"SELECT det_id, {s.valid('det', '640', '480')} AS ok FROM det"))
 def box_validate(t):
-    return sized(t).select("det_id", g.valid(g.box(), W, H).alias("ok"))
+    return sized(t).select("det_id", g.valid(g.box(), *size()).alias("ok"))
 
 
 @query("box_fix", oracle("""
@@ -88,12 +91,12 @@ def box_fix(t):
 
 @query("box_clip", oracle("SELECT det_id, greatest(0.0, least(x1, 640.0)) AS x1, greatest(0.0, least(y1, 480.0)) AS y1, greatest(0.0, least(x2, 640.0)) AS x2, greatest(0.0, least(y2, 480.0)) AS y2 FROM det"))
 def box_clip(t):
-    return sized(t).select("det_id", *g.named(g.clipped(g.box(), W.cast("double"), H.cast("double"))))
+    return sized(t).select("det_id", *g.named(g.clipped(g.box(), *size())))
 
 
 @query("box_rescale", oracle("SELECT det_id, round(x1*(1280.0/640), 6) AS x1, round(y1*(720.0/480), 6) AS y1, round(x2*(1280.0/640), 6) AS x2, round(y2*(720.0/480), 6) AS y2 FROM det"))
 def box_rescale(t):
-    return sized(t).select("det_id", *rounded(g.rescaled(g.box(), W, H, F.lit(1280.0), F.lit(720.0)), ("x1", "y1", "x2", "y2")))
+    return sized(t).select("det_id", *rounded(g.rescaled(g.box(), *size(), F.lit(1280.0), F.lit(720.0)), ("x1", "y1", "x2", "y2")))
 
 
 @query("aspect_fit", oracle("""
@@ -111,12 +114,12 @@ def aspect_fit(t):
 SELECT det_id, CASE WHEN (y1+y2)/2 < 480/3.0 THEN 'top' WHEN (y1+y2)/2 < 2*480/3.0 THEN 'middle' ELSE 'bottom' END || '-' ||
   CASE WHEN (x1+x2)/2 < 640/3.0 THEN 'left' WHEN (x1+x2)/2 < 2*640/3.0 THEN 'center' ELSE 'right' END AS position FROM det"""))
 def describe_position(t):
-    return sized(t).select("det_id", g.position(g.box(), W, H).alias("position"))
+    return sized(t).select("det_id", g.position(g.box(), *size()).alias("position"))
 
 
 @query("crop_window", oracle("SELECT det_id, greatest(0.0, least(x1-10, 640.0)) AS x1, greatest(0.0, least(y1-10, 480.0)) AS y1, greatest(0.0, least(x2+10, 640.0)) AS x2, greatest(0.0, least(y2+10, 480.0)) AS y2 FROM det"))
 def crop_window(t):
-    return sized(t).select("det_id", *g.named(g.crop_window(g.box(), W.cast("double"), H.cast("double"), 10.0)))
+    return sized(t).select("det_id", *g.named(g.crop_window(g.box(), *size(), 10.0)))
 
 
 @query("normalize_bbox", oracle("SELECT det_id, CASE WHEN det_id % 4 = 2 THEN NULL ELSE x1 END AS x1, y1, x2, y2 FROM det"))
@@ -149,10 +152,10 @@ WHERE round(least(x2, 640.0), 6) > round(greatest(0.0, x1), 6) AND round(least(y
 def augment_boxes(t):
     """Flip, scale, shift or a quarter turn by id; clip, drop what has no area left."""
     d, b = t.gt.join(t.images, "image_id"), g.box()
-    kinds = [g.flipped(b, W), g.scaled(b, F.lit(1.5)), g.moved(b, F.lit(40.0), F.lit(-30.0)), g.turned(b, W, H, F.lit(90.0))]
+    kinds = [g.flipped(b, size()[0]), g.scaled(b, F.lit(1.5)), g.moved(b, F.lit(40.0), F.lit(-30.0)), g.turned(b, *size(), F.lit(90.0))]
     k = F.col("gt_id") % 4
     mixed = [F.when(k == 0, kinds[0][i]).when(k == 1, kinds[1][i]).when(k == 2, kinds[2][i]).otherwise(kinds[3][i]) for i in range(4)]
-    out = d.select("gt_id", *rounded(g.clipped(mixed, W.cast("double"), H.cast("double")), ("x1", "y1", "x2", "y2")))
+    out = d.select("gt_id", *rounded(g.clipped(mixed, *size()), ("x1", "y1", "x2", "y2")))
     return out.where(~g.degenerate(g.box()))
 
 

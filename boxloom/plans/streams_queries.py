@@ -56,7 +56,6 @@ def infer_with_fallback(t):
     return inf.infer_with_fallback(t.images.selectExpr("image_id", "concat('image ', image_id) AS prompt"), [("first", shout), ("second", whisper)], "image_id", "prompt")
 
 
-@F.pandas_udf("double")
 def same_start(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x[:2].lower() == y[:2].lower() else 0.1 for x, y in zip(a, b)])
 
@@ -64,4 +63,4 @@ def same_start(a: pd.Series, b: pd.Series) -> pd.Series:
 @query("map_labels_zero_shot", oracle("SELECT det_id, CASE WHEN det_id % 10 = 0 THEN 'other' WHEN label = 'car' THEN 'Carriage' WHEN label = 'stop sign' THEN 'Street sign' WHEN label = 'person' THEN 'Pedestrian' ELSE 'other' END AS mapped FROM det"))
 def map_labels_zero_shot(t):
     d = t.det.withColumn("label", F.when(F.col("det_id") % 10 == 0, " ").otherwise(F.col("label")))
-    return inf.map_labels_zero_shot(d, "label", ("Carriage", "Street sign", "Pedestrian"), same_start).select("det_id", "mapped")
+    return inf.map_labels_zero_shot(d, "label", ("Carriage", "Street sign", "Pedestrian"), F.pandas_udf(same_start, "double")).select("det_id", "mapped")
