@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def row_key(*names: str) -> Column:
     """A 64-bit key of a row's own values: rows that repeat in all of them share it, null ids are no exception."""
     return F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("\0null")) for n in names])
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task function, which gives memory back when it ends: Python workers live on and would keep what Arrow and the
+    C library have freed."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task

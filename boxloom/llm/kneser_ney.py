@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, shuffle_partitions
+from .common import checkpoint_dir, released, shuffle_partitions
 
 #: Hashes of the start and the end, apart from any word's.
 START, END = np.uint64(xxhash.xxh64_intdigest(b"\0start")), np.uint64(xxhash.xxh64_intdigest(b"\0end"))
@@ -268,7 +268,7 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
                 put(folder, f"{kind}-{r}-{f}", np.zeros(0, dtype=np.uint8))
     rows = (
         docs.select(F.col(text_col).alias("text"))
-        .mapInArrow(count, kinds)
+        .mapInArrow(released(count), kinds)
         .groupBy("range")
         .applyInArrow(bigrams, kinds)
         .groupBy("range")
@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
                 at += n
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        released(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key
+from .common import checkpointed, released, row_key
 
 DIGIT = re.compile(r"\d")
 WILD = "<*>"
@@ -56,7 +56,7 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["key", "id", "n", "leaf", "line"])
 
     text = docs.select("key", "id", F.col(text_col).alias("text"))
-    lines = checkpointed(text.mapInArrow(parse, "key long, id long, n int, leaf long, line long"))
+    lines = checkpointed(text.mapInArrow(released(parse), "key long, id long, n int, leaf long, line long"))
     once = lines.groupBy("leaf", "key").agg(F.lit(1).alias("x")).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
     common = checkpointed(once.where(F.col("docs") >= min_docs).select("leaf"))  # apart from its aggregate, so that the join can split a hot leaf
     # each distinct line of a common leaf: its documents, and where it stands first
@@ -87,7 +87,7 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
             )
 
     tokens = checkpointed(
-        text.join(wanted, "key").select("text", "wanted").mapInArrow(fetch, "leaf long, line long, docs long, size int, k int, token long").distinct()
+        text.join(wanted, "key").select("text", "wanted").mapInArrow(released(fetch), "leaf long, line long, docs long, size int, k int, token long").distinct()
     )
     support = tokens.where("token <> 0").groupBy("leaf", "k", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs).select("leaf", "k", "token")
     constant = tokens.join(support, ["leaf", "k", "token"], "left_semi").select("leaf", "line", "k", "token")

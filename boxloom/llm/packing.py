@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, released, shuffle_partitions
 
 #: ASCII punctuation that the tokenizer's splitter always parts from a letter or digit before it.
 TRAIL = b".,!*&#$%;:?)|"
@@ -49,7 +49,7 @@ class WordIds:
     skip the tokenizer's normaliser and pattern, which would leave them as they are.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.plain, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
@@ -100,7 +100,7 @@ class WordIds:
         return [distinct[t] for t in texts]
 
 
-def groups(texts: list[bytes], most: int = 16_000_000) -> Iterator[list[bytes]]:
+def groups(texts: list[bytes], most: int = 6_000_000) -> Iterator[list[bytes]]:
     """The texts in order, some megabytes at a time."""
     own, size = [], 0
     for t in texts:
@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

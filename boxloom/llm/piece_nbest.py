@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 SPACE = "▁"
 Segmentation = tuple[float, bytes]  # score, ids as little-endian unsigned 32-bit numbers
 
@@ -179,7 +181,7 @@ def _ranked(docs: DataFrame, model_path: str, n: int, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     kinds = "ids_crc32 long, round_trip boolean" if digest else "ids array<int>, decoded string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, rank int, score double, n_pieces long, {kinds}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"doc_id long, rank int, score double, n_pieces long, {kinds}")
 
 
 def piece_query(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, released
 
 RUNS = ((re.compile(r"[^\W\d_]+"), lambda m: ("X" if m[0].isupper() and len(m[0]) > 1 else "x")), (re.compile(r"\d+"), lambda m: "0"), (re.compile(r"(.)\1+"), lambda m: m[1] * 2))
 
@@ -163,7 +163,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
                 names=["id", "label", "words", "shapes"],
             )
 
-    table = rows.mapInArrow(features, "id long, label int, words array<string>, shapes array<string>").toArrow().sort_by([("id", "ascending")])
+    table = rows.mapInArrow(released(features), "id long, label int, words array<string>, shapes array<string>").toArrow().sort_by([("id", "ascending")])
     samples, last = [], None
     for r in table.to_pylist():  # max_rows sets of n-grams
         if r["id"] != last:
