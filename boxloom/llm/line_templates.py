@@ -119,15 +119,16 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stay null and have no lines. Documents are told apart by id and text, so rows that repeat both count as one document
     and rows with a null id take part. An empty table gives an empty result.
     """
-    keyed = docs.select(row_key(id_col, text_col).alias("__key"), F.col(id_col).cast("long").alias("__id"), *[F.col(f"`{c}`") for c in docs.columns])
-    own = keyed.select(F.col("__key").alias("key"), F.col("__id").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lost = recurring_lines(own, "text", min_docs, depth, similarity, keep_first)
-    joined = keyed.join(lost.select(F.col("key").alias("__key"), F.col("lines").alias("__lines")), "__key", "left")
-    numbered = F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda line, n: F.struct(line.alias("line"), n.alias("n")))
-    kept = F.filter(numbered, lambda x: ~F.array_contains(F.col("__lines"), x["n"]))
-    clean = F.when(F.col("__lines").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    out = joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *([F.coalesce(F.size("__lines"), F.lit(0)).alias(count_col)] if count_col else []))
-    return out
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whatever its columns are called
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    lost = recurring_lines(keyed.drop("row"), "text", min_docs, depth, similarity, keep_first)
+    joined = keyed.drop("id", "text").join(lost, "key", "left")
+    text = F.col("row").getField(text_col)
+    numbered = F.transform(F.split(text, "\n", -1), lambda line, n: F.struct(line.alias("line"), n.alias("n")))
+    kept = F.filter(numbered, lambda x: ~F.array_contains(F.col("lines"), x["n"]))
+    clean = F.when(F.col("lines").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    count = [F.coalesce(F.size("lines"), F.lit(0)).alias(count_col)] if count_col else []
+    return joined.select(*[(clean if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns], *count)
 
 
 def line_query(docs: DataFrame) -> DataFrame:

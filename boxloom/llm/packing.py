@@ -37,7 +37,7 @@ MARK = b"\x01"
 
 
 #: Words that the normaliser leaves alone and the splitter keeps whole, once A-Z are lower-cased.
-PLAIN = re.compile("[a-zß-öø-ÿ]+")
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a-z, and U+00DF to U+00FF without the division sign
 ALNUM = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
 
 
@@ -83,20 +83,24 @@ class WordIds:
         split = [t.split() for t in distinct]
         words = list(set().union(*split))
         special = any(b"<|" in t for t in distinct)  # lower-casing could make a special token of a word
-        lower = [w if special and b"<|" in w else w.lower() for w in words]
-        cores = [w.rstrip(TRAIL) for w in lower]
-        cores = [c if c and c[-1] in ALNUM else w for c, w in zip(cores, lower)]
+        lower = [w if b"<|" in w else w.lower() for w in words] if special else list(map(bytes.lower, words))
+        tails: dict[int, bytes] = {}
+        for i, w in enumerate(lower):
+            core = w.rstrip(TRAIL)
+            if len(core) < len(w) and core and core[-1] in ALNUM:
+                lower[i], tails[i] = core, w[len(core) :]
         if len(self.known) > self.most:
             self.known = {b"": b""}
-        trails = [w[len(c) :] for c, w in zip(cores, lower)]
-        new = [c for c in {*cores, *trails} if c not in self.known]
-        plain = [PLAIN.fullmatch(c.decode("utf-8", "replace")) is not None for c in new]
-        self.learn(self.plain, [c for c, p in zip(new, plain) if p])
-        self.learn(self.tokenizer, [c for c, p in zip(new, plain) if not p])
+        new = {*lower, *tails.values()}.difference(self.known)
+        plain = [c for c in new if PLAIN.fullmatch(c)]
+        self.learn(self.plain, plain)
+        self.learn(self.tokenizer, list(new.difference(plain)))
         known = self.known
-        of = {w: known[c] + known[t] for w, c, t in zip(words, cores, trails)}
+        of = dict(zip(words, map(known.__getitem__, lower)))
+        for i, tail in tails.items():
+            of[words[i]] += known[tail]
         for t, own in zip(distinct, split):
-            distinct[t] = b"".join([of[w] for w in own])
+            distinct[t] = b"".join(map(of.__getitem__, own))
         return [distinct[t] for t in texts]
 
 
@@ -121,7 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: dict[str, list] = defaultdict(list)
-            texts = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(1)]
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             every = (ids + end for some in groups(texts) for ids in ids_of.encode(some))
             for doc_id, ids in zip(batch.column(0), every):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):

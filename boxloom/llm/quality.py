@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, released
@@ -172,20 +172,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
     return fit(samples)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of the input and the score (0 to 1). A null text is empty: no n-grams, the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by max_rows sets of n-grams
+def quality_score(spark: SparkSession, model: QualityModel, text: Column) -> Column:
+    """The score (0 to 1) of a text. A null text is empty: no n-grams, the bias alone."""
+    shared = spark.sparkContext.broadcast(vars(model))  # bounded by max_rows sets of n-grams
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shapes, own = Shapes(), QualityModel(**shared.value)
         for texts in batches:
             yield pd.Series([own.score(*ngrams(t or "", shapes)) for t in texts], dtype=float)
 
-    return docs.withColumn(score_col, F.pandas_udf(score, "double")(F.col(text_col)))
+    return F.pandas_udf(score, "double")(text)
 
 
 def quality_query(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 3000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; learns from rows that aren't held out."""
     model = train_quality(docs, labels, ~held_out("doc_id", 0), max_rows=max_rows)
-    scored = score_quality(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", held_out("doc_id", 0).alias("held_out"), quality_score(docs.sparkSession, model, F.col("text")).alias("score"))
+    return scored.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))

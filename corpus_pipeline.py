@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from boxloom.llm.common import checkpoint_dir, held_out, read_table, row_key
 from boxloom.llm.line_templates import drop_recurring_lines
 from boxloom.llm.packing import pack_documents
-from boxloom.llm.quality import score_quality, train_quality
+from boxloom.llm.quality import quality_score, train_quality
 from boxloom.llm.queries import tokenizer_path
 from boxloom.llm.secret_scan import redact, scan_secrets
 from boxloom.llm.simhash import simhash_components
@@ -31,7 +31,7 @@ def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives at least 0.3."""
     model = train_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 0))
-    return score_quality(docs, model, score_col="__score").where("__score >= 0.3").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(quality_score(spark, model, F.col("text")) >= 0.3)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,23 +40,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Rows without an id stay."""
-    groups = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    """One document of each near-duplicate group: the one with the smallest id. Rows without an id stay, and so do rows
+    that repeat the id that stays: they are the same document."""
+    names = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(names, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts with every secret replaced by a mark. Only documents with a secret are joined to their spans."""
+    """The texts with every secret replaced by a mark."""
     found = scan_secrets(docs, key=row_key("doc_id", "text")).where("size(spans) > 0").select("key", "spans").dropDuplicates(["key"])
 
     def replaced(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in parts:
             yield pd.Series([t if s is None else redact(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
 
-    joined = docs.withColumn("__key", row_key("doc_id", "text")).join(found.withColumnsRenamed({"key": "__key", "spans": "__spans"}), "__key", "left")
-    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.pandas_udf(replaced, "string")("text", F.coalesce("__spans", F.expr("array()").cast("array<struct<start:int,end:int,kind:string>>"))))
-    return _columns(docs, joined.withColumn("text", clean))
+    rows = docs.select(row_key("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(found, "key", "left")
+    spans = F.coalesce("spans", F.expr("array()").cast("array<struct<start:int,end:int,kind:string>>"))
+    text = F.col("row").getField("text")
+    clean = F.when(F.col("spans").isNull(), text).otherwise(F.pandas_udf(replaced, "string")(text, spans))
+    return _columns(docs, joined.select(*[(clean if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
