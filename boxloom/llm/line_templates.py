@@ -132,7 +132,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def line_query(docs: DataFrame) -> DataFrame:
-    """Each document's lines before and after, and a digest of what stays."""
-    lines = lambda c: F.size(F.split(F.coalesce(c, F.lit("")), "\n", -1))
-    out = drop_recurring_lines(docs.select("doc_id", "text"), count_col="n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
-    return out.select("doc_id", (lines(F.col("text")) + F.col("n_dropped")).alias("n_lines"), "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    """Each document's lines, how many go, and a digest of what stays."""
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines")
+    out = drop_recurring_lines(docs.select("doc_id", "text", n_lines), count_col="n_dropped")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
