@@ -13,14 +13,15 @@ Scores are the model's own piece scores, added up (for a BPE model: minus the me
 piece is encoded as its UTF-8 bytes at ``unknown_penalty`` below the least score of a piece with
 any other character than the meta symbol. Spaces become the meta symbol, one of
 which is put before the text; there is no other normalisation. Equal scores: the order of the search, which depends on
-the part and the model alone.
+the part and the model alone. What a part's second best loses is read off its forward and backward scores, so the A*
+search runs only where a document's n best may differ from its best.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -32,12 +33,14 @@ from .common import released
 
 SPACE = "▁"
 Segmentation = tuple[float, bytes]  # score, ids as little-endian unsigned 32-bit numbers
+Edge = tuple[int, int, float, bytes]  # start, end, score, ids
+Part = tuple[float, bytes, float]  # best score, its ids, loss of the second best
 
 
 class PieceModel:
     """The pieces, scores and byte ids of a model file, and a bounded cache of searched parts."""
 
-    def __init__(self, path: str | None = None, pieces: dict[str, tuple[int, float]] | None = None, byte_ids: list[int] | None = None, n: int = 3, unknown_penalty: float = 10.0, most: int = 200_000):
+    def __init__(self, path: str | None = None, pieces: dict[str, tuple[int, float]] | None = None, byte_ids: list[int] | None = None, n: int = 3, unknown_penalty: float = 10.0, most: int = 400_000):
         if path is not None:
             import sentencepiece
 
@@ -47,37 +50,44 @@ class PieceModel:
             pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.pieces, self.byte_ids, self.n, self.most = pieces, byte_ids, n, most
         self.unknown = min((s for p, (_, s) in pieces.items() if p.strip(SPACE)), default=0.0) - unknown_penalty
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        # a piece's score and id, or None for what only begins a piece
+        self.table: dict[str, tuple[float, bytes] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
+        self.table |= {p: (s, k.to_bytes(4, "little")) for p, (k, s) in pieces.items()}
         self.pairs = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+        self.joined = any(p[1] == SPACE and p[0] != SPACE for p in self.pairs)
         self.raw = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        self.parts: dict[str, tuple[Segmentation, ...]] = {}
-        self.chunks: dict[str, tuple[float, float, bytes, tuple[Segmentation, ...]]] = {}
-
-    def edges(self, part: str) -> tuple[list[list[tuple[int, float, bytes]]], list[float]]:
-        """For each end: the edges (start, score, ids) into it; and the best score from the start to each position."""
-        size = len(part)
-        into: list[list[tuple[int, float, bytes]]] = [[] for _ in range(size + 1)]
-        best = [0.0] + [float("-inf")] * size
+        self.parts: dict[str, Part] = {}
+        self.chunks: dict[str, Part] = {}
+
+    def lattice(self, part: str) -> tuple[list[Edge], list[float], list[Edge | None]]:
+        """All edges by their start, the forward Viterbi scores, and the best edge into each position."""
+        size, table = len(part), self.table
+        best, back = [0.0] + [float("-inf")] * size, [None] * (size + 1)
+        edges: list[Edge] = []
         for i in range(size):
             b = best[i]
             for j in range(i + 1, size + 1):
-                s = part[i:j]
-                if s not in self.prefixes:
+                found = table.get(part[i:j], 0)
+                if found is None:
+                    continue
+                if found == 0:
                     break
-                if s in self.pieces:
-                    k, score = self.pieces[s]
-                    into[j].append((i, score, k.to_bytes(4, "little")))
-                    if b + score > best[j]:
-                        best[j] = b + score
+                edges.append(edge := (i, j, *found))
+                if b + found[0] > best[j]:
+                    best[j], back[j] = b + found[0], edge
             if part[i] not in self.pieces:
                 ids = np.array([self.byte_ids[x] for x in part[i].encode("utf-8", "replace")], dtype="<u4").tobytes()
-                into[i + 1].append((i, self.unknown, ids))
-                best[i + 1] = max(best[i + 1], b + self.unknown)
-        return into, best
+                edges.append(edge := (i, i + 1, self.unknown, ids))
+                if b + self.unknown > best[i + 1]:
+                    best[i + 1], back[i + 1] = b + self.unknown, edge
+        return edges, best, back
 
     def search(self, part: str) -> Iterator[Segmentation]:
-        """Segmentations of a part, best first: backward A*."""
-        into, best = self.edges(part)
+        """Segmentations of a part, best first: backward A* with the forward scores as exact heuristics."""
+        edges, best, _ = self.lattice(part)
+        into: list[list[Edge]] = [[] for _ in best]
+        for e in edges:
+            into[e[1]].append(e)
         tick = count()
         agenda = [(-best[-1], next(tick), len(part), 0.0, b"")]
         while agenda:
@@ -85,52 +95,76 @@ class PieceModel:
             if at == 0:
                 yield tail, ids
                 continue
-            for start, score, own in into[at]:
+            for start, _, score, own in into[at]:
                 g = tail + score
                 heapq.heappush(agenda, (-(g + best[start]), next(tick), start, g, own + ids))
 
-    def part(self, part: str) -> tuple[Segmentation, ...]:
+    def part(self, part: str) -> Part:
+        """The best segmentation of a part and what the second best loses against it."""
         found = self.parts.get(part)
         if found is None:
             if len(self.parts) > self.most:
                 self.parts.clear()
-            found = self.parts[part] = tuple(s for s, _ in zip(self.search(part), range(self.n)))
+            edges, best, back = self.lattice(part)
+            rest = [float("-inf")] * len(part) + [0.0]  # the best score from each position to the end
+            for i, j, score, _ in reversed(edges):
+                if score + rest[j] > rest[i]:
+                    rest[i] = score + rest[j]
+            at, ids, used = len(part), [], set()
+            while at:
+                edge = back[at]
+                used.add(edge[:2])
+                ids.append(edge[3])
+                at = edge[0]
+            # another path takes an edge that the best one doesn't
+            second = max((best[i] + score + rest[j] for i, j, score, _ in edges if (i, j) not in used), default=float("-inf"))
+            found = self.parts[part] = (best[-1], b"".join(reversed(ids)), best[-1] - second)
         return found
 
     def cut(self, chunk: str) -> list[str]:
         """The chunk's parts: no piece spans two of them."""
-        out, at = [], 0
+        out, at, pairs = [], 0, self.pairs
         for k in range(1, len(chunk)):
-            if chunk[k - 1 : k + 1] not in self.pairs:
+            if chunk[k - 1 : k + 1] not in pairs:
                 out.append(chunk[at:k])
                 at = k
         return [*out, chunk[at:]] if chunk else []
 
-    def merged(self, lists: list[tuple[Segmentation, ...]]) -> list[Segmentation]:
-        """The n best sums of one segmentation from each list."""
-        if not lists:
-            return [(0.0, b"")]
-        loss = [(x[0][0] - x[1][0], i) for i, x in enumerate(lists) if len(x) > 1]
-        combos: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _, i in heapq.nsmallest(self.n - 1, loss):
-            combos = sorted((c + lists[i][0][0] - s, (*m, (i, j))) for c, m in combos for j, (s, _) in enumerate(lists[i]))[: self.n]
-        total = sum(x[0][0] for x in lists)
-        out = []
-        for cost, changes in combos:
-            ids = [x[0][1] for x in lists]
-            for i, j in changes:
-                ids[i] = lists[i][j][1]
-            out.append((total - cost, b"".join(ids)))
-        return out
-
-    def chunk(self, chunk: str) -> tuple[Segmentation, ...]:
+    def chunk(self, chunk: str) -> Part:
+        """As part(), for text between spaces."""
         found = self.chunks.get(chunk)
         if found is None:
             if len(self.chunks) > self.most:
                 self.chunks.clear()
-            found = self.chunks[chunk] = tuple(self.merged([self.part(p) for p in self.cut(chunk)]))
+            own = [self.part(p) for p in self.cut(chunk)]
+            found = own[0] if len(own) == 1 else (sum([x[0] for x in own]), b"".join([x[1] for x in own]), min([x[2] for x in own]))
+            self.chunks[chunk] = found
         return found
 
+    def merged(self, names: list[str], bests: list[Part], every: Callable[[str], list[Segmentation]]) -> list[Segmentation]:
+        """The n best sums of one segmentation of each name. Only the n - 1 with the least loss can differ from their best."""
+        losses = [x[2] for x in bests]
+        near = heapq.nsmallest(self.n - 1, range(len(bests)), key=losses.__getitem__)
+        combos: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
+        for i in near:
+            own = every(names[i])
+            combos = sorted((c + own[0][0] - s, (*m, (i, ids))) for c, m in combos for s, ids in own)[: self.n]
+        total = sum([x[0] for x in bests])
+        out = []
+        for cost, changes in combos:
+            ids = [x[1] for x in bests]
+            for i, other in changes:
+                ids[i] = other
+            out.append((total - cost, b"".join(ids)))
+        return out
+
+    def part_nbest(self, part: str) -> list[Segmentation]:
+        return [s for s, _ in zip(self.search(part), range(self.n))]
+
+    def chunk_nbest(self, chunk: str) -> list[Segmentation]:
+        parts = self.cut(chunk)
+        return self.merged(parts, [self.part(p) for p in parts], self.part_nbest)
+
     def encode(self, text: str) -> list[Segmentation]:
         """The n best segmentations of a whole text, best first; an empty text has the empty one only."""
         if not text:
@@ -144,9 +178,9 @@ class PieceModel:
         if spaces:
             chunks.append(spaces)
         # the space before a chunk parts it from the last one unless a piece holds the pair
-        if any(p[1] == SPACE and p[0] != SPACE for p in self.pairs):
+        if self.joined:
             chunks = ["".join(chunks)]
-        return self.merged([self.chunk(c) for c in chunks])
+        return self.merged(chunks, [self.chunk(c) for c in chunks], self.chunk_nbest)
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
