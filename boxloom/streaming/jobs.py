@@ -50,9 +50,9 @@ def stream_rolling_latency(frames: DataFrame, last: int = 30) -> DataFrame:
 
 def stream_detection_counts(detections: DataFrame, time: str = "ts", label: str = "label", window: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """Detections by label in tumbling windows; the watermark bounds the state. Also runs on a batch table."""
-    w = F.window(time, window)
-    counts = detections.withWatermark(time, delay).groupBy(w, label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("window.start").alias("start"), label, "n")
+    timed = detections.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    counts = timed.groupBy(F.window(time, window), label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), label, "n")
 
 
 def latest_saves(saves: DataFrame, key: str = "image_id", order: str = "ts") -> DataFrame:
