@@ -106,7 +106,8 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
     per_doc = marked.groupBy("leaf", "template", "key").agg(F.lit(1).alias("x"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "template")
     first = known.groupBy("leaf", "template").agg(F.min("place").alias("first"))
-    lost = marked.join(recurring.join(first, ["leaf", "template"]), ["leaf", "template"])
+    known_first = checkpointed(recurring.join(first, ["leaf", "template"]))  # apart from its aggregates, so that the join can split a hot template
+    lost = marked.join(known_first, ["leaf", "template"])
     if keep_first:
         lost = lost.where((F.col("first.key") != F.col("key")) | (F.col("first.n") != F.col("n")))
     return lost.groupBy("key").agg(F.collect_set("n").alias("lines"))  # one document's own lines
