@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages over ``documents``.
 
-Quality classifier (rejected documents go), line dedup, SimHash near-dedup (one document of each group stays), secret
+Quality classifier (rejected documents go), line dedup, near-dedup (one document of each group of near copies stays), secret
 scan (spans are replaced), best-fit packing. Each stage is a function of (spark, docs, sf_dir) whose result is written
 as Parquet and read again as the next stage's docs; all but the last return the columns of ``documents``.
 """
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.common import checkpoint_dir, held_out, read_table, row_key
 from boxloom.llm.line_templates import drop_recurring_lines
+from boxloom.llm.near_copies import near_copy_groups
 from boxloom.llm.packing import pack_documents
 from boxloom.llm.quality import quality_score, train_quality
 from boxloom.llm.queries import tokenizer_path
 from boxloom.llm.secret_scan import redact, scan_secrets
-from boxloom.llm.simhash import simhash_components
 
 
 def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -40,9 +40,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Rows without an id stay, and so do rows
-    that repeat the id that stays: they are the same document."""
-    names = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id.
+    Rows without an id stay, and so do rows that repeat the id that stays: they are the same document."""
+    rows = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
+    names = near_copy_groups(rows).groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
     return docs.join(names, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
