@@ -18,7 +18,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, released, row_key
@@ -41,7 +41,7 @@ def leaf_of(tokens: list[str], depth: int) -> int:
     return _hash("\0".join([str(len(tokens)), *tokens[:depth]]))
 
 
-def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, similarity: float, keep_first: bool) -> DataFrame:
+def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, similarity: float, keep_first: bool, generalise: bool = False) -> DataFrame:
     """(key, lines): the numbers of each document's lines to drop. Needs the columns key (long) and id."""
 
     def parse(batches):
@@ -89,8 +89,11 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
     tokens = checkpointed(
         text.join(wanted, "key").select("text", "wanted").mapInArrow(released(fetch), "leaf long, line long, docs long, size int, k int, token long").distinct()
     )
-    support = tokens.where("token <> 0").groupBy("leaf", "k", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs).select("leaf", "k", "token")
-    constant = tokens.join(support, ["leaf", "k", "token"], "left_semi").select("leaf", "line", "k", "token")
+    support = tokens.where("token <> 0").groupBy("leaf", "k", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
+    if generalise:
+        known = _generalised(ours, distinct, tokens, support, min_docs, similarity)
+        return _lost(ours, known, known.select("leaf", "template").distinct(), keep_first)
+    constant = tokens.join(support.select("leaf", "k", "token"), ["leaf", "k", "token"], "left_semi").select("leaf", "line", "k", "token")
     template = (
         tokens.select("leaf", "line", "size").distinct()
         .join(
@@ -105,6 +108,12 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
     marked = ours.join(known.select("leaf", "line", "template"), ["leaf", "line"])
     per_doc = marked.groupBy("leaf", "template", "key").agg(F.lit(1).alias("x"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "template")
+    return _lost(ours, known, recurring, keep_first)
+
+
+def _lost(ours: DataFrame, known: DataFrame, recurring: DataFrame, keep_first: bool) -> DataFrame:
+    """(key, lines): the lines of recurring templates, but for the first of each with ``keep_first``."""
+    marked = ours.join(known.select("leaf", "line", "template"), ["leaf", "line"])
     first = known.groupBy("leaf", "template").agg(F.min("place").alias("first"))
     known_first = checkpointed(recurring.join(first, ["leaf", "template"]))  # apart from its aggregates, so that the join can split a hot template
     lost = marked.join(known_first, ["leaf", "template"])
@@ -113,16 +122,36 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
     return lost.groupBy("key").agg(F.collect_set("n").alias("lines"))  # one document's own lines
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 4, depth: int = 3, similarity: float = 0.5, keep_first: bool = True, count_col: str | None = None) -> DataFrame:
+def _generalised(ours: DataFrame, distinct: DataFrame, tokens: DataFrame, support: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """(leaf, line, template, place): each line's most specific template that recurs.
+
+    A line has a template for each level of support, ``min_docs`` times a power of two: its constants are the tokens that
+    so many documents have at their place. Fields whose single values recur thus become variable at a higher level, at
+    which rare and frequent values fall into one template, and every line that has a template at some level counts for it.
+    """
+    level = F.floor(F.log2(F.col("s") / min_docs)).cast("int").alias("level")
+    placed = tokens.join(support.select("leaf", "k", "token", level), ["leaf", "k", "token"])
+    steps = placed.groupBy("leaf", "line", "size", "level").agg(F.bit_xor(F.xxhash64("k", "token")).alias("t"), F.count(F.lit(1)).alias("n"))
+    upwards = Window.partitionBy("leaf", "line").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # a line's own levels
+    nested = steps.select("leaf", "line", "size", F.bit_xor("t").over(upwards).alias("t"), F.sum("n").over(upwards).alias("constants"))
+    nested = checkpointed(nested.where(F.col("constants") >= similarity * F.col("size")).select("leaf", "line", "constants", F.xxhash64("t", "size", "constants").alias("template")))
+    per_doc = ours.join(nested, ["leaf", "line"]).groupBy("leaf", "template", "key").agg(F.lit(1).alias("x"))
+    recurring = checkpointed(per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "template"))
+    best = nested.join(recurring, ["leaf", "template"]).groupBy("leaf", "line").agg(F.max_by("template", "constants").alias("template"))
+    return checkpointed(best.join(distinct, ["leaf", "line"]))
+
+
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 4, depth: int = 3, similarity: float = 0.5, keep_first: bool = True, count_col: str | None = None, generalise: bool = False) -> DataFrame:
     """The input with the lines of recurring templates dropped from its texts; all rows and columns stay.
 
     With ``count_col`` a column of that name gives the number of lines dropped. Lines without tokens stay. Null texts
     stay null and have no lines. Documents are told apart by id and text, so rows that repeat both count as one document
-    and rows with a null id take part. An empty table gives an empty result.
+    and rows with a null id take part. ``generalise`` adds the lines of fields whose values recur too (see ``_generalised``);
+    all that is dropped without it is dropped with it, but for first occurrences. An empty table gives an empty result.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whatever its columns are called
     keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
-    lost = recurring_lines(keyed.drop("row"), "text", min_docs, depth, similarity, keep_first)
+    lost = recurring_lines(keyed.drop("row"), "text", min_docs, depth, similarity, keep_first, generalise)
     joined = keyed.drop("id", "text").join(lost, "key", "left")
     text = F.col("row").getField(text_col)
     numbered = F.transform(F.split(text, "\n", -1), lambda line, n: F.struct(line.alias("line"), n.alias("n")))

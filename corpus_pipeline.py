@@ -36,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts without lines of recurring templates, but for the first occurrence of each."""
-    return _columns(docs, drop_recurring_lines(docs))
+    return _columns(docs, drop_recurring_lines(docs, generalise=True))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
