@@ -4,13 +4,15 @@ Candidates are tokens of at least 20 characters of ``[A-Za-z0-9+/_-]`` that are
 inferred encoding (hex, base32, one-case alphanumeric, base62, base64) and tested for
 
 * uniform use of the alphabet (chi-squared, mean and variance of the multinomial),
-* runs above and below its median symbol (Wald-Wolfowitz), and
-* serial correlation of neighbouring symbols.
-
-The least of the three p-values, Bonferroni-corrected, says how random the token looks. Words of the corpus itself,
-those of 20 or more letters, go through the same battery as decoys, under every encoding. Within a class of encoding
-and length a candidate's p-value is the share of decoys that look at least as random, and Benjamini-Hochberg picks the
-candidates to report. Short tokens, for which the tests have little power, meet decoys that pass often, and so need
+* runs above and below its median symbol (Wald-Wolfowitz),
+* serial correlation of neighbouring symbols, and
+* changes between digits and other symbols, of which words and numbers have few.
+
+The least of the four p-values, Bonferroni-corrected, says how random the token looks. Ordinary words, written as a name
+of each encoding and length is (case, digits, signs), go through the same battery as decoys: neighbouring words of the
+documents, the words of 20 or more letters, and, so that there is a null for every corpus, joined words of a fixed list.
+Within a class of encoding and length a candidate's p-value is the share of decoys that look at least as random, and
+Benjamini-Hochberg picks the candidates to report. Short tokens, for which the tests have little power, meet decoys that pass often, and so need
 more; that is what makes the control length-aware. Counts of candidates and decoys cover all rows; only a histogram
 of classes and bins, of fixed size, reaches the driver.
 """
@@ -18,8 +20,11 @@ of classes and bins, of fixed size, reaches the driver.
 from __future__ import annotations
 
 import math
+import random
 import re
+import zlib
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,9 +70,14 @@ def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(symbols: list[int], sizes: tuple[int, ...]) -> list[float]:
-    """The corrected p-value of "these symbols are random" for each alphabet size."""
-    n = len(symbols)
+def battery(token: str, enc: str) -> float:
+    """The corrected p-value of "this token is random in its encoding"."""
+    symbols = [int(c, 16) for c in token] if enc == "hex" else [ORDERED[c] for c in token]
+    n, k = len(symbols), ALPHABETS[enc]
+    change = 1 - (10**2 + (k - 10) ** 2) / k**2 if enc != "base32" else 1 - (6**2 + 26**2) / 32**2  # the chance at two neighbours
+    digit = [c.isdigit() for c in token]
+    changes = sum(a != b for a, b in zip(digit, digit[1:]))
+    p_change = _tail(((n - 1) * change - changes) / math.sqrt((n - 1) * change * (1 - change)))
     squares = sum(c * c for c in Counter(symbols).values())
     middle = sorted(symbols)[n // 2]
     high = [s >= middle for s in symbols]
@@ -83,11 +93,8 @@ def battery(symbols: list[int], sizes: tuple[int, ...]) -> list[float]:
     centred = [s - mean for s in symbols]
     power = sum(c * c for c in centred)
     p_serial = 2 * _tail(abs(sum(a * b for a, b in zip(centred, centred[1:])) / power + 1 / n) * math.sqrt(n)) if power else 0.0
-    out = []
-    for k in sizes:
-        z = (k * squares / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
-        out.append(min(1.0, 3 * min(_tail(z), p_runs, p_serial)))
-    return out
+    z = (k * squares / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    return min(1.0, 4 * min(_tail(z), p_runs, p_serial, p_change))
 
 
 def _code(enc: int, length: int, p: float) -> int:
@@ -100,6 +107,65 @@ def plain_word(token: str) -> bool:
     return token.isalpha() and (token[1:].islower() or token.isupper())
 
 
+def name_of(words: list[str], enc: str, length: int, digits: str) -> str | None:
+    """Ordinary words written as a name of the encoding, with a number after the first word, cut at the length."""
+    if enc == "hex":
+        fold = ["".join("abcdef"[(ord(c) - 97) % 6] for c in w.lower()) for w in words]
+        token = "".join([fold[0], digits, *fold[1:]])
+    elif enc == "base32":
+        token = "".join([words[0], "".join("234567"[int(d) % 6] for d in digits), *words[1:]]).upper()
+    elif enc == "alnum36":
+        token = "".join([words[0], digits, *words[1:]]).lower()
+    elif enc == "base62":
+        token = "".join(x.capitalize() for x in [words[0], digits, *words[1:]])
+    else:
+        token = "-_/"[len(words[0]) % 3].join([words[0], digits, *words[1:]])
+    return token[:length] if len(token) >= length else None
+
+
+def _decoys(words: list[str], first: int, step: int) -> list[int]:
+    """Codes of names made of neighbouring words, one for every ``step`` words, by turns of encoding and length."""
+    out = []
+    for i, at in enumerate(range(0, len(words), step)):
+        turn = first + i
+        e, b = turn % len(ENCODINGS), turn // len(ENCODINGS) % len(LENGTHS)
+        name = name_of(words[at : at + LENGTHS[b]], ENCODINGS[e], LENGTHS[b], str(turn * 7919 % 10000))
+        if name:
+            out.append(_code(e, len(name), battery(name, ENCODINGS[e])))
+    return out
+
+
+COMMON = """the of and to in that it is was for on with as at by this had not but from have are which you were all her she there
+would their we him been has when who will more no if out so said what up its about into than them can only other new some could
+time these two may then do first any my now such like our over man me even most made after also did many before must through back
+years where much your way well down should because each just those people mister how too little state good very make world still
+own see men work long get here between both life being under never day same another know while last might us great old year off
+come since against go came right used take three states himself few house use during without again place around however home small
+found thought went say part once general high upon school every does got united left number course war until always away something
+fact though water less public put thing almost hand enough far took head yet government system better set told nothing night end
+why called eyes find going look asked later knew point next program city business give group toward young days let room president
+side social given present several order national possible rather second face per among form important often things looked early
+white case large big need four within felt along children saw best church ever least power development light family interest
+information document password account service manager configuration application database session message request response
+controller handler builder factory image button window background version release package module library function value""".split()
+
+
+@lru_cache(1)
+def fixed_decoys(each: int = 2000) -> Counter:
+    """Counts by code of ``each`` names of common words for each class: a null for a corpus of any size."""
+    rng = random.Random(0)
+    out: Counter = Counter()
+    for e, enc in enumerate(ENCODINGS):
+        for length in LENGTHS:
+            made = 0
+            while made < each:
+                name = name_of(rng.choices(COMMON, k=length), enc, length, str(rng.randrange(1, 10000)))
+                if name:
+                    out[_code(e, length, battery(name, enc))] += 1
+                    made += 1
+    return out
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]], list[int]]:
     """Base spans, candidates (start, end, code) apart from them, and the codes of decoys."""
     raw = text.encode("utf-8", "replace")
@@ -110,14 +176,15 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
         spans = base_spans(text)
     candidates: list[tuple[int, int, int]] = []
     decoys: list[int] = []
+    words = [w.decode("ascii") for w in raw.split() if 1 < len(w) < 20 and w.isalpha()]
+    decoys += _decoys([w for w in words if plain_word(w)], zlib.crc32(raw) % (len(ENCODINGS) * len(LENGTHS)), 32)
     if long:
         odd = False
         for w in long:
             if w.isalpha() and plain_word(word := w.decode("ascii")):
-                letters = word.lower()
-                four = battery([ord(c) - 97 for c in letters], tuple(ALPHABETS.values())[1:])
-                folded = battery([(ord(c) - 97) % 16 for c in letters], (16,))
-                decoys += [_code(e, len(letters), p) for e, p in enumerate([*folded, *four])]
+                for e, enc in enumerate(ENCODINGS):
+                    name = name_of([word], enc, len(word), str(len(word)))
+                    decoys.append(_code(e, len(name), battery(name, enc)))
             else:
                 odd = True
         for m in CANDIDATE.finditer(text) if odd else ():
@@ -125,8 +192,7 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
             if plain_word(token) or token.isdigit() or not any(c.isalpha() for c in token) or any(a < m.end() and m.start() < b for a, b, _ in spans):
                 continue
             enc = encoding(token)
-            symbols = [int(c, 16) for c in token] if enc == "hex" else [ORDERED[c] for c in token]
-            candidates.append((m.start(), m.end(), _code(ENCODINGS.index(enc), len(token), battery(symbols, (ALPHABETS[enc],))[0])))
+            candidates.append((m.start(), m.end(), _code(ENCODINGS.index(enc), len(token), battery(token, enc))))
     return spans, candidates, decoys
 
 
@@ -162,7 +228,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, key, spans (array of start, end, kind, in order; code points, end exclusive).
 
     A null text is empty; a null doc_id stays null; repeated rows are scanned each. ``key`` (a column, default null)
-    is carried through. A corpus without decoys reports the fixed patterns only. An empty table gives an empty result.
+    is carried through. The decoys of the fixed list count beside those of the corpus, so that there is a null at every size. An empty table gives an empty result.
     """
 
     def scan(batches):
@@ -193,7 +259,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .count()
         .collect()  # at most 2 x 5 encodings x 5 lengths x 64 bins
     )
-    report = discoveries({r["code"]: r["count"] for r in tally if r["own"]}, {r["code"]: r["count"] for r in tally if not r["own"]}, rate)
+    decoys = fixed_decoys() + Counter({r["code"]: r["count"] for r in tally if not r["own"]})
+    report = discoveries({r["code"]: r["count"] for r in tally if r["own"]}, decoys, rate)
     allowed = F.array(*[F.lit(c) for c in sorted(report)]) if report else F.array().cast("array<int>")
     added = F.transform(
         F.filter("candidates", lambda c: F.array_contains(allowed, c["code"])),
