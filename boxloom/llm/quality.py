@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, released
+from .common import held_out, released, shuffle_partitions
 
 RUNS = ((re.compile(r"[^\W\d_]+"), lambda m: ("X" if m[0].isupper() and len(m[0]) > 1 else "x")), (re.compile(r"\d+"), lambda m: "0"), (re.compile(r"(.)\1+"), lambda m: m[1] * 2))
 
@@ -138,6 +138,14 @@ def fit(samples: list[tuple[set, set, int]], min_rows: int = 2, smooth: float =
     return QualityModel({x: v for x, v in weights.items() if isinstance(x, str)}, {x: v for x, v in weights.items() if not isinstance(x, str)}, float(b), float(slope), float(shift))
 
 
+def labelled_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, label, text): one row for each chosen id. Of different texts under one id, that of the least hash counts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    one = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    # few bytes, but much work for each row: not to be coalesced
+    return one.select("id", "label", F.col("least.text").alias("text")).repartition(shuffle_partitions(docs.sparkSession))
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 3000) -> QualityModel:
     """Fit on at most ``max_rows`` labelled rows. ``usable`` says, by the labels' columns, which may be learnt from.
 
@@ -152,7 +160,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
         .limit(max_rows)
         .select("id", "label")
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = labelled_rows(docs, chosen, id_col, text_col)
 
     def features(batches):
         shapes = Shapes()
@@ -164,12 +172,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
             )
 
     table = rows.mapInArrow(released(features), "id long, label int, words array<string>, shapes array<string>").toArrow().sort_by([("id", "ascending")])
-    samples, last = [], None
-    for r in table.to_pylist():  # max_rows sets of n-grams
-        if r["id"] != last:
-            samples.append((set(r["words"]), {tuple(x.split("\0")) for x in r["shapes"]}, r["label"]))
-        last = r["id"]
-    return fit(samples)
+    return fit([(set(r["words"]), {tuple(x.split("\0")) for x in r["shapes"]}, r["label"]) for r in table.to_pylist()])  # max_rows sets of n-grams
 
 
 def quality_score(spark: SparkSession, model: QualityModel, text: Column) -> Column:
