@@ -40,11 +40,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id.
-    Rows without an id stay, and so do rows that repeat the id that stays: they are the same document."""
-    rows = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
-    names = near_copy_groups(rows).groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
-    return docs.join(names, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id,
+    and where ids are null or shared, the smallest row key. Rows that repeat id and text are one document, null ids too."""
+    key = row_key("doc_id", "text").alias("key")
+    groups = near_copy_groups(docs.select(key, F.col("doc_id").cast("long").alias("id"), "text"))
+    place = F.struct(F.col("id").isNull().alias("late"), "id", "key")
+    names = groups.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.key").alias("key"))
+    rows = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["key"])
+    return rows.join(names, "key", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

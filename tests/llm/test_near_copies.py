@@ -64,3 +64,11 @@ def test_stage_keeps_one_of_near_copies(spark):
         least.setdefault(r, i)
     assert got == set(least.values()) and len(got) < len(texts)
     assert corpus_pipeline.near_dedup_stage(spark, docs.where(F.lit(False)), fx.SF).count() == 0
+
+
+def test_stage_treats_null_and_shared_ids_like_others(spark):
+    a, b = near_copies(2, 2, 1)
+    near = a.rsplit(" ", 1)[0] + " end"
+    data = [(3, a), (None, a), (None, near), (None, "only without ids"), (None, "only without ids"), (4, b), (4, near), (4, b), (9, None)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, fx.table(spark, data), fx.SF).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (None, "only without ids"), (4, b), (9, None)], key=str)
