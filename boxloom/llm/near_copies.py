@@ -106,14 +106,24 @@ def _bounds(a: str, b: str):
     return (F.greatest(n, m) * NUM <= F.least(n, m) * DEN) & ((before + after) * (NUM + DEN) >= NUM * (n + m))
 
 
-def near_copy_links(places: DataFrame, texts: DataFrame, dense: int = 64, rounds: int = 8) -> DataFrame:
-    """Links (a, b) that give the groups of near copies, from (shingle, node, n, pos) and the nodes' texts."""
+def near_copy_links(places: DataFrame, texts_of, dense: int = 64, rounds: int = 8) -> DataFrame:
+    """Links (a, b) that give the groups of near copies, from (shingle, node, n, pos); ``texts_of`` gives the (node, text)
+    of a table of nodes."""
     sizes = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     places = checkpointed(places.join(sizes, "shingle"))
     few = places.where(F.col("m") <= dense)
-    pairs = few.alias("x").join(few.alias("y"), "shingle").where((F.col("x.node") < F.col("y.node")) & _bounds("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     links = []
     many = checkpointed(places.where(F.col("m") > dense).select("shingle", "node", "n", "pos", F.expr("cast(array() as array<double>)").alias("ds"), F.expr("cast(array() as array<boolean>)").alias("at")))
+    # what two sets share is in both prefixes (at few or many), or among the longer of the rests behind them
+    held = checkpointed(many.groupBy("node").agg(F.count(F.lit(1)).alias("held")))
+    met = (
+        few.alias("x").join(few.alias("y"), "shingle").where((F.col("x.node") < F.col("y.node")) & _bounds("x", "y"))
+        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("met"))
+        .join(held.select(F.col("node").alias("a"), F.col("held").alias("p")), "a", "left").join(held.select(F.col("node").alias("b"), F.col("held").alias("q")), "b", "left")
+    )
+    most = F.col("met") + F.least(F.coalesce("p", F.lit(0)), F.coalesce("q", F.lit(0))) + F.expr(f"(greatest(n, m) * {NUM} + {DEN - 1}) div {DEN} - 1")
+    pairs = checkpointed(met.where(most * (NUM + DEN) >= NUM * (F.col("n") + F.col("m"))).select("a", "b"))
+    texts = checkpointed(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct()))
     for _ in range(rounds):
         # a leader for each shingle at which too many nodes are linked to none
         free = many.where("not exists(at, x -> x)").groupBy("shingle").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("free"))
@@ -181,8 +191,10 @@ def near_copy_groups(rows: DataFrame, dense: int = 64) -> DataFrame:
             flat = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], names=["shingle", "node", "n", "pos"])
 
-    reps = checkpointed(marked.groupBy("node").agg(F.min("key").alias("key")))
-    texts = text.dropDuplicates(["key"]).join(reps, "key").select("node", "text")
+    def texts_of(nodes):
+        reps = marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+        return text.join(reps, "key").select("node", "text").dropDuplicates(["node"])
+
     places = text.select("text").mapInArrow(released(cut), "shingle long, node long, n long, pos long").distinct()
-    linked = connected_components(near_copy_links(places, texts, dense))
+    linked = connected_components(near_copy_links(places, texts_of, dense))
     return marked.select("key", "id", "node").join(linked, "node", "left").select("key", "id", F.coalesce("component", "node").alias("component"))
