@@ -1,14 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Bulk-synchronous best-fit decreasing. Pieces are range-sorted by length in Spark, which gives each its rank among the
-pieces of its length. Open sequences are range-sorted by their gap. A superstep takes the longest lengths not yet
-placed and sweeps the gaps from the length's successor (the smallest gap that holds it) upwards; pieces that want the
-same gap class are told apart by rank: the r-th piece takes the r-th sequence of the class. Then the gaps are updated
-and the next superstep begins; what found no gap opens new sequences.
-
-Lengths and gaps are whole numbers up to the capacity, so both sort orders have at most ``capacity`` distinct keys. The
-sweeps therefore run on one count per key (4096 numbers at most, whatever the corpus holds), and what they yield is a
-table of runs: "ranks a..b of length L go to sequences s..s+(b-a) at offset o". Pieces look up their run by rank inside
+Best-fit decreasing by a plan of the driver, in place of distributed successor sweeps in bulk-synchronous rounds: gaps
+are never a Spark table. Pieces are range-sorted by length in Spark, which gives each its rank among the pieces of its
+length, and the driver gets a histogram of at most ``capacity`` (4096) lengths. One sequential loop takes the lengths
+from the longest on and fills, for each, the gaps from its successor (the smallest gap that holds it) upwards; what finds
+no gap opens new sequences. The plan is a table of runs: "ranks a..b of length L go to sequences s..s+(b-a) at offset o".
+Pieces look up their run by rank inside
 Spark tasks. No piece, document or sequence passes through the driver.
 """
 
