@@ -9,10 +9,15 @@ the space after it. The n best of the whole text are then exactly the n best sum
 with the least loss from best to second best can differ from their best in any of them. Parts are searched once and
 cached, which keeps very long texts linear.
 
+The forward pass runs on arrays: the distinct words of a batch of texts, end to end, walk the trie of pieces together, one
+character a step, and the edges found are relaxed for all words at once, by start and length. Words over ``LONG``
+characters, or with characters that are no piece, are cut into parts and take the same steps one by one.
+
 Scores are the model's own piece scores, added up (for a BPE model: minus the merge ranks). A character that is no
 piece is encoded as its UTF-8 bytes at ``unknown_penalty`` below the least score of a piece with
 any other character than the meta symbol. Spaces become the meta symbol, one of
-which is put before the text; there is no other normalisation. Equal scores: the order of the search, which depends on
+which is put before the text; there is no other normalisation. A meta symbol of the text itself (U+2581) is no space: it
+is encoded as bytes, so that every text is restored. Equal scores: the order of the search, which depends on
 the part and the model alone. What a part's second best loses is read off its forward and backward scores, so the A*
 search runs only where a document's n best may differ from its best.
 """
@@ -32,6 +37,10 @@ from pyspark.sql import functions as F
 from .common import released
 
 SPACE = "▁"
+#: Stands for a meta symbol that the text itself holds; no text can hold a lone surrogate.
+OWN_SPACE = "\udc81"
+#: Words of more characters are searched one by one.
+LONG = 48
 Segmentation = tuple[float, bytes]  # score, ids as little-endian unsigned 32-bit numbers
 Edge = tuple[int, int, float, bytes]  # start, end, score, ids
 Part = tuple[float, bytes, float]  # best score, its ids, loss of the second best
@@ -58,6 +67,89 @@ class PieceModel:
         self.raw = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.parts: dict[str, Part] = {}
         self.chunks: dict[str, Part] = {}
+        # the trie as sorted keys (node, character), each with its child; a node's score and id, or -1
+        node = {"": 0} | {t: k for k, t in enumerate(self.table, 1)}
+        keys = np.array([node[t[:-1]] << 21 | ord(t[-1]) for t in self.table], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], (order + 1).astype(np.int64)
+        own = [(0.0, -1), *[(0.0, -1) if x is None else (x[0], int.from_bytes(x[1], "little")) for x in self.table.values()]]
+        self.node_score, self.node_id = np.array([x[0] for x in own]), np.array([x[1] for x in own], dtype=np.int64)
+
+    def edges(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """All edges of the chunks, which lie end to end with one position more than characters each: start and end
+        position, score and id, by place of the start in its chunk, then by length; the bounds of these groups; the
+        chunks' first positions; and which chunks hold a character that is no piece."""
+        sizes = np.array([len(c) for c in chunks], dtype=np.int64)
+        of = np.repeat(np.arange(len(chunks)), sizes)
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        left = np.cumsum(sizes)[of] - np.arange(len(codes))  # characters from here to the end
+        at, node, hard, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), np.zeros(len(chunks), dtype=bool), []
+        for length in range(1, LONG + 1):
+            key = node << 21 | codes[at + length - 1]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[place] == key
+            node = self.child[place]
+            piece = there & (self.node_id[node] >= 0)
+            if length == 1:
+                hard[of[~piece]] = True
+            found.append((at[piece], np.full(piece.sum(), length), node[piece]))
+            go = there & (left[at] > length)
+            at, node = at[go], node[go]
+            if not len(at):
+                break
+        at, length, node = (np.concatenate(x) for x in zip(*found))
+        start = at + of[at]
+        group = (start - first[of[at]]) * (LONG + 1) + length
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        start, length, node, group = start[order], length[order], node[order], group[order]
+        bounds = np.concatenate((np.flatnonzero(np.diff(group, prepend=-1)), [len(group)]))
+        return start, start + length, self.node_score[node], self.node_id[node], bounds, first, hard
+
+    def learn(self, chunks: list[str]) -> None:
+        """Viterbi over many chunks at once: each one's best segmentation and what its second best loses."""
+        some = [c for c in chunks if len(c) <= LONG]
+        if not some:
+            return
+        start, end, score, ids, bounds, first, hard = self.edges(some)
+        last = first + np.array([len(c) for c in some])
+        size = int(last[-1]) + 1
+        best, rest = np.full(size, -np.inf), np.full(size, -np.inf)
+        best[first], rest[last] = 0.0, 0.0
+        back, back_id = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        for a, b in cuts:  # edges of one group end at different positions
+            e = end[a:b]
+            reach = best[start[a:b]] + score[a:b]
+            better = np.flatnonzero(reach > best[e])
+            e = e[better]
+            best[e], back[e], back_id[e] = reach[better], start[a:b][better], ids[a:b][better]
+        for a, b in reversed(cuts):
+            s = start[a:b]
+            rest[s] = np.maximum(rest[s], score[a:b] + rest[end[a:b]])
+        # the best paths, from the ends
+        used, at, own, steps = np.full(size, -1, dtype=np.int64), last.copy(), np.flatnonzero(~hard), []
+        while len(own):
+            here = at[own]
+            steps.append((own, back_id[here]))
+            used[back[here]] = here
+            at[own] = back[here]
+            own = own[at[own] != first[own]]
+        n = np.zeros(len(some), dtype=np.int64)
+        for own, _ in steps:
+            n[own] += 1
+        stop = np.cumsum(n)
+        flat = np.zeros(int(stop[-1]), dtype="<u4")
+        for k, (own, x) in enumerate(steps):
+            flat[stop[own] - 1 - k] = x
+        # another path takes an edge that the best one doesn't
+        total = np.where(used[start] == end, -np.inf, best[start] + score + rest[end])
+        second = np.full(len(some), -np.inf)
+        np.maximum.at(second, np.searchsorted(first, start, side="right") - 1, total)
+        body, top = flat.tobytes(), best[last]
+        loss = np.subtract(top, second, out=np.zeros(len(some)), where=~hard)
+        found = zip(some, top.tolist(), (4 * (stop - n)).tolist(), (4 * stop).tolist(), loss.tolist(), hard.tolist())
+        self.chunks.update((c, (b, body[x:y], loss)) for c, b, x, y, loss, h in found if not h)
 
     def lattice(self, part: str) -> tuple[list[Edge], list[float], list[Edge | None]]:
         """All edges by their start, the forward Viterbi scores, and the best edge into each position."""
@@ -76,7 +168,8 @@ class PieceModel:
                 if b + found[0] > best[j]:
                     best[j], back[j] = b + found[0], edge
             if part[i] not in self.pieces:
-                ids = np.array([self.byte_ids[x] for x in part[i].encode("utf-8", "replace")], dtype="<u4").tobytes()
+                own = SPACE if part[i] == OWN_SPACE else part[i]
+                ids = np.array([self.byte_ids[x] for x in own.encode("utf-8", "replace")], dtype="<u4").tobytes()
                 edges.append(edge := (i, i + 1, self.unknown, ids))
                 if b + self.unknown > best[i + 1]:
                     best[i + 1], back[i + 1] = b + self.unknown, edge
@@ -165,22 +258,36 @@ class PieceModel:
         parts = self.cut(chunk)
         return self.merged(parts, [self.part(p) for p in parts], self.part_nbest)
 
-    def encode(self, text: str) -> list[Segmentation]:
-        """The n best segmentations of a whole text, best first; an empty text has the empty one only."""
-        if not text:
-            return [(0.0, b"")]
-        chunks, spaces = [], ""
-        for word in text.split(" "):
-            spaces += SPACE
-            if word:
-                chunks.append(spaces + word)
-                spaces = ""
-        if spaces:
-            chunks.append(spaces)
+    def split(self, text: str) -> list[str]:
+        """The chunks of a text: words with the spaces before them, and spaces at the end."""
+        if SPACE in text:
+            text = text.replace(SPACE, OWN_SPACE)
+        words = text.split(" ")
+        if "" not in words:
+            chunks = [SPACE + w for w in words]
+        else:
+            chunks, spaces = [], ""
+            for word in words:
+                spaces += SPACE
+                if word:
+                    chunks.append(spaces + word)
+                    spaces = ""
+            if spaces:
+                chunks.append(spaces)
         # the space before a chunk parts it from the last one unless a piece holds the pair
-        if self.joined:
-            chunks = ["".join(chunks)]
-        return self.merged(chunks, [self.chunk(c) for c in chunks], self.chunk_nbest)
+        return ["".join(chunks)] if self.joined else chunks
+
+    def encode(self, text: str) -> list[Segmentation]:
+        return next(self.encode_batch([text]))
+
+    def encode_batch(self, texts: list[str]) -> Iterator[list[Segmentation]]:
+        """The n best segmentations of each whole text, best first; an empty text has the empty one only."""
+        split = [self.split(t) if t else [] for t in texts]
+        if len(self.chunks) > self.most:
+            self.chunks.clear()
+        self.learn(list({c for chunks in split for c in chunks}.difference(self.chunks)))
+        for chunks in split:
+            yield self.merged(chunks, [self.chunk(c) for c in chunks], self.chunk_nbest) if chunks else [(0.0, b"")]
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
@@ -197,6 +304,19 @@ def encode_nbest(docs: DataFrame, model_path: str, n: int = 3, id_col: str = "do
     return _ranked(docs, model_path, n, id_col, text_col, digest=False)
 
 
+def groups(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts in order, some megabytes at a time."""
+    own, size = [], 0
+    for t in texts:
+        own.append(t)
+        size += len(t)
+        if size >= most:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
 def _ranked(docs: DataFrame, model_path: str, n: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
     tail = [("ids_crc32", pa.int64()), ("round_trip", pa.bool_())] if digest else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
     schema = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), *tail])
@@ -204,11 +324,13 @@ def _ranked(docs: DataFrame, model_path: str, n: int, id_col: str, text_col: str
     def run(batches):
         model = PieceModel(model_path, n=n)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # some documents' ids at a time
+            at = 0
+            for texts in groups([t or "" for t in batch.column(1).to_pylist()]):  # some documents' ids at a time
                 rows = []
-                for doc, text in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist()):
-                    text = text or ""
-                    for rank, (score, ids) in enumerate(model.encode(text), 1):
+                docs = batch.column(0).slice(at, len(texts)).to_pylist()
+                at += len(texts)
+                for doc, text, found in zip(docs, texts, model.encode_batch(texts)):
+                    for rank, (score, ids) in enumerate(found, 1):
                         decoded = model.decode(ids)
                         more = (zlib.crc32(ids), decoded == text) if digest else (np.frombuffer(ids, "<u4").tolist(), decoded)
                         rows.append((doc, rank, score, len(ids) // 4, *more))

@@ -93,6 +93,36 @@ def test_nbest_is_exact(text, n):
     assert all(model.decode(ids) == text for _, ids in got)
 
 
+def words_of_the_real_model():
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzéüßABCXYZ019.,-"
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(400)] + ["▁", "a▁b", "x\ny", "漢字", "😀", "\u2581 x", "s" * 60, "the" * 30]
+
+
+def test_arrays_and_single_searches_agree_on_the_real_model():
+    path = tokenizer_path("piece_bpe_32k.model")
+    together, alone = PieceModel(path), PieceModel(path)
+    words = words_of_the_real_model()
+    list(together.encode_batch([" ".join(words)]))
+    for word in words:
+        for chunk in alone.split(word):
+            assert together.chunk(chunk) == alone.chunk(chunk)
+            assert alone.chunk(chunk)[0] == next(alone.search(chunk))[0]
+
+
+def test_nbest_of_the_real_model_is_exact():
+    model = PieceModel(tokenizer_path("piece_bpe_32k.model"), n=4)
+    for word in [w for w in words_of_the_real_model() if len(w) < 8 and "▁" not in w]:
+        text = word + " of it"
+        assert [s for s, _ in model.encode(text)] == heapq.nlargest(4, [s for s, _ in all_segmentations(text, model)])
+
+
+def test_every_text_is_restored():
+    model = PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    for text in ["a▁b", "▁x", "▁ ▁▁", " lead", "two  spaces ", "x\n▁\ty", "😀▁😀", "▁" * 99, "\ufffd"]:
+        assert all(model.decode(ids) == text for _, ids in model.encode(text))
+
+
 def test_nbest_documents(spark):
     out = encode_nbest(fx.table(spark), tokenizer_path("piece_bpe_32k.model"), n=2)
     rows = out.collect()
