@@ -3,10 +3,13 @@
 Lines are parsed by a tree of fixed depth: the first level is the token count, the next ``depth`` levels are the leading
 tokens, in which tokens with digits are already the variable ``<*>``. Lines of one leaf are generalised position by
 position: a token that fewer than ``min_docs`` documents of the leaf have there becomes ``<*>`` too, since no template
-that it belongs to could recur often enough. What results is the line's template. A template is recurring if at least
-``min_docs`` documents have it and at least the share ``similarity`` of its positions is constant. Recurring templates
-are dropped, except, with ``keep_first``, where they occur first (by document id, then line number), so that a group of
-copies keeps one whole document.
+that it belongs to could recur often enough. What results is the line's template. As values of a field may recur
+themselves, a line has such a template for each level of support, ``min_docs`` times a power of two: its constants are the
+tokens that so many documents have at their place, so that rare and frequent values of a field fall into one template.
+
+A template is recurring if at least ``min_docs`` documents have it and at least the share ``similarity`` of its positions
+is constant. All lines of recurring templates are dropped. With ``keep_first``, the first of each template stays (by
+document id, then line number). Rows of one text are one document, so copies of a whole document are no recurrence.
 
 The result doesn't depend on the order of the rows. Leaves are counted on hashes first; only lines in leaves that at
 least ``min_docs`` documents share go on, each distinct line once, so a line that fills a third of the corpus is one row.
@@ -41,7 +44,7 @@ def leaf_of(tokens: list[str], depth: int) -> int:
     return _hash("\0".join([str(len(tokens)), *tokens[:depth]]))
 
 
-def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, similarity: float, keep_first: bool, generalise: bool = False) -> DataFrame:
+def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, similarity: float, keep_first: bool) -> DataFrame:
     """(key, lines): the numbers of each document's lines to drop. Needs the columns key (long) and id."""
 
     def parse(batches):
@@ -68,8 +71,8 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
         .agg(F.count(F.lit(1)).alias("docs"), F.min("place").alias("place"))
     )
     # the text of each, from the document where it stands first
-    wanted = distinct.select(F.col("place.key").alias("key"), F.struct(F.col("place.n").alias("n"), "leaf", "line", "docs", "place").alias("w"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))  # one document's own lines
+    wanted = distinct.select(F.col("place.key").alias("at"), F.col("place.id").alias("own"), F.struct(F.col("place.n").alias("n"), "leaf", "line", "docs").alias("w"))
+    wanted = checkpointed(wanted.groupBy("at", "own").agg(F.collect_list("w").alias("wanted")))  # one document's own lines
 
     def fetch(batches):
         for batch in batches:
@@ -87,49 +90,20 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
             )
 
     tokens = checkpointed(
-        text.join(wanted, "key").select("text", "wanted").mapInArrow(released(fetch), "leaf long, line long, docs long, size int, k int, token long").distinct()
+        text.join(wanted, (F.col("key") == F.col("at")) & F.col("id").eqNullSafe(F.col("own"))).select("text", "wanted").mapInArrow(released(fetch), "leaf long, line long, docs long, size int, k int, token long").distinct()
     )
     support = tokens.where("token <> 0").groupBy("leaf", "k", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
-    if generalise:
-        known = _generalised(ours, distinct, tokens, support, min_docs, similarity)
-        return _lost(ours, known, known.select("leaf", "template").distinct(), keep_first)
-    constant = tokens.join(support.select("leaf", "k", "token"), ["leaf", "k", "token"], "left_semi").select("leaf", "line", "k", "token")
-    template = (
-        tokens.select("leaf", "line", "size").distinct()
-        .join(
-            constant.groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("k", "token")).alias("t"), F.count(F.lit(1)).alias("constants")),
-            ["leaf", "line"],
-        )
-        .where(F.col("constants") >= similarity * F.col("size"))
-        .select("leaf", "line", F.xxhash64("t", "size", "constants").alias("template"))
-    )
-    known = checkpointed(template.join(distinct, ["leaf", "line"]))
-    # A document with two lines of one template counts once: documents are counted on (template, key).
+    known = _templates(ours, distinct, tokens, support, min_docs, similarity)
     marked = ours.join(known.select("leaf", "line", "template"), ["leaf", "line"])
-    per_doc = marked.groupBy("leaf", "template", "key").agg(F.lit(1).alias("x"))
-    recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "template")
-    return _lost(ours, known, recurring, keep_first)
-
-
-def _lost(ours: DataFrame, known: DataFrame, recurring: DataFrame, keep_first: bool) -> DataFrame:
-    """(key, lines): the lines of recurring templates, but for the first of each with ``keep_first``."""
-    marked = ours.join(known.select("leaf", "line", "template"), ["leaf", "line"])
-    first = known.groupBy("leaf", "template").agg(F.min("place").alias("first"))
-    known_first = checkpointed(recurring.join(first, ["leaf", "template"]))  # apart from its aggregates, so that the join can split a hot template
-    lost = marked.join(known_first, ["leaf", "template"])
     if keep_first:
-        lost = lost.where((F.col("first.key") != F.col("key")) | (F.col("first.n") != F.col("n")))
-    return lost.groupBy("key").agg(F.collect_set("n").alias("lines"))  # one document's own lines
-
+        first = checkpointed(known.groupBy("leaf", "template").agg(F.min("place").alias("first")))
+        marked = marked.join(first, ["leaf", "template"]).where((F.col("first.key") != F.col("key")) | (F.col("first.n") != F.col("n")))
+    return checkpointed(marked.groupBy("key").agg(F.collect_set("n").alias("lines")))  # one document's own lines
 
-def _generalised(ours: DataFrame, distinct: DataFrame, tokens: DataFrame, support: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """(leaf, line, template, place): each line's most specific template that recurs.
 
-    A line has a template for each level of support, ``min_docs`` times a power of two: its constants are the tokens that
-    so many documents have at their place. Fields whose single values recur thus become variable at a higher level, at
-    which rare and frequent values fall into one template, and every line that has a template at some level counts for it.
-    """
-    level = F.floor(F.log2(F.col("s") / min_docs)).cast("int").alias("level")
+def _templates(ours: DataFrame, distinct: DataFrame, tokens: DataFrame, support: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """(leaf, line, template, docs, place): the most specific recurring template of each line that has one."""
+    level = (F.length(F.bin(F.floor(F.col("s") / min_docs))) - 1).alias("level")  # of the power of two
     placed = tokens.join(support.select("leaf", "k", "token", level), ["leaf", "k", "token"])
     steps = placed.groupBy("leaf", "line", "size", "level").agg(F.bit_xor(F.xxhash64("k", "token")).alias("t"), F.count(F.lit(1)).alias("n"))
     upwards = Window.partitionBy("leaf", "line").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # a line's own levels
@@ -141,17 +115,17 @@ def _generalised(ours: DataFrame, distinct: DataFrame, tokens: DataFrame, suppor
     return checkpointed(best.join(distinct, ["leaf", "line"]))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 4, depth: int = 3, similarity: float = 0.5, keep_first: bool = True, count_col: str | None = None, generalise: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 4, depth: int = 3, similarity: float = 0.5, keep_first: bool = False, count_col: str | None = None) -> DataFrame:
     """The input with the lines of recurring templates dropped from its texts; all rows and columns stay.
 
     With ``count_col`` a column of that name gives the number of lines dropped. Lines without tokens stay. Null texts
-    stay null and have no lines. Documents are told apart by id and text, so rows that repeat both count as one document
-    and rows with a null id take part. ``generalise`` adds the lines of fields whose values recur too (see ``_generalised``);
-    all that is dropped without it is dropped with it, but for first occurrences. An empty table gives an empty result.
+    stay null and have no lines; an empty text is one line without tokens. Rows of one text are one document, whatever
+    their ids; rows with a null id take part. Very long texts are parsed whole, a line at a time. An empty table gives
+    an empty result; columns of any name are carried along.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whatever its columns are called
-    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
-    lost = recurring_lines(keyed.drop("row"), "text", min_docs, depth, similarity, keep_first, generalise)
+    keyed = docs.select(row_key(text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    lost = recurring_lines(keyed.drop("row"), "text", min_docs, depth, similarity, keep_first)
     joined = keyed.drop("id", "text").join(lost, "key", "left")
     text = F.col("row").getField(text_col)
     numbered = F.transform(F.split(text, "\n", -1), lambda line, n: F.struct(line.alias("line"), n.alias("n")))

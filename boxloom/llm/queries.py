@@ -87,20 +87,21 @@ m AS (
   SELECT *, list_transform(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l),
 leafed AS (SELECT *, len(toks) || ' ' || array_to_string(toks[1:3], ' ') AS leaf FROM m WHERE len(toks) > 0),
 own AS (
-  SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM leafed GROUP BY 1 HAVING count(DISTINCT {'i': doc_id, 't': text}) >= 4)),
-u AS (SELECT leaf, toks, count(DISTINCT {'i': doc_id, 't': text}) AS docs FROM own GROUP BY ALL),
+  SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM leafed GROUP BY 1 HAVING count(DISTINCT text) >= 4)),
+u AS (SELECT leaf, toks, count(DISTINCT text) AS docs FROM own GROUP BY ALL),
 t AS (SELECT leaf, toks, docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS k FROM u),
-s AS (SELECT leaf, k, tok FROM t WHERE tok <> '<*>' GROUP BY ALL HAVING sum(docs) >= 4),
+s AS (SELECT leaf, k, tok, len(bin(CAST(sum(docs) AS BIGINT) // 4)) - 1 AS level FROM t WHERE tok <> '<*>' GROUP BY ALL HAVING sum(docs) >= 4),
+p AS (SELECT t.leaf, t.toks, t.k, t.tok, s.level FROM t LEFT JOIN s ON t.leaf = s.leaf AND t.k = s.k AND t.tok = s.tok),
 tp AS (
-  SELECT t.leaf, t.toks, string_agg(CASE WHEN s.tok IS NULL THEN '<*>' ELSE t.tok END, ' ' ORDER BY t.k) AS template
-  FROM t LEFT JOIN s ON t.leaf = s.leaf AND t.k = s.k AND t.tok = s.tok GROUP BY ALL HAVING count(s.tok) >= 0.5 * count(*) AND count(s.tok) > 0),
-o AS (SELECT own.doc_id, own.text, own.n, tp.leaf, tp.template FROM own JOIN tp ON own.leaf = tp.leaf AND own.toks = tp.toks),
-r AS (SELECT leaf, template FROM o GROUP BY ALL HAVING count(DISTINCT {'i': doc_id, 't': text}) >= 4),
-lost AS (
-  SELECT DISTINCT doc_id, text, n FROM (SELECT o.*, row_number() OVER (PARTITION BY o.leaf, o.template ORDER BY o.doc_id NULLS LAST, o.n) AS place FROM o JOIN r ON o.leaf = r.leaf AND o.template = r.template) WHERE place > 1)
+  SELECT p.leaf, p.toks, v.level, string_agg(CASE WHEN p.level >= v.level THEN p.tok ELSE '<*>' END, ' ' ORDER BY p.k) AS template
+  FROM p JOIN (SELECT DISTINCT leaf, toks, level FROM p WHERE level IS NOT NULL) v ON p.leaf = v.leaf AND p.toks = v.toks
+  GROUP BY ALL HAVING count(*) FILTER (WHERE p.level >= v.level) >= 0.5 * count(*)),
+o AS (SELECT DISTINCT own.text, own.n, tp.leaf, tp.template FROM own JOIN tp ON own.leaf = tp.leaf AND own.toks = tp.toks),
+r AS (SELECT leaf, template FROM o GROUP BY ALL HAVING count(DISTINCT text) >= 4),
+lost AS (SELECT DISTINCT text, n FROM o JOIN r ON o.leaf = r.leaf AND o.template = r.template)
 SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(lost.n) AS INTEGER) AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE lost.n IS NULL), '')) AS kept_sha256
-FROM l LEFT JOIN lost ON l.doc_id IS NOT DISTINCT FROM lost.doc_id AND l.text IS NOT DISTINCT FROM lost.text AND l.n = lost.n GROUP BY l.doc_id, l.text""",
+FROM l LEFT JOIN lost ON l.text IS NOT DISTINCT FROM lost.text AND l.n = lost.n GROUP BY l.doc_id, l.text""",
     "op3_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
