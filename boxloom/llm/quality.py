@@ -37,7 +37,7 @@ class Shapes(dict):
         shape = word
         for pattern, by in RUNS:
             shape = pattern.sub(by, shape)
-        self[word] = shape = shape[:12]
+        self[word] = shape
         return shape
 
 
