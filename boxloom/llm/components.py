@@ -12,16 +12,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) pairs of longs -> (node, component): the smallest node that each linked node can reach.
 
     Nodes without a link do not appear. Each round is two aggregates and two joins on the edges; a star's centre is
-    reduced to its minimum before the join, and no neighbourhood is gathered in one place. The driver sees one
-    count and one checksum a round.
+    reduced to its minimum first, in a table of its own, so that the join can split the edges of a hub over many tasks.
+    The driver sees one count and one checksum a round.
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))

@@ -4,10 +4,10 @@ Fingerprints that differ in at most ``distance`` bits agree in at least ``blocks
 blocks. For each choice of that many blocks the fingerprints are grouped by those blocks' bits, and pairs within a
 group are verified by their Hamming distance. Only *distinct* fingerprints take part, so a group of copies is one row.
 
-A group with more than ``dense`` fingerprints would give too many pairs. There the links come, just as exactly, from
-the flips: two fingerprints are within 2 bits of each other if and only if some value lies within 1 bit of both. Each
-fingerprint is sent to itself and its 1-bit neighbours, and all that meet at one value are linked to the least of them:
-rows grow with the group, not with its square, and any two fingerprints within 2 bits end in one component.
+A group with more than ``dense`` fingerprints is split by longer keys: the bits that its key leaves open are cut into blocks
+of two bits, and the fingerprints meet again for each choice of all but ``distance`` of these. Such a key leaves
+``2 * distance`` bits open, so at most ``4 ** distance`` fingerprints share it, and rows grow with the group, not with its
+square. Every pair within the distance still shares a key, and is verified like any other.
 """
 
 from __future__ import annotations
@@ -24,6 +24,12 @@ from .common import checkpointed, released
 from .components import connected_components
 
 
+def folded(values: np.ndarray) -> int:
+    """The 64-bit SimHash of some hashes: a bit is 1 if set in over half of them; 0 for none."""
+    ones = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big")
+
+
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
     found = text.encode("utf-8", "replace").lower().split()
@@ -54,48 +60,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(make), "doc_id long, fp long")
 
 
-def block_keys(fp: Column, distance: int, blocks: int) -> Column:
-    """The array of structs (choice, key): the bits of each choice of blocks - distance blocks."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def block_masks(distance: int, blocks: int) -> list[int]:
+    """The bits of each choice of blocks - distance blocks."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(signed(sum(masks[k] for k in pick))).cast("long")).alias("key"))
-            for i, pick in enumerate(combinations(range(blocks), blocks - distance))
-        ]
-    )
+    return [sum(masks[k] for k in pick) for pick in combinations(range(blocks), blocks - distance)]
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 2, blocks: int = 5, dense: int = 64) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that give the components of "at most distance bits apart".
+def longer_masks(mask: int, distance: int) -> list[int]:
+    """The mask with each choice of all but ``distance`` two-bit blocks of the bits that it leaves open."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    small = [sum(1 << b for b in rest[i : i + 2]) for i in range(0, len(rest), 2)]
+    return [mask | sum(pick) for pick in combinations(small, max(0, len(small) - distance))]
 
-    Outside dense groups these are all the pairs; in them, stars that have the same components.
-    """
-    if distance > 2:
-        raise ValueError("the flips of dense groups cover distances up to 2")
-    keys = fps.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("k")).select("fp", "k.choice", "k.key")
-    sizes = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+def _keys(fp: Column, masks: list[int]) -> Column:
+    """The array of structs (choice, key): the fingerprint's bits under each mask."""
+    return F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)])
+
+
+def _close(keys: DataFrame, on: list[str], distance: int) -> DataFrame:
+    """The pairs (a, b) that share a key and lie within the distance."""
+    a, b = keys.select(*on, F.col("fp").alias("a")), keys.select(*on, F.col("fp").alias("b"))
+    return a.join(b, on).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
+
+
+def fingerprint_links(fps: DataFrame, distance: int = 2, blocks: int = 5, dense: int = 64) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct fingerprints (column fp) at most distance bits apart."""
+    masks = block_masks(distance, blocks)
+    keys = fps.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("fp", "k.choice", "k.key")
+    # apart from the aggregate, so that the join can split a hot key
+    sizes = checkpointed(keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     keys = checkpointed(keys.join(sizes, ["choice", "key"]))
-    few = keys.where(F.col("n") <= dense)
-    pairs = (
-        few.select("choice", "key", F.col("fp").alias("a"))
-        .join(few.select("choice", "key", F.col("fp").alias("b")), ["choice", "key"])
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-        .select("a", "b")
-    )
-    many = keys.where(F.col("n") > dense).select("fp").distinct()
-    flips = [0, *(1 << i for i in range(63)), -(1 << 63)] if distance == 2 else [0]
-    near = many.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value")
-    )
-    if distance == 1:  # two values 1 bit apart: one of them is the other's flip
-        one = many.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in [*(1 << i for i in range(63)), -(1 << 63)]])).alias("flip"))
-        stars = one.select(F.col("fp").alias("a"), F.col("fp").bitwiseXOR(F.col("flip")).alias("b")).join(many.select(F.col("fp").alias("b")), "b", "left_semi")
-    else:
-        least = near.groupBy("value").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", "a")
-        stars = near.join(least, "value").select("a", F.col("fp").alias("b")).where("a <> b")
-    return pairs.unionByName(stars.select("a", "b")).distinct()
+    few = _close(keys.where(F.col("n") <= dense), ["choice", "key"], distance)
+    longer = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in longer_masks(mask, distance)]) for mask in masks])
+    own = F.posexplode(F.transform(F.element_at(longer, F.col("choice") + 1), lambda m: F.col("fp").bitwiseAND(m))).alias("sub", "long_key")
+    many = keys.where(F.col("n") > dense).select("fp", "choice", own)
+    return few.unionByName(_close(many, ["choice", "sub", "long_key"], distance)).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, distance: int = 2, blocks: int = 5, dense: int = 64) -> DataFrame:
@@ -110,8 +115,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = connected_components(fingerprint_links(distinct.select("fp"), distance, blocks, dense))
     # component is the least fingerprint of the group; the least document of all its fingerprints names it
     of = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    table = of.join(names, "component").select("fp", "component_id")
+    names = checkpointed(of.groupBy("component").agg(F.min("least_id").alias("component_id")))  # apart, so that the joins can split hot keys
+    table = checkpointed(of.join(names, "component").select("fp", "component_id"))
     return marked.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
