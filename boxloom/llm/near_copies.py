@@ -1,14 +1,19 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and their groups.
 
-The join is exact, by prefixes: if all shingles have one order, two sets that are that similar share one of their first
-``n - ceil(0.8 n) + 1``. Any order will do, so shingles that are frequent in a sample of the documents come last, which
+Candidates come in two steps. First SimHash: fingerprints of the shingle sets are joined on pigeonhole blocks, pairs
+within a few bits are verified by their Hamming distance, and then on the sets themselves. Sets that are 0.8 similar differ
+in some ten of 64 bits, which no choice of blocks can serve, so a second step finds the rest, and makes the result exact: a
+join by prefixes. If all shingles have one order, two sets that are that similar share one of their first
+``n - ceil(0.8 n) + 1``. Any order will do, so shingles that are frequent in a sample of the texts come last, which
 keeps common passages out of the prefixes; the rest is ordered by hash. Pairs that meet at a shingle pass a length and a
-position bound, and what is left is verified on the sets themselves. Documents of equal sets are one node.
-
-Where more than ``dense`` nodes meet at a shingle, they are first compared with a few leaders among them. Pairs that are
-both linked to one leader need no link of their own, and as Jaccard distance is a metric, pairs whose distances to a
-leader differ by more than 0.2 cannot be near. Only the other pairs are formed, so a large group of near copies takes
-rows in proportion to its size, and the groups are still exact.
+position bound, and what is left is verified on the sets. Documents of equal sets are one node.
+
+Each node is first verified against one other that it meets, the least node of a shingle. What is then linked, directly or
+not, needs no further check, and shingles at which all nodes are linked are left out. Where more than ``dense`` nodes still
+meet at a shingle, they are compared with a few leaders among them. Pairs that are both linked to one leader need no link
+of their own, and as Jaccard distance is a metric, pairs whose distances to a leader differ by more than 0.2 cannot be
+near. Only the other pairs are formed, so a large group of near copies takes rows in proportion to its size, and the groups
+are still exact.
 """
 
 from __future__ import annotations
@@ -21,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, released
+from .common import released, written
 from .components import connected_components
+from .simhash import fingerprint_links, folded
 
 WORDS = 5
 #: Similarity 0.8 as a fraction, so that bounds are whole numbers.
 NUM, DEN = 4, 5
-#: One of SAMPLE nodes is counted for the frequent shingles; at most FREQUENT of them are kept.
+#: One of SAMPLE texts is counted for the frequent shingles; at most FREQUENT of them are kept.
 SAMPLE, FREQUENT = 16, 1 << 16
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -91,11 +97,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 names=["a", "b", "near", "d"],
             )
 
-    pairs = checkpointed(pairs.distinct())
+    pairs = written(pairs.distinct())
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return checkpointed(joined.mapInArrow(released(measure), "a long, b long, near boolean, d double"))
+    return written(joined.mapInArrow(released(measure), "a long, b long, near boolean, d double"))
 
 
 def _bounds(a: str, b: str):
@@ -106,49 +112,55 @@ def _bounds(a: str, b: str):
     return (F.greatest(n, m) * NUM <= F.least(n, m) * DEN) & ((before + after) * (NUM + DEN) >= NUM * (n + m))
 
 
+def _split(places: DataFrame) -> DataFrame:
+    """The places of shingles at which nodes of several components meet, with the number m of places there."""
+    sizes = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # apart from the aggregate, so that the join can split a hot shingle
+    return written(places.join(written(sizes.where("lo <> hi").select("shingle", "m")), "shingle"))
+
+
 def near_copy_links(places: DataFrame, texts_of, dense: int = 64, rounds: int = 8) -> DataFrame:
-    """Links (a, b) that give the groups of near copies, from (shingle, node, n, pos); ``texts_of`` gives the (node, text)
-    of a table of nodes."""
-    sizes = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    places = checkpointed(places.join(sizes, "shingle"))
+    """Links (a, b) that join what is near in different components, from (shingle, node, n, pos, comp); ``texts_of`` gives
+    the (node, text) of a table of nodes."""
+    places = _split(places)
     few = places.where(F.col("m") <= dense)
     links = []
-    many = checkpointed(places.where(F.col("m") > dense).select("shingle", "node", "n", "pos", F.expr("cast(array() as array<double>)").alias("ds"), F.expr("cast(array() as array<boolean>)").alias("at")))
+    many = written(places.where(F.col("m") > dense).select("shingle", "node", "n", "pos", "comp", F.expr("cast(array() as array<double>)").alias("ds"), F.expr("cast(array() as array<boolean>)").alias("at")))
     # what two sets share is in both prefixes (at few or many), or among the longer of the rests behind them
-    held = checkpointed(many.groupBy("node").agg(F.count(F.lit(1)).alias("held")))
+    held = written(many.groupBy("node").agg(F.count(F.lit(1)).alias("held")))
     met = (
-        few.alias("x").join(few.alias("y"), "shingle").where((F.col("x.node") < F.col("y.node")) & _bounds("x", "y"))
+        few.alias("x").join(few.alias("y"), "shingle").where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _bounds("x", "y"))
         .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("met"))
         .join(held.select(F.col("node").alias("a"), F.col("held").alias("p")), "a", "left").join(held.select(F.col("node").alias("b"), F.col("held").alias("q")), "b", "left")
     )
     most = F.col("met") + F.least(F.coalesce("p", F.lit(0)), F.coalesce("q", F.lit(0))) + F.expr(f"(greatest(n, m) * {NUM} + {DEN - 1}) div {DEN} - 1")
-    pairs = checkpointed(met.where(most * (NUM + DEN) >= NUM * (F.col("n") + F.col("m"))).select("a", "b"))
-    texts = checkpointed(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct()))
+    pairs = written(met.where(most * (NUM + DEN) >= NUM * (F.col("n") + F.col("m"))).select("a", "b"))
+    texts = written(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct()))
     for _ in range(rounds):
         # a leader for each shingle at which too many nodes are linked to none
-        free = many.where("not exists(at, x -> x)").groupBy("shingle").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("free"))
-        led = checkpointed(free.where((F.col("free") > dense)).select("shingle", "leader"))
+        free = many.where("not exists(at, x -> x)").groupBy("shingle").agg(F.min(F.struct("node", "comp")).alias("first"), F.count(F.lit(1)).alias("free"))
+        led = written(free.where(F.col("free") > dense).select("shingle", F.col("first.node").alias("leader"), F.col("first.comp").alias("own")))
         if led.isEmpty():
             break
-        with_leader = checkpointed(many.join(led, "shingle", "left"))
-        found = verified(with_leader.where("leader is not null and leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")), texts)
+        with_leader = written(many.join(led, "shingle", "left"))
+        found = verified(with_leader.where("leader is not null and own <> comp").select(F.col("leader").alias("a"), F.col("node").alias("b")), texts)
         links.append(found.where("near").select("a", "b"))
         got = found.select(F.col("a").alias("leader"), F.col("b").alias("node"), "near", "d")
-        own = F.col("leader") == F.col("node")
-        many = checkpointed(
+        none = F.col("leader").isNull()
+        many = written(
             with_leader.join(got, ["leader", "node"], "left").select(
-                "shingle", "node", "n", "pos",
-                F.when(F.col("leader").isNull(), F.col("ds")).otherwise(F.array_append("ds", F.when(own, 0.0).otherwise(F.col("d")))).alias("ds"),
-                F.when(F.col("leader").isNull(), F.col("at")).otherwise(F.array_append("at", own | F.coalesce("near", F.lit(False)))).alias("at"),
+                "shingle", "node", "n", "pos", "comp",
+                F.when(none, F.col("ds")).otherwise(F.array_append("ds", F.when(F.col("leader") == F.col("node"), 0.0).otherwise(F.col("d")))).alias("ds"),
+                F.when(none, F.col("at")).otherwise(F.array_append("at", (F.col("own") == F.col("comp")) | F.coalesce("near", F.lit(False)))).alias("at"),
             )
         )
     # pairs that are both linked to the first leader are settled, so one of each pair is apart from it
     apart = many.where("size(at) = 0 or not at[0]")
     settled = F.expr("exists(zip_with(x.at, y.at, (p, q) -> p and q), v -> v)")
-    far = F.expr("exists(zip_with(x.ds, y.ds, (p, q) -> abs(p - q) > 0.2000001), v -> v)")
+    far = F.expr("exists(zip_with(x.ds, y.ds, (p, q) -> coalesce(abs(p - q) > 0.2000001, false)), v -> v)")  # a distance that wasn't needed is null
     rest = (
         apart.alias("x").join(many.alias("y"), "shingle")
-        .where((F.col("x.node") != F.col("y.node")) & _bounds("x", "y") & ~settled & ~far)
+        .where((F.col("x.comp") != F.col("y.comp")) & _bounds("x", "y") & ~settled & ~far)
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     )
     out = verified(pairs.unionByName(rest), texts).where("near").select("a", "b")
@@ -157,44 +169,60 @@ def near_copy_links(places: DataFrame, texts_of, dense: int = 64, rounds: int =
     return out.distinct()
 
 
-def near_copy_groups(rows: DataFrame, dense: int = 64) -> DataFrame:
+def near_copy_groups(rows: DataFrame, dense: int = 64, distance: int = 2) -> DataFrame:
     """(key, id) and text -> (key, id, component): near copies, and what near copies link, share a component.
 
     ``key`` (long) stands for a row, rows of one key must have one text. Texts without words are equal. Nothing is left
     out but pairs under similarity 0.8; sets are compared by 64-bit hashes.
     """
     spark = rows.sparkSession
+    text = rows.select("key", "id", "text")
 
-    def mark(batches):
+    def listed(batches):
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(2)]
-            nodes = [node_of(s) for s in sets]
-            sample = [s.view(np.int64) if x % SAMPLE == 0 else None for s, x in zip(sets, nodes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sample, pa.list_(pa.int64()))], names=["key", "id", "node", "sample"])
+            yield pa.RecordBatch.from_arrays([pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(0)], pa.list_(pa.int64()))], names=["s"])
 
-    text = rows.select("key", "id", "text")
-    marked = checkpointed(text.mapInArrow(released(mark), "key long, id long, node long, sample array<long>"))
-    counts = marked.select(F.explode("sample").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
+    sample = text.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    counts = sample.mapInArrow(released(listed), "s array<long>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
     top = counts.orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()  # at most FREQUENT rows
     values = np.array(top.column("s").to_pylist(), dtype=np.int64).view(np.uint64)
     order = np.argsort(values)
     shared = spark.sparkContext.broadcast((values[order], (len(values) - np.arange(len(values)))[order]))
 
-    def cut(batches):
+    def mark(batches):
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for t in batch.column(0):
-                found = shingles(t.as_py())
-                own = prefix(found, *shared.value)
-                for x, v in zip(out, (own.view(np.int64), np.full(len(own), node_of(found)), np.full(len(own), len(found)), np.arange(len(own)))):
-                    x.append(v)
-            flat = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], names=["shingle", "node", "n", "pos"])
-
-    def texts_of(nodes):
-        reps = marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-        return text.join(reps, "key").select("node", "text").dropDuplicates(["node"])
-
-    places = text.select("text").mapInArrow(released(cut), "shingle long, node long, n long, pos long").distinct()
-    linked = connected_components(near_copy_links(places, texts_of, dense))
+            sets = [shingles(t.as_py()) for t in batch.column(2)]
+            columns = [
+                pa.array([node_of(s) for s in sets], pa.int64()),
+                pa.array(np.array([folded(s) for s in sets], dtype=np.uint64).view(np.int64)),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["key", "id", "node", "fp", "n", "prefix"])
+
+    marked = written(text.mapInArrow(released(mark), "key long, id long, node long, fp long, n long, prefix array<long>"))
+    # rows of one node have the same fp, n and prefix
+    nodes = written(marked.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+
+    def texts_of(own: DataFrame) -> DataFrame:
+        reps = nodes.join(own, "node", "left_semi").select("node", "key")
+        return text.join(written(reps), "key").select("node", "text").dropDuplicates(["node"])
+
+    # candidates by SimHash: within a few bits, or with one fingerprint
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    links = fingerprint_links(fps.select("fp"), distance)
+    a, b = fps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), fps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+    close = links.join(a, "a").join(b, "b").select("x", "y").union(nodes.join(fps, "fp").where("node <> rep").select("rep", "node"))
+    # and each node's best meeting with the least node of a shingle of its prefix
+    places = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    common = written(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n", "pos")).alias("hub")).where("m > 1").select("shingle", "hub"))
+    places = written(places.join(common, "shingle"))
+    met = places.select("node", "n", "pos", F.col("hub.node").alias("to"), F.struct("hub.*").alias("y"), F.struct("n", "pos").alias("x")).where(F.col("node") != F.col("to"))
+    met = met.where(_bounds("x", "y")).groupBy("node", "to").agg(F.count(F.lit(1)).alias("met"))
+    best = met.groupBy("node").agg(F.max(F.struct("met", "to")).alias("best")).select(F.col("best.to").alias("x"), F.col("node").alias("y"))
+    close = written(close.union(best).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    first = verified(close, written(texts_of(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()))).where("near").select("a", "b")
+    comps = written(connected_components(first))
+    placed = places.drop("hub").join(comps, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
+    linked = written(connected_components(first.unionByName(near_copy_links(placed, texts_of, dense))))
     return marked.select("key", "id", "node").join(linked, "node", "left").select("key", "id", F.coalesce("component", "node").alias("component"))
