@@ -105,11 +105,16 @@ def looked_up(key: Column, table: Mapping, default) -> Column:
 
 
 def first_contained(text: Column, table: Sequence[tuple[str, str]], default: Column | str) -> Column:
-    """The value of the first key, in order, that the text contains."""
-    out = default if isinstance(default, Column) else F.lit(default)
-    for key, value in reversed(table):
-        out = F.when(text.contains(key), F.lit(value)).otherwise(out)
-    return out
+    """The value of the first key, in order, that the text contains. A filter of a constant array, so that the plan and
+    its code stay small however long the table is."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in table])
+    hit = lambda t: F.get(F.filter(pairs, lambda p: t.contains(p["key"])), F.lit(0))["value"]
+    return F.coalesce(bound(text, hit), default if isinstance(default, Column) else F.lit(default))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def stripped(c: Column) -> Column:
@@ -126,8 +131,8 @@ def step1_class(label: Column) -> Column:
 
 def free_label(label: Column) -> Column:
     """An allowed class of that name in any case, else the first key contained, else Other."""
-    low = F.lower(stripped(label))
-    return looked_up(low, {a.lower(): a for a in ALLOWED}, first_contained(low, FREE_LABELS, "Other"))
+    names = {a.lower(): a for a in ALLOWED}
+    return bound(F.lower(stripped(label)), lambda low: looked_up(low, names, first_contained(low, FREE_LABELS, "Other")))
 
 
 def coco_id(index: Column) -> Column:

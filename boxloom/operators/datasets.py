@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 
 def mix_datasets(parts: Sequence[DataFrame], id_col: str = "image_id") -> DataFrame:
     """All datasets, with unique_id "{number}_{id}"; rows of class -1 go."""
@@ -50,13 +52,22 @@ def kitti_split(images: DataFrame, name: str = "name", val: float = 0.2, disjoin
 
 
 def numbered(df: DataFrame, order: Sequence[str], start: int = 0, column: str = "number") -> DataFrame:
-    """Consecutive numbers in the given order: ranges are sorted apart, and each starts after the rows before it."""
+    """Consecutive numbers in the given order: ranges are sorted apart, and each starts after the rows before it.
+
+    The ranges are stored once, since a second sort could draw other bounds. The driver sees one count for each range."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = df.schema.add(column, "long")
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start))
-    return spark.createDataFrame(rows, schema)
+    # the upper bits of this id are the partition's number, the lower 33 the row's place in it
+    rows = stored(ranged.withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = start, []
+    for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["n"]
+    starts = spark.createDataFrame(offsets, "__part long, __start long")
+    numbers = rows.withColumn("__part", part).join(F.broadcast(starts), "__part")  # one row for each range
+    return numbers.withColumn(column, place + F.col("__start")).drop("__id", "__part", "__start")
 
 
 def dedup_detections(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -46,22 +46,35 @@ def infer_batches(df: DataFrame, make_model: Callable[[], Model], key: str, prom
     return df.select(key, F.col(prompt).alias("prompt")).mapInArrow(run, f"{key} {kind}, response string, success boolean, error string, duration_seconds double")
 
 
+FAILED = object()
+
+
+def answered(model: Model, prompts: list) -> list:
+    """The model's answers to all prompts at once. If it fails, each half is asked alone, down to the prompts that fail."""
+    if not prompts:
+        return []
+    try:
+        return list(model(prompts))
+    except Exception:  # noqa: BLE001 - a failed prompt is the next backend's
+        half = len(prompts) // 2
+        return [*answered(model, prompts[:half]), *answered(model, prompts[half:])] if half else [FAILED]
+
+
 def infer_with_fallback(df: DataFrame, backends: Sequence[tuple[str, Callable[[], Model]]], key: str, prompt: str) -> DataFrame:
-    """key, response, success, backend: the first backend, in order, that answers a row; none if all fail."""
+    """key, response, success, backend: the first backend, in order, that answers a row; none if all fail.
+    A backend gets all rows of a batch that are left at once, and only what failed goes to the next."""
 
     def run(batches):
         models = [(name, make()) for name, make in backends]
         for batch in batches:
-            rows = []
-            for p in batch.column(1).to_pylist():
-                answer = (None, "none")
-                for name, model in models:
-                    try:
-                        answer = (model([p])[0], name)
-                        break
-                    except Exception:  # noqa: BLE001, S112 - the next backend is the handling
-                        continue
-                rows.append(answer)
+            prompts = batch.column(1).to_pylist()
+            rows, left = [(None, "none")] * len(prompts), list(range(len(prompts)))
+            for name, model in models:
+                answers = answered(model, [prompts[i] for i in left])
+                for i, a in zip(left, answers):
+                    if a is not FAILED:
+                        rows[i] = (a, name)
+                left = [i for i, a in zip(left, answers) if a is FAILED]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r for r, _ in rows], pa.string()), pa.array([b != "none" for _, b in rows]), pa.array([b for _, b in rows], pa.string())], names=[key, "response", "success", "backend"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import taxonomy as tx
 from ..functions.taxonomy import stripped
+from ..tables import stored
 
 START, END = "RESULT_START", "RESULT_END"
 BOX = r"\((\d+),\s*(\d+),\s*(\d+),\s*(\d+)\)"
@@ -58,8 +59,9 @@ def line_boxes(rows: DataFrame, default: float, found: str) -> DataFrame:
 
 def validated(rows: DataFrame) -> DataFrame:
     """Boxes that are valid in their image (width, height), with the allowed class as label."""
-    d = [F.col(c).cast("double") for c in CORNERS]
-    return rows.where(g.valid(d, F.col("width"), F.col("height"))).withColumn("label", tx.free_label(F.col("raw_label")))
+    # the corners are bound, as a pushed filter would otherwise repeat the patterns they come from at every mention
+    ok = tx.bound(F.array(*[F.col(c).cast("double") for c in CORNERS]), lambda b: g.valid([b[i] for i in range(4)], F.col("width"), F.col("height")))
+    return rows.where(ok).withColumn("label", tx.free_label(F.col("raw_label")))
 
 
 OUT = ("label", *CORNERS, "confidence", "description", "raw_label")
@@ -133,17 +135,16 @@ def is_verbose(response: Column) -> Column:
 
 def parse_cascade(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """The boxes of the first strategy that yields any (column strategy); with markers in order the structured answer is
-    final, even without boxes. Each later strategy sees the responses that are left."""
+    final, even without boxes. Each later strategy sees the responses that are left: the boxes of each are stored, so
+    no response is parsed twice by one strategy."""
     final = F.lower(F.coalesce(result_block(F.col("response")), F.lit(""))).contains("no objects detected")
-    done = parse_structured(responses, keys).withColumn("strategy", F.lit("structured"))
-    left = responses.where(~final)
-    parts = [done]
-    for name, parse in (("simple", parse_simple), ("numbered", parse_numbered), ("general", parse_general)):
-        left = left.join(parts[-1].select(*keys).distinct(), list(keys), "left_anti")
-        parts.append(parse(left, keys).withColumn("strategy", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    left = stored(responses.select(*keys, "response", "width", "height", final.alias("final")))
+    out = None
+    for name, parse in (("structured", parse_structured), ("simple", parse_simple), ("numbered", parse_numbered), ("general", parse_general)):
+        own = parse(left, keys).withColumn("strategy", F.lit(name))
+        own = own if name == "general" else stored(own)
+        left = left.where("not final").join(own.select(*keys).distinct(), list(keys), "left_anti")
+        out = own if out is None else out.unionByName(own)
     return out
 
 

@@ -148,15 +148,19 @@ def snapshot_with_results(t):
 
 
 @query("load_ocr_results", oracle("""
-SELECT folder, name, structured, CAST(row_number() OVER (PARTITION BY folder ORDER BY n) - 1 AS INTEGER) AS position FROM (
-  SELECT image_id // 20 AS folder, image_id AS n, CASE WHEN image_id % 3 = 0 THEN 'page_' || image_id || '_structured.json' ELSE 'page_' || image_id || '.txt' END AS name, image_id % 3 = 0 AS structured FROM images)"""))
+SELECT folder, name, structured, CAST(row_number() OVER (PARTITION BY folder ORDER BY n) - 1 AS INTEGER) AS position, CASE WHEN structured THEN '{"page": ' || n || '}' ELSE 'text ' || n END AS text FROM (
+  SELECT image_id // 20 AS folder, image_id AS n, CASE WHEN image_id % 6 = 0 THEN 'page_' || image_id || '_structured.json' ELSE 'page_' || image_id || '.txt' END AS name, image_id % 6 = 0 AS structured FROM images)"""))
 def load_ocr_results(t):
+    """Every third page has a structured file, every second of these a broken one."""
     both = t.images.selectExpr("image_id div 20 AS folder", "image_id", "explode(CASE WHEN image_id % 3 = 0 THEN array('_structured.json', '.txt') ELSE array('.txt') END) AS e")
-    files = both.selectExpr("folder", "concat('page_', image_id, e) AS name", "'' AS text", "image_id AS mtime")
+    files = both.selectExpr("folder", "concat('page_', image_id, e) AS name", "image_id AS mtime",
+        "CASE WHEN e = '.txt' THEN concat('text ', image_id) WHEN image_id % 6 = 0 THEN concat('{\"page\": ', image_id, '}') ELSE '{\"page\": ' END AS text")
     return rd.ocr_results(files)
 
 
-@query("video_result_lookup", oracle("SELECT DISTINCT 'v/' || video_id || '.mp4' AS path, video_id || '_frame_' || frame_idx AS folder FROM frames WHERE frame_idx % 10 = 0"))
+@query("video_result_lookup", oracle("""
+SELECT 'v/' || v || '.mp4' AS path, folder FROM (SELECT DISTINCT video_id::VARCHAR AS v FROM frames)
+JOIN (SELECT video_id || '_frame_' || frame_idx AS folder FROM frames WHERE frame_idx % 10 = 0) ON starts_with(folder, v)"""))
 def video_result_lookup(t):
     videos = t.frames.selectExpr("concat('v/', video_id, '.mp4') AS path").distinct()
     folders = t.frames.where("frame_idx % 10 = 0").selectExpr("concat(video_id, '_frame_', frame_idx) AS folder")
@@ -249,6 +253,13 @@ def delete_images(t):
     return images.agg(F.count(F.lit(1)).alias("n_images")).crossJoin(ann.agg(F.count(F.lit(1)).alias("n_ann")))
 
 
-@query("save_results", oracle("SELECT image_id, 'Image: ' || image_id || chr(10) || 'Objects: ' || (image_id % 4) || chr(10) || repeat('=', 50) || chr(10) || response AS text FROM responses"))
+@query("save_results", oracle("""
+SELECT r.image_id, 'Image: ' || r.image_id || '.jpg' || chr(10) || 'Model: m' || r.image_id % 3 || chr(10) || 'Detection Time: ' || r.image_id % 7 || '.25s' || chr(10) || 'Objects Found: ' || coalesce(n, 0)
+  || chr(10) || chr(10) || repeat('=', 50) || chr(10) || response AS text, coalesce(n, 0) AS n_boxes, x_sum
+FROM responses r LEFT JOIN (SELECT image_id, count(*) AS n, round(sum(x1 / 640 * 100), 4) AS x_sum FROM det WHERE source = 'yolo' AND x2 > x1 AND y2 > y1 GROUP BY 1) d ON d.image_id = r.image_id"""))
 def save_results(t):
-    return wr.result_texts(t.responses.withColumn("n_objects", F.col("image_id") % 4))
+    """Both files of each image: the text block, and the task document, of which the boxes are read back."""
+    results = t.responses.selectExpr("image_id", "concat(image_id, '.jpg') AS image_path", "concat('m', image_id % 3) AS model_name", "image_id % 7 + 0.25D AS detection_time", "response")
+    d = wr.result_files(results, t.det.where(YOLO), t.images)
+    boxes = F.from_json("doc", rd.TASK)["predictions"][0]["result"]
+    return d.select("image_id", "text", F.coalesce(F.size(boxes), F.lit(0)).cast("long").alias("n_boxes"), F.round(F.aggregate(boxes, F.lit(0.0), lambda s, x: s + x["value"]["x"]), 4).alias("x_sum"))

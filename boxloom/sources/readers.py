@@ -29,11 +29,15 @@ TASK = f"struct<id:bigint,data:struct<image:string>,predictions:array<struct<res
 def coco_tables(docs: DataFrame, classes: Mapping[str, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """COCO documents (columns images, annotations, categories) to images, annotations and categories.
 
-    A category gets the class id of its name in any case, else -1; annotations carry it as class_id."""
-    cats = docs.select(F.explode("categories").alias("c")).select("c.*").distinct()
-    cats = cats.withColumn("class_id", tx.looked_up(F.lower("name"), {k.lower(): v for k, v in classes.items()}, -1))
-    ann = docs.select(F.explode("annotations").alias("a")).select("a.*").join(F.broadcast(cats.select(F.col("id").alias("category_id"), "class_id")), "category_id", "left")
-    return docs.select(F.explode("images").alias("i")).select("i.*"), ann.withColumn("class_id", F.coalesce("class_id", F.lit(-1))), cats
+    A category gets the class id of its name in any case, else -1; annotations carry it as class_id. A category id means
+    what its own document says, so the annotations need no join."""
+    known = {k.lower(): v for k, v in classes.items()}
+    class_of = lambda name: tx.looked_up(F.lower(name), known, -1)
+    cats = docs.select(F.explode("categories").alias("c")).select("c.*").distinct().withColumn("class_id", class_of(F.col("name")))
+    own = F.transform("categories", lambda c: F.named_struct(F.lit("id"), c["id"], F.lit("class_id"), class_of(c["name"])))
+    ann = docs.select(own.alias("__c"), F.explode("annotations").alias("a")).select("a.*", "__c")
+    found = F.get(F.filter("__c", lambda c: c["id"] == F.col("category_id")), F.lit(0))["class_id"]
+    return docs.select(F.explode("images").alias("i")).select("i.*"), ann.withColumn("class_id", F.coalesce(found, F.lit(-1))).drop("__c"), cats
 
 
 def read_coco(spark: SparkSession, path: str, classes: Mapping[str, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -148,21 +152,24 @@ def with_results(docs: DataFrame, column: str = "doc") -> DataFrame:
 
 
 def ocr_results(files: DataFrame) -> DataFrame:
-    """One result for each page: the structured file if there is one, else raw text, in page order.
+    """One result for each page, in page order: the structured file if there is one that holds JSON, else raw text.
 
-    files: folder, name, text, mtime. Order: "page N" in the name, else any number, else time."""
+    files: folder, name, text, mtime. Order: "page N" in the name, else any number, else time. Columns folder, name,
+    structured, position, text; a structured file whose JSON is broken is raw text itself if its page has no other."""
     page = F.regexp_extract("name", r"page_?(\d+)", 1).try_cast("int")
     number = F.regexp_extract("name", r"(\d+)", 1).try_cast("int")
     base = F.regexp_replace("name", r"(_structured)?\.(json|txt)$", "")
-    f = files.withColumns({"base": base, "structured": F.col("name").endswith(".json"), "o1": page, "o2": number})
-    first = Window.partitionBy("folder", "base").orderBy(F.desc("structured"), "name")
+    f = files.withColumns({"base": base, "json": F.col("name").endswith(".json"), "o1": page, "o2": number})
+    f = f.withColumn("structured", F.col("json") & F.coalesce(F.try_parse_json("text").isNotNull(), F.lit(False)))
+    first = Window.partitionBy("folder", "base").orderBy(F.desc("structured"), "json", "name")
     w = Window.partitionBy("folder").orderBy(F.asc_nulls_last("o1"), F.asc_nulls_last("o2"), "mtime", "name")
-    return f.withColumn("r", F.row_number().over(first)).where("r = 1").select("folder", "name", "structured", (F.row_number().over(w) - 1).alias("position"))
+    return f.withColumn("r", F.row_number().over(first)).where("r = 1").select("folder", "name", "structured", (F.row_number().over(w) - 1).alias("position"), "text")
 
 
 def video_results(videos: DataFrame, folders: DataFrame) -> DataFrame:
-    """Result folders "{video}_frame…" of each video, by the part of their name before it: an equi-join."""
-    f = folders.withColumn("video", F.regexp_replace("folder", r"_frame.*$", ""))
+    """The folders whose name begins with a video's base name: an equi-join on the beginnings of the folders' names."""
+    starts = F.transform(F.sequence(F.lit(1), F.length("folder")), lambda n: F.substr("folder", F.lit(1), n))
+    f = folders.where("folder <> ''").select("folder", F.explode(starts).alias("video"))
     v = videos.select("path", F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("video"))
     return v.join(f, "video").select("path", "folder")
 

@@ -127,11 +127,23 @@ def delete_images(images: DataFrame, ann: DataFrame, gone: DataFrame, key: str =
 
 
 def result_texts(results: DataFrame) -> DataFrame:
-    """image_id, text: a header block and the raw response."""
-    bar = F.lit("=" * 50)
-    return results.select("image_id", F.concat_ws("\n", F.concat(F.lit("Image: "), F.col("image_id").cast("string")), F.concat(F.lit("Objects: "), F.col("n_objects").cast("string")), bar, F.col("response")).alias("text"))
-
-
-def save_results(results: DataFrame, path: str) -> None:
-    """The texts as files in one folder for each image."""
-    result_texts(results).write.partitionBy("image_id").text(path)
+    """image_id, text: a header block and the raw response. results: image_id, image_path, model_name, detection_time
+    (seconds), n_objects, response."""
+    head = F.format_string("Image: %s\nModel: %s\nDetection Time: %.2fs\nObjects Found: %d\n\n" + "=" * 50 + "\n", "image_path", "model_name", F.col("detection_time").cast("double"), F.col("n_objects").cast("long"))
+    return results.select("image_id", F.concat(head, F.coalesce("response", F.lit(""))).alias("text"))
+
+
+def result_files(results: DataFrame, det: DataFrame, images: DataFrame) -> DataFrame:
+    """image_id, text, doc: the text block of each result and its task document, null for an image without sound boxes."""
+    docs = export_tasks(det, images)
+    n = F.coalesce(F.size(F.from_json("doc", "struct<predictions:array<struct<result:array<string>>>>")["predictions"][0]["result"]), F.lit(0))
+    j = results.join(docs, "image_id", "left").withColumn("n_objects", n)
+    return result_texts(j).join(docs, "image_id", "left")
+
+
+def save_results(results: DataFrame, det: DataFrame, images: DataFrame, path: str) -> None:
+    """Below the path, texts in raw_responses and task documents in json_annotations; in hashed buckets,
+    as one folder for each image would be as many folders as images."""
+    files = result_files(results, det, images).withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(64)))
+    files.select("bucket", "image_id", "text").write.partitionBy("bucket").json(f"{path}/raw_responses")
+    files.where("doc is not null").select("bucket", F.col("doc").alias("value")).write.partitionBy("bucket").text(f"{path}/json_annotations")
