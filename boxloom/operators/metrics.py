@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.taxonomy import bound
+
+
+CORNERS = ("x1", "y1", "x2", "y2")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -129,17 +133,91 @@ def top_by(df: DataFrame, column: str, n: int, ties: str, descending: bool = Tru
     return df.orderBy(order, ties).limit(n)
 
 
-def coco_ap(matches_by_threshold: DataFrame, det: DataFrame, gt: DataFrame) -> DataFrame:
-    """Mean AP over thresholds and categories with 101 recall points.
-
-    ``matches_by_threshold``: iou_threshold, det_id, category_id. A category without ground truth doesn't count; one
-    without predictions counts 0. Columns: iou_threshold, category_id, ap.
+#: The settings of the COCO protocol: IoU thresholds, area ranges (least and most square pixels), detections an image.
+COCO_IOU = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+COCO_AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+COCO_MAX = (1, 10, 100)
+#: The summary figures: name, whether AP (else AR), IoU threshold (None: all), area, detections an image.
+COCO_SUMMARY = (
+    ("AP", True, None, "all", 100), ("AP50", True, 0.5, "all", 100), ("AP75", True, 0.75, "all", 100),
+    ("AP_small", True, None, "small", 100), ("AP_medium", True, None, "medium", 100), ("AP_large", True, None, "large", 100),
+    ("AR1", False, None, "all", 1), ("AR10", False, None, "all", 10), ("AR100", False, None, "all", 100),
+    ("AR_small", False, None, "small", 100), ("AR_medium", False, None, "medium", 100), ("AR_large", False, None, "large", 100),
+)
+
+
+def coco_marks(det: DataFrame, gt: DataFrame, thresholds: Sequence[float] = COCO_IOU, areas: Mapping[str, tuple[float, float]] = COCO_AREAS, most: int = max(COCO_MAX)) -> DataFrame:
+    """What each detection is by the COCO protocol: category_id, det_id, score, rank (in its image and class), area,
+    iou_threshold, tp, ignored.
+
+    Detections of an image and class, the best ``most`` by score, take in turn the free ground truth that they overlap most,
+    one that counts before an ignored one: a crowd (column iscrowd, default 0), which several may take and whose overlap is
+    of the detection's own area, or a box outside the area range (column area, default the box's). What takes an ignored
+    one, or takes nothing and lies outside the range itself, is ignored. Overlaps are computed once for all settings: an
+    image and class is one row, whose boxes the fold goes through for each area and threshold.
     """
-    n = gt.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    th = matches_by_threshold.select("iou_threshold").distinct()
-    p = det.join(F.broadcast(th)).join(matches_by_threshold.select("iou_threshold", "det_id", F.lit(1).alias("tp")), ["iou_threshold", "det_id"], "left")
-    w = Window.partitionBy("iou_threshold", "category_id").orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = p.join(F.broadcast(n), "category_id").select("iou_threshold", "category_id", (F.sum(F.coalesce("tp", F.lit(0))).over(w) / F.col("n_gt")).alias("recall"), (F.sum(F.coalesce("tp", F.lit(0))).over(w) / F.count(F.lit(1)).over(w)).alias("precision"))
-    best = c.groupBy("iou_threshold", "category_id").agg(*[F.coalesce(F.max(F.when(F.col("recall") >= i / 100, F.col("precision"))), F.lit(0.0)).alias(f"p{i}") for i in range(101)])
-    total = sum((F.col(f"p{i}") for i in range(1, 101)), F.col("p0"))
-    return th.join(F.broadcast(n.select("category_id"))).join(best.select("iou_threshold", "category_id", (total / 101).alias("ap")), ["iou_threshold", "category_id"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    keys = ["image_id", "category_id"]
+    truth = gt.withColumns({"__crowd": F.coalesce("iscrowd", F.lit(0)) == 1 if "iscrowd" in gt.columns else F.lit(False), "__area": F.coalesce("area", g.area(g.box())) if "area" in gt.columns else g.area(g.box())})
+    truth = truth.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("gt_id").alias("id"), F.col("__area").cast("double").alias("area"), F.col("__crowd").alias("crowd"), *[F.col(c).cast("double").alias(c) for c in CORNERS]))).alias("gts"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "det_id")
+    d = det.select(*keys, "det_id", "score", *CORNERS, F.row_number().over(w).alias("rank")).where(F.col("rank") <= most).join(truth, keys, "left")
+    # the overlaps with each ground truth, in the order of their ids
+    over = F.transform("gts", lambda t: F.when(t["crowd"], ratio(g.intersection(g.box(), [t[c] for c in CORNERS]), g.area(g.box()))).otherwise(g.iou(g.box(), [t[c] for c in CORNERS])))
+    d = d.withColumn("ious", F.coalesce(over, F.array().cast("array<double>")))
+    own = F.struct("rank", "det_id", "score", g.area(g.box()).alias("area"), "ious")
+    image = d.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("dets"), F.first("gts").alias("gts"))
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, (lo, hi) in areas.items()])
+    levels = F.array(*[F.lit(float(t)) for t in thresholds])
+    each = image.select(*keys, "dets", F.coalesce("gts", F.array().cast(truth.schema["gts"].dataType)).alias("gts"), F.explode(names).alias("a"))
+    out = F.transform("gts", lambda t: t["crowd"] | (t["area"] < F.col("a.lo")) | (t["area"] > F.col("a.hi")))
+    each = each.select("*", out.alias("out"), F.explode(levels).alias("iou_threshold"))
+    marked = F.aggregate(
+        "dets",
+        F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("got")),
+        lambda acc, x: bound(
+            # the best free one: what counts first, then by overlap; of equal overlaps the last
+            F.array_max(
+                F.filter(
+                    F.transform("gts", lambda t, i: F.struct((~F.col("out")[i]).alias("counts"), F.get(x["ious"], i).alias("iou"), i.alias("i"))),
+                    lambda m: (m["iou"] >= F.col("iou_threshold")) & (F.element_at("gts", m["i"] + 1)["crowd"] | ~F.array_contains(acc["taken"], m["i"])),
+                )
+            ),
+            lambda m: F.struct(F.when(m.isNull(), acc["taken"]).otherwise(F.array_append(acc["taken"], m["i"])).alias("taken"), F.array_append(acc["got"], F.coalesce(m["i"], F.lit(-1))).alias("got")),
+        ),
+    )
+    each = each.withColumn("m", marked["got"])
+    found = each.select("category_id", F.col("a.name").alias("area"), "iou_threshold", F.explode(F.zip_with("dets", "m", lambda x, i: F.struct(
+        x["det_id"].alias("det_id"), x["score"].alias("score"), x["rank"].alias("rank"), ((i >= 0) & ~F.coalesce(F.get(F.col("out"), i), F.lit(False))).alias("tp"),
+        F.when(i >= 0, F.get(F.col("out"), i)).otherwise((x["area"] < F.col("a.lo")) | (x["area"] > F.col("a.hi"))).alias("ignored"),
+    ))).alias("x"))
+    return found.select("category_id", "area", "iou_threshold", "x.*")
+
+
+def coco_evaluation(det: DataFrame, gt: DataFrame, thresholds: Sequence[float] = COCO_IOU, areas: Mapping[str, tuple[float, float]] = COCO_AREAS, most: Sequence[int] = COCO_MAX) -> DataFrame:
+    """area, max_dets, iou_threshold, category_id, ap, ar by the COCO protocol: AP over 101 recall points and the recall
+    reached, of each category that has ground truth in the area range; without detections both are 0."""
+    size = F.coalesce("area", g.area(g.box())) if "area" in gt.columns else g.area(g.box())
+    crowd = F.coalesce("iscrowd", F.lit(0)) == 1 if "iscrowd" in gt.columns else F.lit(False)
+    counts = gt.where(~crowd).groupBy("category_id").agg(*[F.count_if((size >= float(lo)) & (size <= float(hi))).alias(n) for n, (lo, hi) in areas.items()])
+    counts = counts.select("category_id", F.explode(F.array(*[F.struct(F.lit(n).alias("area"), F.col(n).alias("n_gt")) for n in areas])).alias("c")).select("category_id", "c.*").where("n_gt > 0")
+    settings = counts.select("*", F.explode(F.array(*[F.lit(m) for m in most])).alias("max_dets")).select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("iou_threshold"))
+    marks = coco_marks(det, gt, thresholds, areas, max(most)).where("not ignored")
+    marks = marks.select("*", F.explode(F.filter(F.array(*[F.lit(m) for m in most]), lambda m: m >= F.col("rank"))).alias("max_dets"))
+    keys = ["area", "max_dets", "iou_threshold", "category_id"]
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    hits = F.sum(F.col("tp").cast("int")).over(w)
+    curve = marks.select(*keys, hits.alias("hits"), (hits / F.count(F.lit(1)).over(w)).alias("precision")).join(F.broadcast(counts), ["category_id", "area"])  # a row a category and area
+    recall = F.col("hits") / F.col("n_gt")
+    best = curve.groupBy(*keys).agg(F.max(recall).alias("ar"), *[F.coalesce(F.max(F.when(recall >= i / 100, F.col("precision"))), F.lit(0.0)).alias(f"p{i}") for i in range(101)])
+    total = F.aggregate(F.array(*[F.col(f"p{i}") for i in range(101)]), F.lit(0.0), lambda s, p: s + p)
+    out = settings.join(best.select(*keys, (total / 101).alias("ap"), "ar"), keys, "left")
+    return out.select("area", "max_dets", "iou_threshold", "category_id", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
+
+
+def coco_summary(evaluation: DataFrame) -> DataFrame:
+    """metric, value: the twelve figures; null where no category has ground truth of the area."""
+    one = evaluation.agg(*[
+        F.avg(F.when((F.col("area") == area) & (F.col("max_dets") == most) & (F.lit(True) if at is None else F.col("iou_threshold") == at), F.col("ap" if ap else "ar"))).alias(name)
+        for name, ap, at, area, most in COCO_SUMMARY
+    ])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n, *_ in COCO_SUMMARY])).alias("m")).select("m.*")

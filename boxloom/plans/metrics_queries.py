@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as mt
 from ..operators import metrics as me
+from . import sqlparts as s
 from .filters_joins_queries import MATCHED
 from .fixtures import oracle
 from .registry import query
@@ -105,20 +106,40 @@ SELECT category_id, round(sum(b) / 101, 6) AS ap FROM (SELECT n.category_id, i,
   FROM (SELECT DISTINCT category_id FROM gt) n CROSS JOIN range(101) r(i) LEFT JOIN curve USING (category_id) GROUP BY 1, 2) GROUP BY 1""", CURVE))
 def coco_ap(t):
     """101-point AP at IoU 0.5 by category."""
-    d, gt, m = parts(t)
-    at = m.select(F.lit(0.5).alias("iou_threshold"), "det_id", "category_id")
-    return me.coco_ap(at, d, gt).select("category_id", F.round("ap", 6).alias("ap"))
-
-
-@query("coco_ap_sweep")
+    d, gt = t.det.where("source = 'yolo'"), t.gt
+    return me.coco_evaluation(d, gt, (0.5,), {"all": me.COCO_AREAS["all"]}, (100,)).select("category_id", F.round("ap", 6).alias("ap"))
+
+
+LEVELS = ", ".join(f"({x}::DOUBLE)" for x in me.COCO_IOU)
+
+
+@query("coco_ap_sweep", oracle(f"""
+SELECT iou_threshold, round(avg(ap), 6) AS mean_ap FROM (
+  SELECT iou_threshold, category_id, sum(b) / 101 AS ap FROM (
+    SELECT th.t AS iou_threshold, n.category_id, i, coalesce(max(c.precision) FILTER (WHERE c.recall >= CAST(i AS DOUBLE) / 100), 0.0) AS b
+    FROM th CROSS JOIN n CROSS JOIN range(101) r(i) LEFT JOIN tcurve c ON c.t = th.t AND c.category_id = n.category_id GROUP BY ALL) GROUP BY ALL) GROUP BY 1""", f"""
+th(t) AS (VALUES {LEVELS}), n AS (SELECT category_id, count(*) AS n FROM gt GROUP BY 1),
+tcand AS (
+  SELECT t, d.image_id, d.category_id, list({{'o': -d.score, 'd': d.det_id, 'i': -{s.iou('d', 'g')}, 'g': -g.gt_id}} ORDER BY -d.score, d.det_id, -{s.iou('d', 'g')}, -g.gt_id) AS c
+  FROM det d JOIN gt g ON d.image_id = g.image_id AND d.category_id = g.category_id JOIN th ON {s.iou('d', 'g')} >= t WHERE d.source = 'yolo' GROUP BY ALL),
+tm AS (
+  SELECT t, unnest(list_reduce(c, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.d = x.d OR y.g = x.g)) > 0 THEN acc ELSE list_append(acc, x) END, c[1:0])) AS m FROM tcand),
+tp AS (SELECT th.t, d.category_id, d.det_id, d.score, CASE WHEN tm.m IS NULL THEN 0 ELSE 1 END AS tp FROM det d CROSS JOIN th LEFT JOIN tm ON tm.t = th.t AND tm.m.d = d.det_id WHERE d.source = 'yolo'),
+tcurve AS (
+  SELECT t, category_id, CAST(sum(tp) OVER w AS BIGINT) / count(*) OVER w AS precision, CAST(sum(tp) OVER w AS BIGINT) / n AS recall FROM tp JOIN n USING (category_id)
+  WINDOW w AS (PARTITION BY t, category_id ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING))"""))
 def coco_ap_sweep(t):
     """Mean AP by threshold .50 to .95 over all categories."""
     d, gt = t.det.where("source = 'yolo'"), t.gt
-    every = None
-    for k in range(10):
-        m = mt.match_ground_truth(d, gt, 0.5 + 0.05 * k).select(F.lit(round(0.5 + 0.05 * k, 2)).alias("iou_threshold"), "det_id", "category_id")
-        every = m if every is None else every.unionByName(m)
-    return me.coco_ap(every, d, gt).groupBy("iou_threshold").agg(F.round(F.avg("ap"), 6).alias("mean_ap"))
+    every = me.coco_evaluation(d, gt, areas={"all": me.COCO_AREAS["all"]}, most=(100,))
+    return every.groupBy("iou_threshold").agg(F.round(F.avg("ap"), 6).alias("mean_ap"))
+
+
+@query("coco_summary")
+def coco_summary(t):
+    """The twelve figures, with every thirteenth box a crowd."""
+    gt = t.gt.withColumn("iscrowd", (F.col("gt_id") % 13 == 0).cast("int"))
+    return me.coco_summary(me.coco_evaluation(t.det.where("source = 'yolo'"), gt)).select("metric", F.round("value", 6).alias("value"))
 
 
 @query("fp_confidence_hist", oracle("SELECT bin, low, count(p.det_id) AS n FROM b LEFT JOIN p ON p.tp = 0 AND p.score >= low AND p.score < high GROUP BY 1, 2", BASE,
