@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import sql
 from . import sqlparts as s
 from .fixtures import oracle
 from .registry import query
@@ -168,3 +169,14 @@ def refine_box_from_mask(t):
 
     pixels = t.gt.where("gt_id % 5 <> 0").selectExpr("gt_id", "x1", "y1", "explode(sequence(0, 5)) AS i").selectExpr("gt_id", "x1 + 2 + i AS px", "y1 + 3 + i AS py")
     return refine_boxes(t.gt.select("gt_id", "x1", "y1", "x2", "y2"), pixels, "gt_id")
+
+
+@query("sql_functions", oracle(f"""
+SELECT a_id, b_id, round({s.iou('a', 'b')}, 6) AS iou, round({s.overlap('a', 'b')}, 6) AS overlap, {s.valid('a', '640', '480')} AS valid FROM pairs WHERE b_id - a_id < 20""", s.PAIRS))
+def sql_functions(t):
+    """The box functions called from SQL."""
+    spark = t.det.sparkSession
+    sql.register(spark)
+    t.det.selectExpr("image_id", "category_id", "det_id", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) AS b").createOrReplaceTempView("sql_functions_boxes")
+    return spark.sql("""SELECT p.det_id AS a_id, q.det_id AS b_id, round(box_iou(p.b, q.b), 6) AS iou, round(box_overlap(p.b, q.b), 6) AS overlap, box_valid(p.b, 640D, 480D) AS valid
+      FROM sql_functions_boxes p JOIN sql_functions_boxes q ON p.image_id = q.image_id AND p.category_id = q.category_id AND p.det_id < q.det_id AND q.det_id - p.det_id < 20""")

@@ -1,33 +1,55 @@
-"""Batch forms of the streaming jobs, and user models with stub functions."""
+"""The streaming jobs over a table that is streamed from files, and user models with stub functions."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import frames as fr
 from ..operators import inference as inf
 from ..streaming import jobs
+from ..tables import new_path
 from .fixtures import oracle
 from .frames_stats_queries import DIFF
 from .registry import query
 
 
+def streamed(df, job):
+    """The result of a streaming job over the rows: written as files, read as a stream, its output read as a table."""
+    spark, folder = df.sparkSession, new_path(df.sparkSession, "stream")
+    df.write.parquet(f"{folder}/in")
+    out = job(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), idle_ms=None)
+    out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").format("parquet").start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 @query("stream_keyframes", oracle("SELECT video_id, frame_idx, CASE WHEN frame_idx % 10 = 0 THEN 'interval' ELSE 'scene_change' END AS reason FROM fd WHERE frame_idx % 10 = 0 OR diff IS NULL OR diff > 5", DIFF))
 def stream_keyframes(t):
-    """The batch result that the stream must equal, videos of any length."""
-    return fr.keyframes_both(t.frames, least_seconds=0.0).select("video_id", "frame_idx", "reason")
+    return streamed(t.frames.select("video_id", "frame_idx", "gray"), jobs.stream_keyframes)
 
 
-@query("stream_rolling_latency", oracle("SELECT video_id, frame_idx, min(infer_ms) OVER w AS min_ms, max(infer_ms) OVER w AS max_ms FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"))
+@query("stream_rolling_latency", oracle("""
+SELECT video_id, frame_idx, round(a, 6) AS avg_ms, min_ms, max_ms, CASE WHEN a > 0 THEN round(1000 / a, 4) END AS fps FROM (
+  SELECT video_id, frame_idx, avg(infer_ms) OVER w AS a, min(infer_ms) OVER w AS min_ms, max(infer_ms) OVER w AS max_ms FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""))
 def stream_rolling_latency(t):
-    return fr.rolling_latency(t.frames).select("video_id", "frame_idx", "min_ms", "max_ms")
+    out = streamed(t.frames.select("video_id", "frame_idx", "infer_ms"), jobs.stream_rolling_latency)
+    return out.select("video_id", "frame_idx", F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms", F.round(F.nanvl("fps", F.lit(None)), 4).alias("fps"))
+
+
+@query("stream_frame_batches", oracle("SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1) // 4 AS batch, frame_idx FROM frames"))
+def stream_frame_batches(t):
+    return streamed(t.frames.select("video_id", "frame_idx"), jobs.stream_batches)
 
 
 @query("stream_upsert_annotations", oracle("SELECT user_id AS image_id, arg_max(event_id, {'a': ts, 'b': event_id}) AS event_id FROM events GROUP BY 1"))
 def stream_upsert_annotations(t):
+    """Two streams into one table, the later saves first: they stay."""
     saves = t.table("events").select(F.col("user_id").alias("image_id"), "event_id", F.struct("ts", "event_id").alias("at"))
-    return jobs.latest_saves(saves, order="at").select("image_id", "event_id")
+    folder = new_path(saves.sparkSession, "saves")
+    for k, part in enumerate((saves.where("event_id % 2 = 1"), saves.where("event_id % 2 = 0"))):
+        part.write.parquet(f"{folder}/in{k}")
+        source = saves.sparkSession.readStream.schema(saves.schema).parquet(f"{folder}/in{k}")
+        jobs.stream_upsert_annotations(source, f"{folder}/table", f"{folder}/progress{k}", order="at").awaitTermination()
+    return saves.sparkSession.read.parquet(f"{folder}/table").select("image_id", "event_id")
 
 
 @query("stream_detection_counts", oracle("SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS start, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2"))

@@ -4,48 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..tables import stored
 
-def stream_keyframes(frames: DataFrame, fps: float = 10.0, threshold: float = 5.0, keep_first: bool = True) -> DataFrame:
+#: State of a video that sends nothing for so long is dropped.
+IDLE_MS = 60 * 60 * 1000
+
+
+def stateful(frames: DataFrame, step, schema: str, state: str, idle_ms: int | None) -> DataFrame:
+    """step(video, its frames of the batch in order, state or None) -> (rows, new state), for every video. The state of a
+    video without frames for ``idle_ms`` is dropped, so that ended videos cost nothing; one that comes back starts anew. None
+    keeps all state, for a finite source: with a timeout a query goes on for as long as there is state to drop."""
+    columns = [part.split()[0] for part in schema.split(", ")]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], own: GroupState) -> Iterator[pd.DataFrame]:
+        if own.hasTimedOut:
+            own.remove()
+            return
+        rows, new = step(key[0], pd.concat(parts).sort_values("frame_idx"), own.get[0] if own.exists else None)
+        own.update((new,))
+        if idle_ms is not None:
+            own.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(dict(zip(columns, rows)))
+
+    return frames.groupBy("video_id").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stream_keyframes(frames: DataFrame, fps: float = 10.0, threshold: float = 5.0, keep_first: bool = True, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Key frames of an unbounded frame stream: video_id, frame_idx, reason. State: the last gray thumbnail of a video.
 
     Within a micro-batch frames are put in order of frame_idx; a video's frames must not arrive in a later batch than
     their successors."""
     every = max(int(fps), 1)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else None
-        rows = []
-        for r in pd.concat(parts).sort_values("frame_idx").itertuples():
-            diff = None if last is None else sum(abs(a - b) for a, b in zip(r.gray, last)) / max(len(r.gray), 1)
-            last = [int(x) for x in r.gray]
-            scene = (diff is None and keep_first) or (diff is not None and diff > threshold)
-            if r.frame_idx % every == 0 or scene:
-                rows.append((key[0], r.frame_idx, "interval" if r.frame_idx % every == 0 else "scene_change"))
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["video_id", "frame_idx", "reason"])
+    def step(video, rows: pd.DataFrame, last):
+        gray, index = np.stack(rows["gray"].to_numpy()).astype(np.int64), rows["frame_idx"].to_numpy()
+        before = gray[:-1] if last is None else np.concatenate(([np.array(last, dtype=np.int64)], gray[:-1]))
+        scene = np.abs(gray[len(gray) - len(before) :] - before).mean(axis=1) > threshold if gray.size else np.zeros(len(before), dtype=bool)
+        if last is None:
+            scene = np.concatenate(([keep_first], scene))
+        timed = index % every == 0
+        at = np.flatnonzero(timed | scene)
+        return (np.full(len(at), video), index[at], np.where(timed[at], "interval", "scene_change").astype(object)), gray[-1].tolist()
 
-    return frames.groupBy("video_id").applyInPandasWithState(step, "video_id long, frame_idx long, reason string", "gray array<long>", "append", GroupStateTimeout.NoTimeout)
+    return stateful(frames, step, "video_id long, frame_idx long, reason string", "gray array<long>", idle_ms)
 
 
-def stream_rolling_latency(frames: DataFrame, last: int = 30) -> DataFrame:
+def stream_rolling_latency(frames: DataFrame, last: int = 30, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """avg_ms, min_ms, max_ms, fps of each camera's last so many inference times. State: those times."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = []
-        for r in pd.concat(parts).sort_values("frame_idx").itertuples():
-            times = [*times, float(r.infer_ms)][-last:]
-            mean = sum(times) / len(times)
-            rows.append((key[0], r.frame_idx, mean, min(times), max(times), 1000 / mean if mean > 0 else None))
-        state.update((times,))
-        yield pd.DataFrame(rows, columns=["video_id", "frame_idx", "avg_ms", "min_ms", "max_ms", "fps"])
+    def step(video, rows: pd.DataFrame, times):
+        times = [] if times is None else list(times)
+        every = pd.Series([*times, *rows["infer_ms"].astype(float)])
+        window = every.rolling(last, min_periods=1)
+        mean, least, most = (x.to_numpy()[len(times) :] for x in (window.mean(), window.min(), window.max()))
+        fps = np.divide(1000.0, mean, out=np.full(len(mean), np.nan), where=mean > 0)
+        return (np.full(len(mean), video), rows["frame_idx"].to_numpy(), mean, least, most, fps), every.iloc[-last:].tolist()
+
+    schema = "video_id long, frame_idx long, avg_ms double, min_ms double, max_ms double, fps double"
+    return stateful(frames, step, schema, "times array<double>", idle_ms)
+
+
+def stream_batches(frames: DataFrame, size: int = 4, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Frames in groups of so many, across micro-batches: video_id, batch, frame_idx. Each row comes out at once, with the number of its
+    group; state is the number of frames seen, so the last group of a video may hold fewer."""
+
+    def step(video, rows: pd.DataFrame, seen):
+        n = (0 if seen is None else int(seen)) + np.arange(len(rows))
+        return (np.full(len(n), video), n // size, rows["frame_idx"].to_numpy()), int(n[-1]) + 1
 
-    return frames.groupBy("video_id").applyInPandasWithState(step, "video_id long, frame_idx long, avg_ms double, min_ms double, max_ms double, fps double", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stateful(frames, step, "video_id long, batch long, frame_idx long", "seen long", idle_ms)
 
 
 def stream_detection_counts(detections: DataFrame, time: str = "ts", label: str = "label", window: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -60,10 +95,20 @@ def latest_saves(saves: DataFrame, key: str = "image_id", order: str = "ts") ->
     return saves.groupBy(key).agg(F.max_by(F.struct(*saves.columns), order).alias("s")).select("s.*")
 
 
-def stream_upsert_annotations(saves: DataFrame, target: str, checkpoint: str, key: str = "image_id", order: str = "ts"):
-    """A query whose micro-batches replace the saved images' partitions of a Parquet table: the last save wins."""
+def stream_upsert_annotations(saves: DataFrame, target: str, checkpoint: str, key: str = "image_id", order: str = "ts", buckets: int = 64):
+    """A query whose micro-batches update a Parquet table in which the last save of each image, by ``order``, wins, even
+    over one that arrives later. The table has a folder for each bucket of keys, and a batch rewrites those it touches."""
+    kind = saves.schema
 
     def write(batch: DataFrame, _: int) -> None:
-        latest_saves(batch, key, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(target)
+        spark = batch.sparkSession
+        new = batch.select(*kind.names, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most so many numbers as there are buckets
+        try:
+            old = spark.read.schema(StructType([*kind.fields, StructField("bucket", IntegerType())])).parquet(target).where(F.col("bucket").isin(touched))
+        except AnalysisException:  # the first batch: no table yet
+            old = new.limit(0)
+        merged = stored(latest_saves(old.unionByName(new), key, order))  # read before what it was read from is replaced
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return saves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
