@@ -3,8 +3,9 @@
 Counting runs in Spark in two grouped steps, on arrays of 64-bit hashes rather than on rows of strings:
 
 1. Input partitions count their bigrams, slice by slice, and send each hash range its part of the sorted bigrams. A
-   bigram's range depends on both words, so no word, however common, fills one task. A range's task sums the counts and
-   writes the bigrams as a sorted hash array with a parallel array of counts.
+   bigram's range depends on both words, so no word, however common, fills one task. A range has a task of its own, which
+   merges the counts run by run and writes the bigrams as a sorted hash array with a parallel array of counts. There is a
+   range for every ``RANGE_BYTES`` of text, so a range's task holds as much of a large corpus as of a small one.
 2. The ranges send what they know of each word (occurrences, distinct predecessors, followers seen once, twice and
    more) to the word's own range, which sums it and writes sorted arrays for the words.
 
@@ -28,6 +29,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ from .common import checkpoint_dir, released, shuffle_partitions
 #: Hashes of the start and the end, apart from any word's.
 START, END = np.uint64(xxhash.xxh64_intdigest(b"\0start")), np.uint64(xxhash.xxh64_intdigest(b"\0end"))
 SLICE = 800_000
+#: Text for one hash range, and entries that a range's task merges at once.
+RANGE_BYTES, RUN = 16 << 20, 2_000_000
 WORD_FIELDS = ("c", "cont", "n1", "n2", "n3")
 
 
@@ -192,7 +196,8 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
     folder = f"{local_path(model_dir or checkpoint_dir(spark))}/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(folder)
     atexit.register(shutil.rmtree, folder, True)
-    ranges = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    ranges = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     blobs = pa.schema([("range", pa.int32())] + [(f"b{k}", pa.binary()) for k in range(4)])
     kinds = "range int, b0 binary, b1 binary, b2 binary, b3 binary"
 
@@ -216,15 +221,30 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
                     rows.append((int(r), packed(uv), packed(uw), pa.compress(index.tobytes(), codec="zstd", asbytes=True), str(len(index)).encode()))
                 yield batch(rows)
 
-    def bigrams(table: pa.Table) -> pa.Table:
-        r = table.column("range")[0].as_py()
-        parts = []
-        for b0, b1, b2, b3 in zip(*[table.column(f"b{k}").to_pylist() for k in range(4)]):
-            iv, iw, n = np.frombuffer(pa.decompress(b2, 4 * int(b3), codec="zstd", asbytes=True), np.uint32).reshape(3, -1)
-            parts.append((unpacked(b0)[iv], unpacked(b1)[iw], n))
-        v, w, n = (np.concatenate(x) for x in zip(*parts))
-        keys, n, first = sum_by(mix(v, w), n.astype(np.int64))
-        v, w = v[first], w[first]
+    def blobs_of(batches) -> Iterator[tuple[bytes, ...]]:
+        for part in batches:
+            yield from zip(*[part.column(f"b{k}").to_pylist() for k in range(4)])
+
+    def bigrams(batches):
+        r, run, size = TaskContext.get().partitionId(), [], 0
+        empty = np.zeros(0, dtype=np.uint64)
+        v, w, n = empty, empty, np.zeros(0, dtype=np.int64)
+
+        def merged():
+            v, w, n = (np.concatenate(x) for x in zip(*run))
+            keys, n, first = sum_by(mix(v, w), n)
+            return keys, v[first], w[first], n
+
+        for b0, b1, b2, b3 in blobs_of(batches):
+            iv, iw, c = np.frombuffer(pa.decompress(b2, 4 * int(b3), codec="zstd", asbytes=True), np.uint32).reshape(3, -1)
+            run.append((unpacked(b0)[iv], unpacked(b1)[iw], c.astype(np.int64)))
+            size += len(c)
+            if size >= RUN:  # what is merged so far is the next run's first part
+                run, size = [merged()[1:]], 0
+        if not run:
+            return
+        keys, v, w, n = merged()
+        run.clear()
         put(folder, f"bigram-{r}-keys", keys)
         put(folder, f"bigram-{r}-n", narrow(n))
         # by word: occurrences, predecessors; by predecessor: followers seen once, twice, more often
@@ -241,25 +261,30 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
             if cuts[q] < cuts[q + 1] or q == r:
                 raw = sums[own].T.astype(np.uint64).tobytes()
                 rows.append((q, packed(words[own]), pa.compress(raw, codec="zstd", asbytes=True), str(len(raw)).encode(), totals.tobytes() if q == r else b""))
-        return pa.Table.from_batches([batch(rows)])
+        yield batch(rows)
 
     names = ["range", "words", "tokens", "types", "docs", *[f"u{k}" for k in range(1, 5)], *[f"t{k}" for k in range(1, 5)]]
 
-    def words(table: pa.Table) -> pa.Table:
-        r = table.column("range")[0].as_py()
+    def words(batches):
+        r = TaskContext.get().partitionId()
         keys, values, totals = [], [], np.zeros(4, dtype=np.int64)
-        for b0, b1, b2, b3 in zip(*[table.column(f"b{k}").to_pylist() for k in range(4)]):
+        for b0, b1, b2, b3 in blobs_of(batches):
             raw = pa.decompress(b1, int(b2), codec="zstd", asbytes=True) if int(b2) else b""
             keys.append(unpacked(b0))
             values.append(np.frombuffer(raw, np.uint64).reshape(5, -1).T.astype(np.int64))
             totals += np.frombuffer(b3, np.int64) if b3 else 0
+            if sum(map(len, keys)) >= RUN:
+                h, sums, _ = sum_by(np.concatenate(keys), np.concatenate(values))
+                keys, values = [h], [sums]
+        if not keys:
+            return
         h, sums, _ = sum_by(np.concatenate(keys), np.concatenate(values))
         put(folder, f"word-{r}-keys", h)
         for k, f in enumerate(WORD_FIELDS):
             put(folder, f"word-{r}-{f}", narrow(sums[:, k]))
         c, cont = sums[:, 0], sums[:, 1]
         out = [r, (c > 0).sum(), c.sum(), cont.sum(), c[h == END].sum(), *[(cont == k).sum() for k in range(1, 5)], *totals]
-        return pa.table({n: pa.array([int(x)], pa.int64()) for n, x in zip(names, out)})
+        yield pa.RecordBatch.from_pydict({n: pa.array([int(x)], pa.int64()) for n, x in zip(names, out)})
 
     for r in range(ranges):  # ranges that no word or bigram falls into have empty arrays
         for kind, fields in (("bigram", ("n",)), ("word", WORD_FIELDS)):
@@ -269,10 +294,10 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
     rows = (
         docs.select(F.col(text_col).alias("text"))
         .mapInArrow(released(count), kinds)
-        .groupBy("range")
-        .applyInArrow(bigrams, kinds)
-        .groupBy("range")
-        .applyInArrow(words, ", ".join(f"{n} long" for n in names))
+        .repartitionById(ranges, "range")
+        .mapInArrow(released(bigrams), kinds)
+        .repartitionById(ranges, "range")
+        .mapInArrow(released(words), ", ".join(f"{n} long" for n in names))
         .collect()  # a few totals for each hash range
     )
     return KneserNey(folder, ranges, {n: sum(x[n] for x in rows) for n in names[1:]})
