@@ -29,13 +29,17 @@ def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives at least 0.3."""
+    """Documents that the classifier gives at least 0.3.
+
+    A null or empty text has the score of the bias; long texts are scored whole; rows that repeat are judged alike; labels of
+    ids that are null, repeated or contradictory don't count. Without labels all scores are 0.5, and all documents stay."""
     model = train_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 0))
     return docs.where(quality_score(spark, model, F.col("text")) >= 0.3)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without lines of recurring templates, but for the first occurrence of each."""
+    """The texts without lines of recurring templates. All rows stay: a null text stays null, a text may become empty; rows
+    of one text, null ids or not, are one document and lose the same lines."""
     return _columns(docs, drop_recurring_lines(docs))
 
 
@@ -51,12 +55,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts with every secret replaced by a mark."""
+    """The texts with every secret replaced by a mark. All rows stay; null and empty texts have no secrets; rows that repeat are
+    told apart by nothing and redacted alike."""
     found = scan_secrets(docs, key=row_key("doc_id", "text")).where("size(spans) > 0").select("key", "spans").dropDuplicates(["key"])
 
     def replaced(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in parts:
-            yield pd.Series([t if s is None else redact(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
+            yield pd.Series([t if t is None or len(s) == 0 else redact(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
 
     rows = docs.select(row_key("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(found, "key", "left")
@@ -67,7 +72,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens: a row per piece."""
+    """Sequences of at most 4096 tokens: a row per piece. A null or empty text is the end id alone; only longer texts are
+    cut; rows that repeat are packed each; null ids stay null."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
