@@ -194,7 +194,8 @@ def test_pipeline(spark, tmp_path):
     from boxloom.llm.quality import quality_score, train_quality
     from boxloom.llm.secret_scan import base_spans
 
-    from .test_dedup import brute_fp, brute_lines, groups
+    from .test_dedup import brute_lines
+    from .test_near_copies import brute_groups
 
     docs = spark.read.parquet(f"{fx.SF}/documents.parquet")
     names = docs.columns
@@ -211,10 +212,10 @@ def test_pipeline(spark, tmp_path):
             model = train_quality(docs, spark.read.parquet(f"{fx.SF}/labels.parquet"), ~held_out("doc_id", 0))
             assert set(got) == {r["doc_id"] for r in docs.where(quality_score(spark, model, F.col("text")) >= 0.3).collect()}
         elif k == 1:
-            assert Counter(got.items()) == brute_lines(list(before.items()), 4, 3, 0.5, True)
+            assert Counter(got.items()) == brute_lines(list(before.items()), 4, 3, 0.5, False)
         elif k == 2:
             ids = sorted(before)
-            root = groups([brute_fp(before[i]) for i in ids], 2)
+            root = brute_groups([before[i] for i in ids])
             least = {}
             for i, r in zip(ids, root):
                 least.setdefault(r, i)
