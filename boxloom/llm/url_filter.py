@@ -37,8 +37,8 @@ travel-notes school health history research.lab gov maps theatre books poetry as
 help.software code archive blog teacher dictionary nature economics language painting hospital sewing chess engine river
 opera thornton ostrander eastwood inlander
 """.split()
-PATHS = ("/en/448", "/fr/12.html", "/de/977/", "/es/51", "/", "/posts/2021/05", "/item/812", "/en/300")
-HOSTS = ("www.{}.example.com", "{}.example.org", "{}.example.net", "m.{}.example.com", "blog.{}.example.net")
+PATHS = ("/", "/index.html", "/about", "/posts/2021/05", "/item/812", "/p/12.html", "/archive/977/", "/page/3")
+HOSTS = ("www.{}.com", "{}.org", "{}.info", "shop.{}.co.uk", "{}-online.net", "the{}.io")
 TELLING = (
     *((f"http://www.site.example/{p}", 1) for p in ("casino/spin", "free-slots", "buy-cheap-pills", "win-cash-now", "adult/xxx", "ad/banner/click", "loan/apply-now", "prize/claim")),
     *((f"http://www.site.example/{p}", 0) for p in ("courses/algebra", "recipes/bread", "articles/planets", "forecast/tomorrow", "catalogue/books", "guides/first-aid", "timetable", "papers/2019")),
@@ -46,6 +46,7 @@ TELLING = (
 LABELLED = (
     *((f"http://{HOSTS[(i + k) % len(HOSTS)].format(site)}{PATHS[(i + 3 * k) % len(PATHS)]}", label) for label, sites in ((1, UNWANTED_SITES), (0, WANTED_SITES)) for i, site in enumerate(sites) for k in (0, 1)),
     *TELLING,
+    *(("", 0),) * 24,  # what has no host tells nothing: allowed
 )
 
 
@@ -106,7 +107,7 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[st
     """All columns of the input (those named like a result give way) and host, path, rule, verdict, spam_score.
 
     verdict: the longest fitting rule's, else block if the model gives at least the threshold, else allow. Null and
-    malformed urls have an empty host and path, fit no rule and are judged like any other text without n-grams.
+    malformed urls have an empty host and path, fit no rule and are allowed, as the training table has such rows.
     Rows that repeat stay; an empty table gives an empty result.
     """
     w = train_url_model(labelled, bits, sizes)
