@@ -235,3 +235,9 @@ def test_queries_have_whole_tables(spark):
     n = spark.read.parquet(f"{fx.SF}/documents.parquet").count()
     for name in ("op1_line_dedup", "op3_exact_dedup"):
         assert QUERIES[name](spark, fx.SF).count() == n
+
+
+def test_other_tokenizers_encode_whole_texts():
+    assert not pk.WordIds.checked(BPE).whole
+    w = pk.WordIds.checked(tokenizer_path("byte_bpe_50k.json"))
+    assert w.whole and np.frombuffer(w.encode([b"Hello  world\n"])[0], "<u4").tolist() == w.tokenizer.encode("Hello  world\n", add_special_tokens=False).ids
