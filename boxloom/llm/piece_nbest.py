@@ -11,7 +11,7 @@ cached, which keeps very long texts linear.
 
 The forward pass runs on arrays: the distinct words of a batch of texts, end to end, walk the trie of pieces together, one
 character a step, and the edges found are relaxed for all words at once, by start and length. Words over ``LONG``
-characters, or with characters that are no piece, are cut into parts and take the same steps one by one.
+characters are cut into parts and take the same steps one by one.
 
 Scores are the model's own piece scores, added up (for a BPE model: minus the merge ranks). A character that is no
 piece is encoded as its UTF-8 bytes at ``unknown_penalty`` below the least score of a piece with
@@ -77,14 +77,14 @@ class PieceModel:
 
     def edges(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
         """All edges of the chunks, which lie end to end with one position more than characters each: start and end
-        position, score and id, by place of the start in its chunk, then by length; the bounds of these groups; the
-        chunks' first positions; and which chunks hold a character that is no piece."""
+        position, score and id (-1 less the code of a character that is no piece), by place of the start in its chunk, then
+        by length; the bounds of these groups; and the chunks' first positions."""
         sizes = np.array([len(c) for c in chunks], dtype=np.int64)
         of = np.repeat(np.arange(len(chunks)), sizes)
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         left = np.cumsum(sizes)[of] - np.arange(len(codes))  # characters from here to the end
-        at, node, hard, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), np.zeros(len(chunks), dtype=bool), []
+        at, node, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), []
         for length in range(1, LONG + 1):
             key = node << 21 | codes[at + length - 1]
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -92,26 +92,28 @@ class PieceModel:
             node = self.child[place]
             piece = there & (self.node_id[node] >= 0)
             if length == 1:
-                hard[of[~piece]] = True
-            found.append((at[piece], np.full(piece.sum(), length), node[piece]))
+                odd = np.flatnonzero(~piece)
+                found.append((odd, np.ones(len(odd), dtype=np.int64), np.full(len(odd), self.unknown), -1 - codes[odd]))
+            own = node[piece]
+            found.append((at[piece], np.full(len(own), length), self.node_score[own], self.node_id[own]))
             go = there & (left[at] > length)
             at, node = at[go], node[go]
             if not len(at):
                 break
-        at, length, node = (np.concatenate(x) for x in zip(*found))
+        at, length, score, ids = (np.concatenate(x) for x in zip(*found))
         start = at + of[at]
         group = (start - first[of[at]]) * (LONG + 1) + length
         order = np.argsort(group.astype(np.uint16), kind="stable")
-        start, length, node, group = start[order], length[order], node[order], group[order]
+        start, length, group = start[order], length[order], group[order]
         bounds = np.concatenate((np.flatnonzero(np.diff(group, prepend=-1)), [len(group)]))
-        return start, start + length, self.node_score[node], self.node_id[node], bounds, first, hard
+        return start, start + length, score[order], ids[order], bounds, first
 
     def learn(self, chunks: list[str]) -> None:
         """Viterbi over many chunks at once: each one's best segmentation and what its second best loses."""
         some = [c for c in chunks if len(c) <= LONG]
         if not some:
             return
-        start, end, score, ids, bounds, first, hard = self.edges(some)
+        start, end, score, ids, bounds, first = self.edges(some)
         last = first + np.array([len(c) for c in some])
         size = int(last[-1]) + 1
         best, rest = np.full(size, -np.inf), np.full(size, -np.inf)
@@ -128,7 +130,7 @@ class PieceModel:
             s = start[a:b]
             rest[s] = np.maximum(rest[s], score[a:b] + rest[end[a:b]])
         # the best paths, from the ends
-        used, at, own, steps = np.full(size, -1, dtype=np.int64), last.copy(), np.flatnonzero(~hard), []
+        used, at, own, steps = np.full(size, -1, dtype=np.int64), last.copy(), np.arange(len(some)), []
         while len(own):
             here = at[own]
             steps.append((own, back_id[here]))
@@ -139,17 +141,25 @@ class PieceModel:
         for own, _ in steps:
             n[own] += 1
         stop = np.cumsum(n)
-        flat = np.zeros(int(stop[-1]), dtype="<u4")
+        flat = np.zeros(int(stop[-1]), dtype=np.int64)
         for k, (own, x) in enumerate(steps):
             flat[stop[own] - 1 - k] = x
         # another path takes an edge that the best one doesn't
         total = np.where(used[start] == end, -np.inf, best[start] + score + rest[end])
         second = np.full(len(some), -np.inf)
         np.maximum.at(second, np.searchsorted(first, start, side="right") - 1, total)
-        body, top = flat.tobytes(), best[last]
-        loss = np.subtract(top, second, out=np.zeros(len(some)), where=~hard)
-        found = zip(some, top.tolist(), (4 * (stop - n)).tolist(), (4 * stop).tolist(), loss.tolist(), hard.tolist())
-        self.chunks.update((c, (b, body[x:y], loss)) for c, b, x, y, loss, h in found if not h)
+        body, top = flat.astype("<u4").tobytes(), best[last]
+        found = zip(some, top.tolist(), (4 * (stop - n)).tolist(), (4 * stop).tolist(), (top - second).tolist())
+        self.chunks.update((c, (b, body[x:y], loss)) for c, b, x, y, loss in found)
+        for i in np.unique(np.searchsorted(stop, np.flatnonzero(flat < 0), side="right")).tolist():  # bytes for what is no piece
+            b, _, loss = self.chunks[some[i]]
+            own = [x.to_bytes(4, "little") if x >= 0 else self.bytes_of(chr(-1 - x)) for x in flat[stop[i] - n[i] : stop[i]].tolist()]
+            self.chunks[some[i]] = (b, b"".join(own), loss)
+
+    def bytes_of(self, char: str) -> bytes:
+        """The ids of a character's bytes."""
+        own = SPACE if char == OWN_SPACE else char
+        return b"".join([self.byte_ids[x].to_bytes(4, "little") for x in own.encode("utf-8", "replace")])
 
     def lattice(self, part: str) -> tuple[list[Edge], list[float], list[Edge | None]]:
         """All edges by their start, the forward Viterbi scores, and the best edge into each position."""
@@ -168,9 +178,7 @@ class PieceModel:
                 if b + found[0] > best[j]:
                     best[j], back[j] = b + found[0], edge
             if part[i] not in self.pieces:
-                own = SPACE if part[i] == OWN_SPACE else part[i]
-                ids = np.array([self.byte_ids[x] for x in own.encode("utf-8", "replace")], dtype="<u4").tobytes()
-                edges.append(edge := (i, i + 1, self.unknown, ids))
+                edges.append(edge := (i, i + 1, self.unknown, self.bytes_of(part[i])))
                 if b + self.unknown > best[i + 1]:
                     best[i + 1], back[i + 1] = b + self.unknown, edge
         return edges, best, back
