@@ -8,12 +8,15 @@ join by prefixes. If all shingles have one order, two sets that are that similar
 keeps common passages out of the prefixes; the rest is ordered by hash. Pairs that meet at a shingle pass a length and a
 position bound, and what is left is verified on the sets. Documents of equal sets are one node.
 
-Each node is first verified against one other that it meets, the least node of a shingle. What is then linked, directly or
-not, needs no further check, and shingles at which all nodes are linked are left out. Where more than ``dense`` nodes still
-meet at a shingle, they are compared with a few leaders among them. Pairs that are both linked to one leader need no link
-of their own, and as Jaccard distance is a metric, pairs whose distances to a leader differ by more than 0.2 cannot be
-near. Only the other pairs are formed, so a large group of near copies takes rows in proportion to its size, and the groups
-are still exact.
+A second exact bound needs no texts: a node's sketch holds, for each of 512 buckets of shingle hashes, whether the number of
+its shingles there is odd. Two sets differ in at least as many shingles as their sketches differ in bits, and similarity
+0.8 allows a ninth of both sizes.
+
+Pairs are verified in rounds. In each, a node is verified against one other at most: the closest by sketch of the hubs (one
+drawn for each shingle and round) that it meets and isn't linked to, directly or not. Shingles at which all nodes are
+linked are left out, so a large group of near copies shrinks to what is not yet linked, and takes rows in proportion to its
+size. When rounds bring no more links, or after a few, all pairs of different groups that the bounds leave are verified;
+the largest group at a shingle is not paired with itself. So the result is exact.
 """
 
 from __future__ import annotations
@@ -75,33 +78,28 @@ def prefix(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.nda
     return found[np.argsort(own, kind="stable")][: len(found) - -(-NUM * len(found) // DEN) + 1]
 
 
-def jaccard_distance(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 1 - both / (len(a) + len(b) - both) if len(a) or len(b) else 0.0
-
-
 def is_near(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, near, d) of each distinct pair (a, b) of nodes, from the texts of both."""
+    """(a, b, near) of each distinct pair (a, b) of nodes, from the texts of both."""
 
     def measure(batches):
         sets = lru_cache(64)(shingles)
         for batch in batches:
             both = [(sets(x.as_py()), sets(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([is_near(x, y) for x, y in both], pa.bool_()), pa.array([jaccard_distance(x, y) for x, y in both], pa.float64())],
-                names=["a", "b", "near", "d"],
+                [batch.column(0), batch.column(1), pa.array([is_near(x, y) for x, y in both], pa.bool_())],
+                names=["a", "b", "near"],
             )
 
     pairs = written(pairs.distinct())
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return written(joined.mapInArrow(released(measure), "a long, b long, near boolean, d double"))
+    return written(joined.mapInArrow(released(measure), "a long, b long, near boolean"))
 
 
 def _bounds(a: str, b: str):
@@ -112,64 +110,69 @@ def _bounds(a: str, b: str):
     return (F.greatest(n, m) * NUM <= F.least(n, m) * DEN) & ((before + after) * (NUM + DEN) >= NUM * (n + m))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """512 bits, as eight longs: of each bucket of hashes, whether an odd number of shingles falls into it."""
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SKETCH = tuple(f"s{i}" for i in range(8))
+
+
+def _apart(a: str, b: str):
+    """In how many bits the sketches differ: the sets differ in at least as many shingles."""
+    bits = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH]
+    return sum(bits[1:], bits[0])
+
+
+def _open(a: str, b: str):
+    """Whether two nodes of different groups may be near."""
+    return (F.col(f"{a}.comp") != F.col(f"{b}.comp")) & _bounds(a, b) & (_apart(a, b) * (NUM + DEN) <= F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _split(places: DataFrame) -> DataFrame:
-    """The places of shingles at which nodes of several components meet, with the number m of places there."""
-    sizes = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    """The places of shingles at which nodes of several components meet."""
+    sizes = places.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # apart from the aggregate, so that the join can split a hot shingle
-    return written(places.join(written(sizes.where("lo <> hi").select("shingle", "m")), "shingle"))
-
-
-def near_copy_links(places: DataFrame, texts_of, dense: int = 64, rounds: int = 8) -> DataFrame:
-    """Links (a, b) that join what is near in different components, from (shingle, node, n, pos, comp); ``texts_of`` gives
-    the (node, text) of a table of nodes."""
-    places = _split(places)
-    few = places.where(F.col("m") <= dense)
-    links = []
-    many = written(places.where(F.col("m") > dense).select("shingle", "node", "n", "pos", "comp", F.expr("cast(array() as array<double>)").alias("ds"), F.expr("cast(array() as array<boolean>)").alias("at")))
-    # what two sets share is in both prefixes (at few or many), or among the longer of the rests behind them
-    held = written(many.groupBy("node").agg(F.count(F.lit(1)).alias("held")))
-    met = (
-        few.alias("x").join(few.alias("y"), "shingle").where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _bounds("x", "y"))
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("met"))
-        .join(held.select(F.col("node").alias("a"), F.col("held").alias("p")), "a", "left").join(held.select(F.col("node").alias("b"), F.col("held").alias("q")), "b", "left")
-    )
-    most = F.col("met") + F.least(F.coalesce("p", F.lit(0)), F.coalesce("q", F.lit(0))) + F.expr(f"(greatest(n, m) * {NUM} + {DEN - 1}) div {DEN} - 1")
-    pairs = written(met.where(most * (NUM + DEN) >= NUM * (F.col("n") + F.col("m"))).select("a", "b"))
-    texts = written(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct()))
-    for _ in range(rounds):
-        # a leader for each shingle at which too many nodes are linked to none
-        free = many.where("not exists(at, x -> x)").groupBy("shingle").agg(F.min(F.struct("node", "comp")).alias("first"), F.count(F.lit(1)).alias("free"))
-        led = written(free.where(F.col("free") > dense).select("shingle", F.col("first.node").alias("leader"), F.col("first.comp").alias("own")))
-        if led.isEmpty():
+    return written(places.join(written(sizes.where("lo <> hi").select("shingle")), "shingle"))
+
+
+def near_copy_links(places: DataFrame, comps: DataFrame, first: DataFrame, sketches: DataFrame, texts_of, rounds: int = 4) -> DataFrame:
+    """(node, component) of all links, from places (shingle, node, n, pos), the components that the first links (a, b) give,
+    the sketch of each node, and ``texts_of``, which gives the (node, text) of a table of nodes."""
+
+    def grouped(own: DataFrame) -> DataFrame:
+        return own.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+    places = _split(grouped(places))
+    places = written(places.join(sketches, "node"))
+    texts = written(texts_of(places.select("node").distinct()))
+    for r in range(rounds):
+        if places.isEmpty():
+            return comps
+        drawn = places.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", "shingle", F.lit(r)).alias("lot"), "node", "n", "pos", "comp", *SKETCH)).alias("hub"))
+        met = places.alias("x").join(written(drawn.select("shingle", "hub.*").drop("lot")).alias("y"), "shingle").where(_open("x", "y"))
+        best = met.groupBy(F.col("x.node").alias("node")).agg(F.min(F.struct(_apart("x", "y").alias("bits"), F.col("y.node").alias("to"))).alias("best"))
+        pairs = best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b"))
+        near = written(verified(pairs, texts).where("near").select("a", "b"))
+        if near.isEmpty():
             break
-        with_leader = written(many.join(led, "shingle", "left"))
-        found = verified(with_leader.where("leader is not null and own <> comp").select(F.col("leader").alias("a"), F.col("node").alias("b")), texts)
-        links.append(found.where("near").select("a", "b"))
-        got = found.select(F.col("a").alias("leader"), F.col("b").alias("node"), "near", "d")
-        none = F.col("leader").isNull()
-        many = written(
-            with_leader.join(got, ["leader", "node"], "left").select(
-                "shingle", "node", "n", "pos", "comp",
-                F.when(none, F.col("ds")).otherwise(F.array_append("ds", F.when(F.col("leader") == F.col("node"), 0.0).otherwise(F.col("d")))).alias("ds"),
-                F.when(none, F.col("at")).otherwise(F.array_append("at", (F.col("own") == F.col("comp")) | F.coalesce("near", F.lit(False)))).alias("at"),
-            )
-        )
-    # pairs that are both linked to the first leader are settled, so one of each pair is apart from it
-    apart = many.where("size(at) = 0 or not at[0]")
-    settled = F.expr("exists(zip_with(x.at, y.at, (p, q) -> p and q), v -> v)")
-    far = F.expr("exists(zip_with(x.ds, y.ds, (p, q) -> coalesce(abs(p - q) > 0.2000001, false)), v -> v)")  # a distance that wasn't needed is null
+        first = first.unionByName(near)
+        comps = written(connected_components(first))
+        places = _split(grouped(places))
+    # what is left: each node outside of the largest group at a shingle, with all others there
+    sizes = places.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
+    places = written(places.join(written(sizes), "shingle"))
     rest = (
-        apart.alias("x").join(many.alias("y"), "shingle")
-        .where((F.col("x.comp") != F.col("y.comp")) & _bounds("x", "y") & ~settled & ~far)
+        places.where("comp <> top").alias("x").join(places.alias("y"), "shingle")
+        .where(_open("x", "y") & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))))
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     )
-    out = verified(pairs.unionByName(rest), texts).where("near").select("a", "b")
-    for more in links:
-        out = out.unionByName(more)
-    return out.distinct()
+    near = written(verified(rest, texts).where("near").select("a", "b"))
+    return comps if near.isEmpty() else written(connected_components(first.unionByName(near)))
 
 
-def near_copy_groups(rows: DataFrame, dense: int = 64, distance: int = 2) -> DataFrame:
+def near_copy_groups(rows: DataFrame, distance: int = 2, rounds: int = 4) -> DataFrame:
     """(key, id) and text -> (key, id, component): near copies, and what near copies link, share a component.
 
     ``key`` (long) stands for a row, rows of one key must have one text. Texts without words are equal. Nothing is left
@@ -197,12 +200,14 @@ def near_copy_groups(rows: DataFrame, dense: int = 64, distance: int = 2) -> Dat
                 pa.array(np.array([folded(s) for s in sets], dtype=np.uint64).view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                *[pa.array(x) for x in np.array([sketch(s) for s in sets], dtype=np.int64).reshape(len(sets), 8).T.copy()],
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["key", "id", "node", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["key", "id", "node", "fp", "n", "prefix", *SKETCH])
 
-    marked = written(text.mapInArrow(released(mark), "key long, id long, node long, fp long, n long, prefix array<long>"))
-    # rows of one node have the same fp, n and prefix
-    nodes = written(marked.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    longs = ", ".join(f"{s} long" for s in SKETCH)
+    marked = written(text.mapInArrow(released(mark), f"key long, id long, node long, fp long, n long, prefix array<long>, {longs}"))
+    # rows of one node differ in key and id only
+    nodes = written(marked.groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", *SKETCH)]))
 
     def texts_of(own: DataFrame) -> DataFrame:
         reps = nodes.join(own, "node", "left_semi").select("node", "key")
@@ -223,6 +228,5 @@ def near_copy_groups(rows: DataFrame, dense: int = 64, distance: int = 2) -> Dat
     close = written(close.union(best).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     first = verified(close, written(texts_of(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()))).where("near").select("a", "b")
     comps = written(connected_components(first))
-    placed = places.drop("hub").join(comps, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
-    linked = written(connected_components(first.unionByName(near_copy_links(placed, texts_of, dense))))
+    linked = near_copy_links(places.select("shingle", "node", "n", "pos"), comps, first, nodes.select("node", *SKETCH), texts_of, rounds)
     return marked.select("key", "id", "node").join(linked, "node", "left").select("key", "id", F.coalesce("component", "node").alias("component"))
