@@ -35,16 +35,17 @@ FREE_LABELS = (
     ("trash", "Dumped trash"), ("garbage", "Dumped trash"), ("waste", "Dumped trash"), ("rubbish", "Dumped trash"), ("debris", "Glass/debris"),
     ("construction worker", "Worker"), ("road worker", "Worker"), ("maintenance worker", "Worker"),
 )
-STEP1_GROUPS = {
-    "person": ("person",), "train": ("train",), "vegetation": ("potted plant",), "vehicle": ("car", "motorcycle", "bus", "truck"),
-    "mobility_device": ("bicycle", "skateboard"),
-    "traffic infrastructure": ("traffic light", "fire hydrant", "stop sign", "parking meter"),
-    "street furniture": ("bench", "chair", "couch", "dining table"),
-    "animal": ("bird", "cat", "dog", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe"),
-    "trash/waste": (
-        "bottle", "wine glass", "cup", "fork", "knife", "spoon", "bowl", "banana", "apple", "sandwich", "orange", "broccoli", "carrot",
-        "hot dog", "pizza", "donut", "cake", "toilet",
-    ),
+STEP1 = {
+    "person": "person", "train": "train", "potted plant": "vegetation", "car": "vehicle", "motorcycle": "vehicle", "bus": "vehicle",
+    "truck": "vehicle", "bicycle": "mobility_device", "skateboard": "mobility_device", "traffic light": "traffic infrastructure",
+    "fire hydrant": "traffic infrastructure", "stop sign": "traffic infrastructure", "parking meter": "traffic infrastructure",
+    "bench": "street furniture", "chair": "street furniture", "couch": "street furniture", "dining table": "street furniture",
+    "bird": "animal", "cat": "animal", "dog": "animal", "horse": "animal", "sheep": "animal", "cow": "animal", "elephant": "animal",
+    "bear": "animal", "zebra": "animal", "giraffe": "animal", "bottle": "trash/waste", "wine glass": "trash/waste",
+    "cup": "trash/waste", "fork": "trash/waste", "knife": "trash/waste", "spoon": "trash/waste", "bowl": "trash/waste",
+    "banana": "trash/waste", "apple": "trash/waste", "sandwich": "trash/waste", "orange": "trash/waste", "broccoli": "trash/waste",
+    "carrot": "trash/waste", "hot dog": "trash/waste", "pizza": "trash/waste", "donut": "trash/waste", "cake": "trash/waste",
+    "toilet": "trash/waste",
 }
 COCO_NAMES = (
     "person", "bicycle", "car", "motorcycle", "airplane", "bus", "train", "truck", "boat", "traffic light", "fire hydrant", "stop sign",
@@ -126,7 +127,7 @@ def coco_class(label: Column) -> Column:
 
 
 def step1_class(label: Column) -> Column:
-    return looked_up(label, {name: group for group, names in STEP1_GROUPS.items() for name in names}, "other")
+    return looked_up(label, STEP1, "other")
 
 
 def free_label(label: Column) -> Column:

@@ -12,9 +12,26 @@ from ..functions import taxonomy as tx
 from ..functions.taxonomy import stripped
 from ..tables import stored
 
+# The markers and patterns of the answers, which the results depend on.
 START, END = "RESULT_START", "RESULT_END"
+NOTHING = "no objects detected"
 BOX = r"\((\d+),\s*(\d+),\s*(\d+),\s*(\d+)\)"
 LINE = r"^([^:]+):\s*" + BOX + r"\s*([\d.]+)?\s*(.*)$"
+SECTION = r"\n(?=\d+\.\s*\*\*)"
+SECTION_LABEL = r"\d+\.\s*\*\*([^*]+)\*\*"
+SECTION_HEADS = (r"\*\*Bounding Box Coordinates\*\*:\s*", r"\*\*Bounding Box:\*\*\s*", r"Bounding Box:\s*")
+SECTION_TEXT = r"(?s)Description:\s*(.+?)(?=\n\n|\n\d+\.|$)"
+LABELS = (r"\*\*([^*]+)\*\*", r"(\d+\.\s*\*\*[^*]+\*\*)", r"(\d+\.\s*[^:]+):", r"(?m)^([^:]+):", r"(?U)(\w+(?:\s+\w+)*?)(?:\s*\(|\s*:)")
+DESCRIPTIONS = (r"\*\*Description:\*\*\s*(.+?)(?=\n|$)", r"Description:\s*(.+?)(?=\n|$)")
+NO_DESCRIPTION = r"^(\d+\.|\*\*|Bounding Box:)"
+ANY_BOX = r"\(\d+,\s*\d+,\s*\d+,\s*\d+\)"
+BOX_INDEX = r"^BOX_INDEX_(\d+):"
+DIRECT = r"(?U)^(\w+):\s*" + BOX + r"\s+([\d.]+)\s*(.*)"
+LEGACY = r"^Box\s*\(([^)]+)\):\s*(.+)"
+BULLETED = r"([^\n]+?)\s*" + BOX
+OBJECT = r"(?s)(\{.*\})"
+RESULTS = r"(?s)(\{.*\"results\".*\})"
+# End of the fixed values.
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
@@ -70,7 +87,7 @@ OUT = ("label", *CORNERS, "confidence", "description", "raw_label")
 def parse_structured(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Boxes of responses (keys, response, width, height) with markers; the first of equal (label, box) lines counts."""
     block = responses.withColumn("block", result_block(F.col("response"))).where("block is not null")
-    block = block.where(~F.lower("block").contains("no objects detected"))
+    block = block.where(~F.lower("block").contains(NOTHING))
     rows = line_boxes(lines(block, F.col("block"), [*keys, "width", "height"]), 0.8, "Detected %s")
     first = Window.partitionBy(*keys, "raw_label", *CORNERS).orderBy("line_no")
     # a bad number loses its line, but its label and box count as seen
@@ -80,19 +97,18 @@ def parse_structured(responses: DataFrame, keys: Sequence[str] = ("image_id",))
 
 def parse_simple(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Boxes of plain lines; the default confidence is 1.0 and repeated lines all count."""
-    r = responses.where(~F.lower("response").contains("no objects detected"))
+    r = responses.where(~F.lower("response").contains(NOTHING))
     rows = line_boxes(lines(r, F.col("response"), [*keys, "width", "height"]), 1.0, "A %s detected")
     return validated(rows.where("confidence is not null")).select(*keys, "line_no", *OUT)
 
 
 def parse_numbered(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Sections "1. **Label**" with a bounding box in one of three spellings."""
-    s = responses.select(*keys, "width", "height", F.posexplode(F.split("response", r"\n(?=\d+\.\s*\*\*)", -1)).alias("line_no", "section"))
-    heads = (r"\*\*Bounding Box Coordinates\*\*:\s*", r"\*\*Bounding Box:\*\*\s*", r"Bounding Box:\s*")
-    raw = stripped(F.regexp_extract("section", r"\d+\.\s*\*\*([^*]+)\*\*", 1))
-    boxes = [F.when(F.col("section").rlike(h + BOX), F.array(*[F.regexp_extract("section", h + BOX, i).try_cast("int") for i in range(1, 5)])) for h in heads]
+    s = responses.select(*keys, "width", "height", F.posexplode(F.split("response", SECTION, -1)).alias("line_no", "section"))
+    raw = stripped(F.regexp_extract("section", SECTION_LABEL, 1))
+    boxes = [F.when(F.col("section").rlike(h + BOX), F.array(*[F.regexp_extract("section", h + BOX, i).try_cast("int") for i in range(1, 5)])) for h in SECTION_HEADS]
     b = F.coalesce(*boxes)
-    said = some(stripped(F.regexp_extract("section", r"(?s)Description:\s*(.+?)(?=\n\n|\n\d+\.|$)", 1)))
+    said = some(stripped(F.regexp_extract("section", SECTION_TEXT, 1)))
     rows = s.withColumns({"raw_label": raw, "b": b}).where("raw_label <> '' and b is not null").withColumns(
         {**{c: F.col("b")[i] for i, c in enumerate(CORNERS)}, "confidence": F.lit(1.0), "description": F.coalesce(said, F.format_string("A %s detected in the image", F.lower("raw_label")))}
     )
@@ -103,20 +119,19 @@ def object_label(line: Column) -> Column:
     """A label from a line of prose: bold text, a numbered or plain head before a colon, words before a bracket or a
     colon, else the first three words."""
     tidy = lambda c: stripped(F.regexp_replace(F.regexp_replace(stripped(c), r"^\d+\.\s*", ""), r"\*\*", ""))
-    patterns = (r"\*\*([^*]+)\*\*", r"(\d+\.\s*\*\*[^*]+\*\*)", r"(\d+\.\s*[^:]+):", r"(?m)^([^:]+):", r"(?U)(\w+(?:\s+\w+)*?)(?:\s*\(|\s*:)")
     words = F.array_join(F.slice(F.split(stripped(line), r"\s+"), 1, 3), " ")
-    return F.coalesce(*[some(tidy(F.regexp_extract(line, p, 1))) for p in patterns], some(words), F.lit("Unknown Object"))
+    return F.coalesce(*[some(tidy(F.regexp_extract(line, p, 1))) for p in LABELS], some(words), F.lit("Unknown Object"))
 
 
 def object_description(line: Column) -> Column:
-    said = [some(stripped(F.regexp_extract(line, p, 1))) for p in (r"\*\*Description:\*\*\s*(.+?)(?=\n|$)", r"Description:\s*(.+?)(?=\n|$)")]
-    plain = F.when(~line.rlike(r"^(\d+\.|\*\*|Bounding Box:)"), some(stripped(line)))
+    said = [some(stripped(F.regexp_extract(line, p, 1))) for p in DESCRIPTIONS]
+    plain = F.when(~line.rlike(NO_DESCRIPTION), some(stripped(line)))
     return F.coalesce(*said, plain, F.lit("Object detected in image"))
 
 
 def parse_general(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Every "(a, b, c, d)" of a response; label and description come from the first line that holds the same text."""
-    found = F.regexp_extract_all("response", F.lit(BOX.replace("(\\d+)", "\\d+")), F.lit(0))
+    found = F.regexp_extract_all("response", F.lit(ANY_BOX), F.lit(0))
     rows = responses.select(*keys, "width", "height", "response", F.posexplode(found).alias("line_no", "box"))
     first = F.element_at(F.filter(F.split("response", "\n", -1), lambda line: line.contains(F.col("box"))), 1)
     rows = rows.withColumn("line", first).where("line is not null").withColumns(
@@ -130,14 +145,14 @@ def is_verbose(response: Column) -> Column:
     low, hit = F.lower(response), F.lit(False)
     for phrase in tx.VERBOSE:
         hit = hit | low.contains(phrase)
-    return hit & ~low.contains("no objects detected") & ~response.rlike(r"\(\d+,\s*\d+,\s*\d+,\s*\d+\)")
+    return hit & ~low.contains(NOTHING) & ~response.rlike(ANY_BOX)
 
 
 def parse_cascade(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """The boxes of the first strategy that yields any (column strategy); with markers in order the structured answer is
     final, even without boxes. Each later strategy sees the responses that are left: the boxes of each are stored, so
     no response is parsed twice by one strategy."""
-    final = F.lower(F.coalesce(result_block(F.col("response")), F.lit(""))).contains("no objects detected")
+    final = F.lower(F.coalesce(result_block(F.col("response")), F.lit(""))).contains(NOTHING)
     left = stored(responses.select(*keys, "response", "width", "height", final.alias("final")))
     out = None
     for name, parse in (("structured", parse_structured), ("simple", parse_simple), ("numbered", parse_numbered), ("general", parse_general)):
@@ -160,7 +175,7 @@ def parse_box_indexed(responses: DataFrame, boxes: DataFrame, keys: Sequence[str
     """"BOX_INDEX_i: label confidence description" lines joined to the i-th box (column idx); Empty is skipped, and of
     several lines for a box the first counts. Boxes without a line have no row."""
     block = responses.withColumn("block", result_block(F.col("response"), need_end=True)).where("block is not null")
-    rows = lines(block, F.col("block"), list(keys)).withColumn("idx", F.regexp_extract("line", r"^BOX_INDEX_(\d+):", 1).try_cast("int")).where("idx is not null")
+    rows = lines(block, F.col("block"), list(keys)).withColumn("idx", F.regexp_extract("line", BOX_INDEX, 1).try_cast("int")).where("idx is not null")
     first = rows.groupBy(*keys, "idx").agg(F.min_by("line", "line_no").alias("line"))
     label, conf, text = split_answer(stripped(F.regexp_replace("line", r"^[^:]*:", "")))
     parsed = first.select(*keys, "idx", label.alias("raw_label"), conf.alias("confidence"), text.alias("description")).where("raw_label is not null and lower(raw_label) <> 'empty'")
@@ -170,7 +185,7 @@ def parse_box_indexed(responses: DataFrame, boxes: DataFrame, keys: Sequence[str
 def direct_boxes(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """"word: (…) confidence description" lines, in or without markers: keys, det_id (the line's number), raw_label, x1..y2, confidence, description."""
     text = F.coalesce(result_block(F.col("response")), F.when(~F.col("response").contains(START), F.col("response")))
-    pattern = r"(?U)^(\w+):\s*" + BOX + r"\s+([\d.]+)\s*(.*)"
+    pattern = DIRECT
     rows = lines(responses.withColumn("__t", text).where("__t is not null"), F.col("__t"), list(keys)).where(F.col("line").rlike(pattern))
     part = lambda i: F.regexp_extract("line", pattern, i)
     return rows.select(*keys, F.col("line_no").alias("det_id"), part(1).alias("raw_label"), *[part(i + 2).try_cast("double").alias(c) for i, c in enumerate(CORNERS)], part(6).try_cast("double").alias("confidence"), F.coalesce(some(stripped(part(7))), F.concat(F.lit("Detected by VLM: "), part(1))).alias("description"))
@@ -190,7 +205,7 @@ def parse_legacy_boxes(responses: DataFrame, boxes: DataFrame, keys: Sequence[st
     """"Box (…): label confidence description" lines, matched to the nearest centre: keys, det_id, label, confidence, description."""
     from .matching import match_nearest_center
 
-    pattern = r"^Box\s*\(([^)]+)\):\s*(.+)"
+    pattern = LEGACY
     rows = lines(responses, F.col("response"), list(keys)).where(F.col("line").rlike(pattern))
     nums = F.transform(F.split(F.regexp_extract("line", pattern, 1), ","), lambda x: stripped(x).try_cast("double"))
     label, conf, text = split_answer(stripped(F.regexp_extract("line", pattern, 2)))
@@ -240,7 +255,7 @@ def parse_bulleted(responses: DataFrame, keys: Sequence[str] = ("image_id",)) ->
     )
     objects = named.where(F.col("done") & F.col("name").isNotNull()).select(*keys, F.col("line_no").alias("pos"), "name", stripped(F.element_at(F.split("line", r"\*\*Description:\*\*"), -1)).alias("description"), "b")
     rest = responses.join(objects.select(*keys).distinct(), list(keys), "left_anti")
-    pattern = r"([^\n]+?)\s*" + BOX
+    pattern = BULLETED
     found = rest.select(*keys, F.posexplode(F.regexp_extract_all("response", F.lit(pattern), F.lit(0))).alias("pos", "m"))
     text = stripped(F.regexp_extract("m", pattern, 1))
     plain = found.select(*keys, "pos", F.substring_index(text, ":", 1).alias("name"), text.alias("description"), F.regexp_extract("m", BOX, 0).alias("b"))
@@ -250,7 +265,7 @@ def parse_bulleted(responses: DataFrame, keys: Sequence[str] = ("image_id",)) ->
 
 def repaired_json(text: Column) -> Column:
     """The text as JSON, else its part from the first "{" to the last "}" as JSON, else null."""
-    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    inner = F.regexp_extract(text, OBJECT, 1)
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(some(inner)))
 
 
@@ -287,7 +302,7 @@ def object_json(text: Column) -> Column:
 
 def parse_results_array(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """{"results": [{object_index, class, confidence, reasoning}]} within a text: keys, idx (from 0), label, confidence, reasoning."""
-    doc = F.regexp_extract("response", r"(?s)(\{.*\"results\".*\})", 1)
+    doc = F.regexp_extract("response", RESULTS, 1)
     kind = "struct<results:array<struct<object_index:int,class:string,confidence:double,reasoning:string>>>"
     rows = responses.select(*keys, F.explode(F.from_json(some(doc), kind)["results"]).alias("r"))
     return rows.select(*keys, (F.col("r.object_index") - 1).alias("idx"), F.col("r.class").alias("label"), F.col("r.confidence").alias("confidence"), F.col("r.reasoning").alias("reasoning"))

@@ -97,7 +97,7 @@ def map_coco_classes(t):
 
 
 @query("map_step1_classes", oracle("SELECT det_id, coalesce(m.v, 'other') AS step1 FROM (SELECT det_id, CASE WHEN det_id % 10 = 0 THEN upper(label) ELSE label END AS l FROM det) LEFT JOIN m ON l = m.k",
-    f"m(k, v) AS (VALUES {s.values((n, g) for g, ns in tx.STEP1_GROUPS.items() for n in ns)})"))
+    f"m(k, v) AS (VALUES {s.values(tx.STEP1.items())})"))
 def map_step1_classes(t):
     d = t.det.withColumn("l", F.expr("CASE WHEN det_id % 10 = 0 THEN upper(label) ELSE label END"))
     return d.select("det_id", tx.step1_class(F.col("l")).alias("step1"))

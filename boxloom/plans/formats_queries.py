@@ -104,10 +104,12 @@ def _simple(t):
     return t.det.where(YOLO).selectExpr("CAST(image_id AS STRING) AS image", "CAST(det_id AS STRING) AS ann_id", "label AS category", "x1 AS x", "y1 AS y", "x2-x1 AS w", "y2-y1 AS h", "score")
 
 
-@query("export_json", oracle("SELECT image_id::VARCHAR AS image, count(*) AS n, round(sum(x1), 4) AS x_sum FROM det WHERE source = 'yolo' GROUP BY 1"))
+@query("export_json", oracle("""
+SELECT image_id::VARCHAR AS image, CAST(row_number() OVER (PARTITION BY image_id ORDER BY det_id::VARCHAR) - 1 AS INTEGER) AS place, det_id::VARCHAR AS id, label AS category, x1 AS x, y1 AS y, x2-x1 AS w, y2-y1 AS h, score FROM det WHERE source = 'yolo'"""))
 def export_json(t):
-    d = wr.export_json(_simple(t)).select("image", F.from_json("doc", "array<struct<id:string,category:string,bbox:array<double>,score:double>>").alias("a"))
-    return d.select("image", F.size("a").cast("long").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x["bbox"][0]), 4).alias("x_sum"))
+    """Every field of the documents, in their order."""
+    d = wr.export_json(_simple(t)).select("image", F.posexplode(F.from_json("doc", "array<struct<id:string,category:string,bbox:array<double>,score:double>>")).alias("place", "a"))
+    return d.select("image", "place", "a.id", "a.category", *[F.col("a.bbox")[i].alias(n) for i, n in enumerate("xywh")], "a.score")
 
 
 @query("read_simple_annotations", oracle("SELECT i.image_id::VARCHAR AS image, count(d.det_id) AS n FROM images i LEFT JOIN det d ON i.image_id = d.image_id AND d.source = 'yolo' AND i.image_id % 3 <> 0 GROUP BY 1"))
@@ -182,13 +184,23 @@ def read_latest_outputs(t):
 
 
 @query("export_coco", oracle("""
-SELECT row_number() OVER (ORDER BY image_id, ann_id) AS id, image_id, category_id, area FROM (
-  SELECT i.id AS image_id, det_id::VARCHAR AS ann_id, c.id AS category_id, (x2-x1)*(y2-y1) AS area FROM det
+SELECT row_number() OVER (ORDER BY image_id, ann_id) AS id, image_id, category_id, x, y, w, h, w*h AS area, 0 AS iscrowd FROM (
+  SELECT i.id AS image_id, det_id::VARCHAR AS ann_id, c.id AS category_id, x1 AS x, y1 AS y, x2-x1 AS w, y2-y1 AS h FROM det
   JOIN (SELECT image_id::VARCHAR AS n, row_number() OVER (ORDER BY image_id::VARCHAR) AS id FROM images) i ON i.n = det.image_id::VARCHAR
   JOIN (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT DISTINCT label FROM det WHERE source = 'yolo')) c USING (label) WHERE source = 'yolo')"""))
 def export_coco(t):
     images = t.images.selectExpr("CAST(image_id AS STRING) AS image", "width", "height")
-    return wr.export_coco(_simple(t), images)[1].select("id", "image_id", "category_id", "area")
+    return wr.export_coco(_simple(t), images)[1].select("id", "image_id", "category_id", "x", "y", "w", "h", "area", "iscrowd")
+
+
+@query("export_coco_tables", oracle("""
+SELECT 'image' AS kind, row_number() OVER (ORDER BY image_id::VARCHAR) AS id, image_id::VARCHAR AS name, width, height FROM images
+UNION ALL SELECT 'category', row_number() OVER (ORDER BY label), label, NULL, NULL FROM (SELECT DISTINCT label FROM det WHERE source = 'yolo')"""))
+def export_coco_tables(t):
+    """The images and categories of the export."""
+    images, _, cats = wr.export_coco(_simple(t), t.images.selectExpr("CAST(image_id AS STRING) AS image", "width", "height"))
+    images = images.select(F.lit("image").alias("kind"), "id", F.col("file_name").alias("name"), "width", "height")
+    return images.union(cats.select(F.lit("category"), "id", "name", F.lit(None).cast("int"), F.lit(None).cast("int")))
 
 
 @query("dataset_to_coco", oracle("SELECT row_number() OVER (ORDER BY image_id, gt_id) - 1 AS id, image_id, category_id, x1 AS x, y1 AS y, x2-x1 AS w, y2-y1 AS h, (x2-x1)*(y2-y1) AS area FROM gt"))
@@ -196,12 +208,18 @@ def dataset_to_coco(t):
     return wr.dataset_to_coco(t.gt).select("id", "image_id", "category_id", "x", "y", "w", "h", "area")
 
 
+def sixth(millionths: str) -> str:
+    """SQL: a number given in millionths, with six decimals, halves rounded up."""
+    n = f"CAST(floor({millionths} + 0.5) AS BIGINT)"
+    return f"({n} // 1000000 || '.' || lpad(CAST({n} % 1000000 AS VARCHAR), 6, '0'))"
+
+
 @query("export_yolo", oracle("""
-SELECT image_id::VARCHAR AS image, det_id::VARCHAR AS ann_id, class_id, round((x1+(x2-x1)/2)/640, 9) AS cx, round((y2-y1)/480, 9) AS nh FROM det
+SELECT image_id::VARCHAR AS image, det_id::VARCHAR AS ann_id, class_id || ' ' || """ + " || ' ' || ".join(sixth(v) for v in ("(x1+x2)*781.25", "(y1+y2)*3125/3", "(x2-x1)*1562.5", "(y2-y1)*6250/3")) + """ AS line FROM det
 JOIN (SELECT label, row_number() OVER (ORDER BY label) - 1 AS class_id FROM (SELECT DISTINCT label FROM det WHERE source = 'yolo')) USING (label) WHERE source = 'yolo'"""))
 def export_yolo(t):
     images = t.images.selectExpr("CAST(image_id AS STRING) AS image", "width", "height")
-    return wr.export_yolo(_simple(t), images).select("image", "ann_id", "class_id", F.round("cx", 9).alias("cx"), F.round("nh", 9).alias("nh"))
+    return wr.export_yolo(_simple(t), images).select("image", "ann_id", "line")
 
 
 @query("export_kitti", oracle("""
@@ -228,17 +246,23 @@ def export_two_step_tasks(t):
 
 
 @query("export_polygons", oracle("""
-SELECT det_id, 'rectanglelabels' AS kind, round(x1/640*100, 9) AS first_x, 2 AS n FROM det WHERE source = 'yolo'
-UNION ALL SELECT det_id, 'polygonlabels', round((x1+1)/640*100, 9), 3 FROM det WHERE source = 'yolo' AND det_id % 2 = 0"""))
+SELECT det_id, kind, CAST(i AS INTEGER) AS place, round(p[1]/640*100, 9) AS x, round(p[2]/480*100, 9) AS y FROM (
+  SELECT det_id, kind, unnest(points) AS p, generate_subscripts(points, 1) - 1 AS i FROM (
+    SELECT det_id, 'rectanglelabels' AS kind, [[x1, y1], [x2, y2]] AS points FROM det WHERE source = 'yolo'
+    UNION ALL SELECT det_id, 'polygonlabels', [[x1+1, y1], [x2, y1], [x2, y2]] FROM det WHERE source = 'yolo' AND det_id % 2 = 0))"""))
 def export_polygons(t):
     d = t.det.where(YOLO)
     polys = d.where("det_id % 2 = 0").selectExpr("det_id", "array(array(x1+1, y1), array(x2, y1), array(x2, y2)) AS points")
-    return wr.export_polygons(d, polys, t.images).select("det_id", "kind", F.round(F.col("points")[0][0], 9).alias("first_x"), F.size("points").alias("n"))
+    out = wr.export_polygons(d, polys, t.images).select("det_id", "kind", F.posexplode("points").alias("place", "p"))
+    return out.select("det_id", "kind", "place", F.round(F.col("p")[0], 9).alias("x"), F.round(F.col("p")[1], 9).alias("y"))
+
+
+CONFIG = "<View><Image name=\"image\" value=\"$image\"/><RectangleLabels name=\"label\" toName=\"image\">" + "".join(f"<Label value=\"{c}\"/>" for c in CATEGORIES) + "</RectangleLabels></View>"
 
 
-@query("project_manifest", oracle("SELECT video_id, count(*) AS frames_count, 'interval' AS extraction_method, true AS blurred FROM frames WHERE frame_idx % 10 = 0 GROUP BY 1"))
+@query("project_manifest", oracle(f"SELECT video_id, count(*) AS frames_count, 'interval' AS extraction_method, true AS blurred, '{CONFIG}' AS label_config FROM frames WHERE frame_idx % 10 = 0 GROUP BY 1"))
 def project_manifest(t):
-    return wr.project_manifest(t.frames.where("frame_idx % 10 = 0"), "interval", True, CATEGORIES).drop("label_config")
+    return wr.project_manifest(t.frames.where("frame_idx % 10 = 0"), "interval", True, CATEGORIES)
 
 
 @query("upsert_annotations", oracle("SELECT image_id, det_id, label FROM det WHERE source = 'yolo' AND image_id NOT IN (SELECT image_id FROM det WHERE source = 'vlm' AND image_id % 5 = 0) UNION ALL SELECT image_id, det_id, label FROM det WHERE source = 'vlm' AND image_id % 5 = 0"))
