@@ -18,7 +18,7 @@ SQL = """
 WITH li AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn
   FROM lineitem),
-boxes AS (
+boxes AS MATERIALIZED (
   SELECT l_orderkey*1000 + l_linenumber*100 + rn AS box_id, l_orderkey // 4 AS image_id,
          CAST((l_partkey*37 + l_orderkey*11) % 440 AS DOUBLE) AS x1,
          CAST((l_suppkey*53 + l_linenumber*17 + l_orderkey*7) % 300 AS DOUBLE) AS y1,
@@ -42,14 +42,14 @@ det0 AS (
          x1+j AS x1, y1 + (l_partkey+k) % 7 - 3 AS y1, x1+w + (l_suppkey+k) % 5 - 2 + j AS x2, y1+h + (l_partkey+2*k) % 5 - 2 AS y2,
          CAST(((s0+2500)*(k+3)) % 7500 + 2500 AS DOUBLE) / 10000 AS score
   FROM jit),
-det AS (
+det AS MATERIALIZED (
   SELECT *, ['car','person','potted plant','bottle','stop sign'][category_id+1] AS label,
          'item ' || det_id AS description FROM det0),
 frames AS (
   SELECT video_id, frame_idx, event_id, ts, value AS infer_ms, event_type,
          [((frame_idx // 7)*31 + i*5 + frame_idx % 3) % 256 for i in range(16)] AS gray
   FROM (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, event_id, ts, value, event_type FROM events)),
-resp_lines AS (
+resp_lines AS MATERIALIZED (
   SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY det_id) AS n, det_id, label,
          label || ': (' || CAST(x1 AS BIGINT) || ',' || CAST(y1 AS BIGINT) || ',' || CAST(x2 AS BIGINT) || ',' || CAST(y2 AS BIGINT) || ') 0.' || CAST(round(score*10000) AS BIGINT) || ' item ' || det_id AS line,
          n || '. **' || label || '**' || chr(10) || '**Bounding Box:** (' || CAST(x1 AS BIGINT) || ', ' || CAST(y1 AS BIGINT) || ', ' || CAST(x2 AS BIGINT) || ', ' || CAST(y2 AS BIGINT) || ')' || chr(10) || 'Description: item ' || det_id AS section,
