@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir as checkpoint_dir
+from ..tables import stored as written
+
+__all__ = ["SPACE", "checkpoint_dir", "checkpointed", "held_out", "read_table", "released", "row_key", "shuffle_partitions", "written"]
+
 #: The white space that the contracts of these operators name: [\x20\x09-\x0D].
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,32 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests, local runs)."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that lost executors cost no recomputation."""
+    """Cut the lineage through the shared folder, so that lost executors cost no recomputation. ``written`` does so through a
+    Parquet table: smaller, and free of the plan's constraints, which a loop of checkpoints would pile up."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As checkpointed, through a Parquet table in the same folder: smaller, and free of the plan's constraints, which a
-    loop of checkpoints would pile up."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str, remainder: int) -> Column:
     """True where crc32(doc_id as text) mod 5 is the remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == remainder
