@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard
 from ..tables import shared_dir as checkpoint_dir
 from ..tables import stored as written
 
-__all__ = ["SPACE", "checkpoint_dir", "checkpointed", "held_out", "read_table", "released", "row_key", "shuffle_partitions", "written"]
+__all__ = ["SPACE", "checkpoint_dir", "checkpointed", "discard", "held_out", "read_table", "released", "row_key", "shuffle_partitions", "written"]
 
 #: The white space that the contracts of these operators name: [\x20\x09-\x0D].
 SPACE = r"[\x20\x09-\x0D]+"

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import discard, released, written
 from .components import connected_components
 from .simhash import fingerprint_links, folded
 
@@ -134,7 +134,10 @@ def _split(places: DataFrame) -> DataFrame:
     """The places of shingles at which nodes of several components meet."""
     sizes = places.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # apart from the aggregate, so that the join can split a hot shingle
-    return written(places.join(written(sizes.where("lo <> hi").select("shingle")), "shingle"))
+    several = written(sizes.where("lo <> hi").select("shingle"))
+    out = written(places.join(several, "shingle"))
+    discard(several)
+    return out
 
 
 def near_copy_links(places: DataFrame, comps: DataFrame, first: DataFrame, sketches: DataFrame, texts_of, rounds: int = 4) -> DataFrame:
@@ -144,31 +147,39 @@ def near_copy_links(places: DataFrame, comps: DataFrame, first: DataFrame, sketc
     def grouped(own: DataFrame) -> DataFrame:
         return own.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
-    places = _split(grouped(places))
-    places = written(places.join(sketches, "node"))
+    split = _split(grouped(places))
+    discard(places)
+    places = written(split.join(sketches, "node"))
+    discard(split)
     texts = written(texts_of(places.select("node").distinct()))
     for r in range(rounds):
         if places.isEmpty():
             return comps
         drawn = places.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", "shingle", F.lit(r)).alias("lot"), "node", "n", "pos", "comp", *SKETCH)).alias("hub"))
-        met = places.alias("x").join(written(drawn.select("shingle", "hub.*").drop("lot")).alias("y"), "shingle").where(_open("x", "y"))
+        hubs = written(drawn.select("shingle", "hub.*").drop("lot"))
+        met = places.alias("x").join(hubs.alias("y"), "shingle").where(_open("x", "y"))
         best = met.groupBy(F.col("x.node").alias("node")).agg(F.min(F.struct(_apart("x", "y").alias("bits"), F.col("y.node").alias("to"))).alias("best"))
         pairs = best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b"))
         near = written(verified(pairs, texts).where("near").select("a", "b"))
+        discard(hubs)
         if near.isEmpty():
             break
         first = first.unionByName(near)
         comps = written(connected_components(first))
-        places = _split(grouped(places))
+        split = _split(grouped(places))
+        discard(places)
+        places = split
     # what is left: each node outside of the largest group at a shingle, with all others there
     sizes = places.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
-    places = written(places.join(written(sizes), "shingle"))
+    topped = places.join(written(sizes), "shingle")
     rest = (
-        places.where("comp <> top").alias("x").join(places.alias("y"), "shingle")
+        topped.where("comp <> top").alias("x").join(topped.alias("y"), "shingle")
         .where(_open("x", "y") & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))))
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     )
     near = written(verified(rest, texts).where("near").select("a", "b"))
+    discard(places)
+    discard(texts)
     return comps if near.isEmpty() else written(connected_components(first.unionByName(near)))
 
 
@@ -222,11 +233,17 @@ def near_copy_groups(rows: DataFrame, distance: int = 2, rounds: int = 4) -> Dat
     places = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     common = written(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n", "pos")).alias("hub")).where("m > 1").select("shingle", "hub"))
     places = written(places.join(common, "shingle"))
+    discard(common)
     met = places.select("node", "n", "pos", F.col("hub.node").alias("to"), F.struct("hub.*").alias("y"), F.struct("n", "pos").alias("x")).where(F.col("node") != F.col("to"))
     met = met.where(_bounds("x", "y")).groupBy("node", "to").agg(F.count(F.lit(1)).alias("met"))
     best = met.groupBy("node").agg(F.max(F.struct("met", "to")).alias("best")).select(F.col("best.to").alias("x"), F.col("node").alias("y"))
     close = written(close.union(best).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    first = verified(close, written(texts_of(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()))).where("near").select("a", "b")
+    texts = written(texts_of(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()))
+    first = verified(close, texts).where("near").select("a", "b")
+    discard(texts)
     comps = written(connected_components(first))
-    linked = near_copy_links(places.select("shingle", "node", "n", "pos"), comps, first, nodes.select("node", *SKETCH), texts_of, rounds)
+    met = written(places.drop("hub"))
+    discard(places)
+    linked = near_copy_links(met, comps, first, nodes.select("node", *SKETCH), texts_of, rounds)
+    discard(nodes)
     return marked.select("key", "id", "node").join(linked, "node", "left").select("key", "id", F.coalesce("component", "node").alias("component"))
