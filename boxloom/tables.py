@@ -30,3 +30,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if not folder.getName().startswith("table-"):
+            raise ValueError(f"{folder} is no stored table")
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
