@@ -217,8 +217,9 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
                     own = slice(cuts[r], cuts[r + 1])
                     uv, iv = np.unique(v[own], return_inverse=True)  # each hash once; the bigrams refer to it
                     uw, iw = np.unique(w[own], return_inverse=True)
-                    index = np.concatenate((iv, iw, n[own])).astype(np.uint32)
-                    rows.append((int(r), packed(uv), packed(uw), pa.compress(index.tobytes(), codec="zstd", asbytes=True), str(len(index)).encode()))
+                    index = [narrow(x) for x in (iv, iw, n[own])]
+                    sizes = np.array([len(iv), *[x.itemsize for x in index]], dtype=np.int64)
+                    rows.append((int(r), packed(uv), packed(uw), pa.compress(b"".join([x.tobytes() for x in index]), codec="zstd", asbytes=True), sizes.tobytes()))
                 yield batch(rows)
 
     def blobs_of(batches) -> Iterator[tuple[bytes, ...]]:
@@ -236,7 +237,9 @@ def train(docs: DataFrame, text_col: str = "text", model_dir: str | None = None)
             return keys, v[first], w[first], n
 
         for b0, b1, b2, b3 in blobs_of(batches):
-            iv, iw, c = np.frombuffer(pa.decompress(b2, 4 * int(b3), codec="zstd", asbytes=True), np.uint32).reshape(3, -1)
+            count, *sizes = np.frombuffer(b3, np.int64).tolist()
+            raw, at = pa.decompress(b2, count * sum(sizes), codec="zstd", asbytes=True), count * np.cumsum([0, *sizes])
+            iv, iw, c = (np.frombuffer(raw[a:b], f"u{s}") for a, b, s in zip(at, at[1:], sizes))
             run.append((unpacked(b0)[iv], unpacked(b1)[iw], c.astype(np.int64)))
             size += len(c)
             if size >= RUN:  # what is merged so far is the next run's first part
