@@ -16,6 +16,7 @@ from .piece_nbest import piece_query
 from .quality import quality_query
 from .secret_scan import secret_query
 from .simhash import simhash_query
+from .spf_packing import pack_documents as spf_pack_documents
 from .topk import top_k
 from .url_filter import filter_urls
 
@@ -66,6 +67,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op13_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spf_pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_lm_score": op9_lm_score,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_spf_packing": op13_spf_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
