@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, read_table
+from .conversation_trie import trie_query
 from .exact_dedup import exact_dedup
 from .kneser_ney import lm_query
 from .line_templates import line_query
@@ -67,6 +68,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_query(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spf_pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_lm_score": op9_lm_score,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_spf_packing": op13_spf_packing,
 }
 
@@ -122,4 +128,28 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_conversation_trie": r"""
+WITH tbl AS (SELECT list(v ORDER BY b) AS tbl FROM (
+  SELECT b, list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), b) AS v FROM range(256) r(b))),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, role, text, sha256(length(role) || ':' || role || text) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t),
+o AS (SELECT conv_id, d, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, d) AS n FROM k),
+c AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda s, x: xor(s >> 8, tbl[CAST(xor(s, x) % 256 + 1 AS INTEGER)]), CAST(4294967295 AS BIGINT))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), tbl),
+r AS (
+  SELECT c.conv_id, 0 AS p, o.n, o.d, o.w FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.n <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.n, o.d, o.w FROM c JOIN o ON o.conv_id = c.conv_id AND o.n > c.h),
+m AS (
+  SELECT conv_id, row_number() OVER s AS depth, string_agg(d, '') OVER s AS key, w FROM r WINDOW s AS (PARTITION BY conv_id ORDER BY p, n ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+u AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM m GROUP BY ALL),
+e AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(key, depth) AS key FROM m GROUP BY 1) GROUP BY 1),
+ch AS (SELECT left(key, 64 * (depth - 1)) AS key, count(*) AS n FROM u WHERE depth > 0 GROUP BY 1),
+x AS (SELECT u.*, coalesce(ch.n, 0) AS n_children FROM u LEFT JOIN ch USING (key)),
+a AS (SELECT left(key, 64 * unnest(range(depth + 1))) AS key, n_children, (n_convs - 1) * w AS saved FROM x),
+s AS (SELECT key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM a GROUP BY 1)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM x JOIN s USING (key) LEFT JOIN e USING (key) LEFT JOIN u p ON x.depth > 0 AND p.key = left(x.key, 64 * (x.depth - 1))""",
 }
