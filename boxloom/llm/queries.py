@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import held_out, read_table
 from .conversation_trie import trie_query
 from .exact_dedup import exact_dedup
+from .importance_resampling import importance_resample
 from .kneser_ney import lm_query
 from .line_templates import line_query
 from .packing import pack_documents
@@ -72,6 +73,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_query(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spf_pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_spf_packing": op13_spf_packing,
 }
 
