@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.taxonomy import bound
+from .scans import PLACE, RANGE, best_from_here, in_ranges, running
 
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -74,18 +75,18 @@ def macro_micro(det, gt, matches) -> DataFrame:
 def pr_curve(det: DataFrame, gt: DataFrame, matches: DataFrame) -> DataFrame:
     """Per category, by falling score: cumulative tp and fp, precision, recall (of the category's ground truth).
 
-    Ranks need one sort of each category; the running sums are Spark window functions, which spill."""
-    w = Window.partitionBy("category_id").orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    A category may hold most rows: ranks and hits are running sums over ranges of its detections."""
     n = gt.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    p = marked_predictions(det, matches).join(F.broadcast(n), "category_id", "left")  # one row a category
-    c = p.select("category_id", "det_id", "score", "n_gt", F.sum("tp").over(w).alias("ctp"), F.count(F.lit(1)).over(w).alias("rank"))
+    p = marked_predictions(det, matches).select("category_id", "det_id", "score", "tp")
+    c = running(in_ranges(p, ["category_id"], [F.desc("score"), "det_id"]), ["category_id"], {"ctp": F.col("tp"), "rank": F.lit(1)})
+    c = c.join(F.broadcast(n), "category_id", "left")  # one row a category
+    c = c.select("category_id", "det_id", "score", "n_gt", "ctp", "rank", RANGE, PLACE)
     return c.withColumns({"precision": F.col("ctp") / F.col("rank"), "recall": F.coalesce(F.col("ctp") / F.col("n_gt"), F.lit(0.0))})
 
 
 def precision_envelope(curve: DataFrame) -> DataFrame:
-    """Column envelope: the best precision at this rank or later."""
-    w = Window.partitionBy("category_id").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    return curve.withColumn("envelope", F.max("precision").over(w))
+    """Column envelope: the best precision at this rank or later, from the other end of the curve's ranges."""
+    return best_from_here(curve, ["category_id"], "envelope", F.col("precision"))
 
 
 def interpolated_ap(curve: DataFrame, gt: DataFrame, det: DataFrame, points: Sequence[float] = tuple(i * 0.1 for i in range(11))) -> DataFrame:
@@ -204,9 +205,9 @@ def coco_evaluation(det: DataFrame, gt: DataFrame, thresholds: Sequence[float] =
     marks = coco_marks(det, gt, thresholds, areas, max(most)).where("not ignored")
     marks = marks.select("*", F.explode(F.filter(F.array(*[F.lit(m) for m in most]), lambda m: m >= F.col("rank"))).alias("max_dets"))
     keys = ["area", "max_dets", "iou_threshold", "category_id"]
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.sum(F.col("tp").cast("int")).over(w)
-    curve = marks.select(*keys, hits.alias("hits"), (hits / F.count(F.lit(1)).over(w)).alias("precision")).join(F.broadcast(counts), ["category_id", "area"])  # a row a category and area
+    ranged = in_ranges(marks.select(*keys, "score", "det_id", F.col("tp").cast("int").alias("tp")), keys, [F.desc("score"), "det_id"])
+    curve = running(ranged, keys, {"hits": F.col("tp"), "place": F.lit(1)})
+    curve = curve.select(*keys, "hits", (F.col("hits") / F.col("place")).alias("precision")).join(F.broadcast(counts), ["category_id", "area"])  # a row a category and area
     recall = F.col("hits") / F.col("n_gt")
     best = curve.groupBy(*keys).agg(F.max(recall).alias("ar"), *[F.coalesce(F.max(F.when(recall >= i / 100, F.col("precision"))), F.lit(0.0)).alias(f"p{i}") for i in range(101)])
     total = F.aggregate(F.array(*[F.col(f"p{i}") for i in range(101)]), F.lit(0.0), lambda s, p: s + p)

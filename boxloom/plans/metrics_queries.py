@@ -135,7 +135,45 @@ def coco_ap_sweep(t):
     return every.groupBy("iou_threshold").agg(F.round(F.avg("ap"), 6).alias("mean_ap"))
 
 
-@query("coco_summary")
+AREAS = ", ".join(f"('{n}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for n, (lo, hi) in me.COCO_AREAS.items())
+FIGURES = ", ".join(f"('{n}', '{'ap' if ap else 'ar'}', {'NULL' if at is None else at}::DOUBLE, '{area}', {most})" for n, ap, at, area, most in me.COCO_SUMMARY)
+
+
+@query("coco_summary", oracle("""
+SELECT f.metric, round(avg(CASE f.kind WHEN 'ap' THEN e.ap ELSE e.ar END), 6) AS value
+FROM figures f LEFT JOIN ev2 e ON e.area = f.area AND e.m = f.m AND (f.iou IS NULL OR e.t = f.iou) GROUP BY 1""", f"""
+th(t) AS (VALUES {LEVELS}), ar(area, lo, hi) AS (VALUES {AREAS}), figures(metric, kind, iou, area, m) AS (VALUES {FIGURES}),
+g AS MATERIALIZED (SELECT *, gt_id % 13 = 0 AS crowd, (x2-x1)*(y2-y1) AS size FROM gt),
+d AS MATERIALIZED (
+  SELECT *, (x2-x1)*(y2-y1) AS size FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_id) AS rk FROM det WHERE source = 'yolo') WHERE rk <= 100),
+-- what a detection may take, best first: what counts before what is ignored, then by overlap, of equal ones the last
+o AS MATERIALIZED (
+  SELECT d.image_id, d.category_id, d.det_id, d.rk, g.gt_id, g.crowd, g.size,
+    CASE WHEN g.crowd THEN CASE WHEN d.size > 0 THEN {s.inter('d', 'g')} / d.size ELSE 0.0 END ELSE {s.iou('d', 'g')} END AS o
+  FROM d JOIN g ON d.image_id = g.image_id AND d.category_id = g.category_id),
+c AS (
+  SELECT area, t, list({{'r': rk, 'n': crowd OR size < lo OR size > hi, 'o': -o, 'g': -gt_id, 'd': det_id, 'c': crowd}} ORDER BY rk, crowd OR size < lo OR size > hi, -o, -gt_id) AS c
+  FROM o JOIN th ON o >= t CROSS JOIN ar GROUP BY area, t, image_id, category_id),
+m AS (
+  SELECT area, t, unnest(list_reduce(c, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.d = x.d OR (y.g = x.g AND NOT x.c))) > 0 THEN acc ELSE list_append(acc, x) END, c[1:0])) AS m FROM c),
+k AS (
+  SELECT ar.area, th.t, mx.m, d.category_id, d.det_id, d.score, (m.m IS NOT NULL)::INT AS tp
+  FROM d CROSS JOIN ar CROSS JOIN th JOIN (SELECT DISTINCT area, m FROM figures) mx ON mx.area = ar.area AND d.rk <= mx.m
+  LEFT JOIN m ON m.area = ar.area AND m.t = th.t AND m.m.d = d.det_id
+  WHERE NOT coalesce(m.m.n, d.size < ar.lo OR d.size > ar.hi)),
+n AS (SELECT ar.area, category_id, count(*) AS n FROM g JOIN ar ON NOT crowd AND size >= lo AND size <= hi GROUP BY 1, 2),
+cv AS (
+  SELECT k.area, t, m, k.category_id, CAST(sum(tp) OVER w AS BIGINT) / n AS recall, CAST(sum(tp) OVER w AS BIGINT) / count(*) OVER w AS precision
+  FROM k JOIN n ON n.area = k.area AND n.category_id = k.category_id WINDOW w AS (PARTITION BY k.area, t, m, k.category_id ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING)),
+-- the best precision by the last recall point that a row reaches, then from there on
+pt AS (
+  SELECT area, t, m, category_id, p, max(precision) AS precision, max(recall) AS recall
+  FROM (SELECT *, CAST(floor(recall * 100) AS INT) AS f, CASE WHEN (f + 1) / 100.0::DOUBLE <= recall THEN f + 1 WHEN f / 100.0::DOUBLE > recall THEN f - 1 ELSE f END AS p FROM cv) GROUP BY ALL),
+st AS (SELECT n.area, n.category_id, th.t, mx.m FROM n CROSS JOIN th JOIN (SELECT DISTINCT area, m FROM figures) mx ON mx.area = n.area),
+ev2 AS (
+  SELECT area, t, m, category_id, sum(best) / 101 AS ap, max(reached) AS ar FROM (
+    SELECT st.area, st.t, st.m, st.category_id, i, coalesce(max(pt.precision), 0.0) AS best, coalesce(max(pt.recall), 0.0) AS reached
+    FROM st CROSS JOIN range(101) r(i) LEFT JOIN pt ON pt.area = st.area AND pt.t = st.t AND pt.m = st.m AND pt.category_id = st.category_id AND pt.p >= i GROUP BY ALL) GROUP BY ALL)"""))
 def coco_summary(t):
     """The twelve figures, with every thirteenth box a crowd."""
     gt = t.gt.withColumn("iscrowd", (F.col("gt_id") % 13 == 0).cast("int"))
