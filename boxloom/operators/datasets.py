@@ -19,19 +19,38 @@ def mix_datasets(parts: Sequence[DataFrame], id_col: str = "image_id") -> DataFr
     return out
 
 
-def share(key: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) from the md5 of the key and the seed."""
-    head = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8)
-    return F.conv(head, 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def weighted_sample(df: DataFrame, weights: Mapping, fraction: float, dataset: str = "dataset", id_col: str = "unique_id", seed: int = 0) -> DataFrame:
-    """Rows by their dataset's share of the weights, times the fraction and the number of datasets."""
-    total = sum(weights.values())
-    p = F.lit(0.0)
-    for name, w in weights.items():
-        p = F.when(F.col(dataset) == name, w / total * fraction * len(weights)).otherwise(p)
-    return df.where(share(F.col(id_col), seed) < p)
+def share(key: Column, seed: int = 0, digits: int = 8) -> Column:
+    """A number in [0, 1) from the md5 of the key and the seed, of so many hexadecimal digits (13 at most: a double's)."""
+    head = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, digits)
+    return F.conv(head, 16, 10).cast("double") / F.lit(float(16**digits))
+
+
+def weighted_sample(df: DataFrame, weights: Mapping, draws: int, dataset: str = "dataset", id_col: str = "unique_id", seed: int = 0) -> DataFrame:
+    """So many draws with replacement: draw (from 0) and the row that it took.
+
+    Each draw picks a data set by the weights, whatever the sizes, and then one of its rows, all alike. Two hashes of the
+    draw's number decide, so that a sample is the same on every run; rows count by id. The draws are a table that meets the
+    numbered rows on data set and number: no row is drawn on the driver, which sees the sizes of the data sets. A data set
+    with a weight needs rows; rows of data sets without one are never drawn."""
+    total = float(sum(weights.values()))
+    if total <= 0 or min(weights.values()) < 0:
+        raise ValueError("weights must not be negative, and one must be positive")
+    names = [n for n, w in weights.items() if w > 0]
+    mine = df.where(F.col(dataset).isin(names))
+    rows = numbered(mine, [dataset, id_col], column="__number")
+    spans = {r[dataset]: (r["first"], r["n"]) for r in rows.groupBy(dataset).agg(F.min("__number").alias("first"), F.count(F.lit(1)).alias("n")).collect()}  # a row a data set
+    if missing := [n for n in names if n not in spans]:
+        raise ValueError(f"no rows to draw from: {missing}")
+    at, span, up_to = share(F.col("draw"), seed, 13), None, 0.0
+    for n in names:
+        up_to += weights[n] / total
+        own = F.struct(F.lit(spans[n][0]).alias("first"), F.lit(spans[n][1]).alias("n"))
+        span = F.when(at <= up_to, own) if span is None else span.when(at <= up_to, own)
+    span = span.otherwise(own)  # the sum of the shares may fall short of 1 by rounding
+    place = share(F.concat(F.col("draw").cast("string"), F.lit(":row")), seed, 13)
+    wanted = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("s", span)
+    wanted = wanted.select("draw", (F.col("s.first") + F.floor(place * F.col("s.n")).cast("long")).alias("__number"))
+    return wanted.join(rows, "__number").drop("__number")
 
 
 def train_val_split(df: DataFrame, id_col: str, train: float = 0.8, seed: int = 0) -> DataFrame:

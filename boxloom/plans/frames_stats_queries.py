@@ -173,13 +173,20 @@ def _share(key: str) -> str:
     return f"(CAST(CAST('0x' || substr(md5({key} || ':0'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296)"
 
 
+def _long_share(key: str) -> str:
+    return f"(CAST(CAST('0x' || substr(md5({key} || ':0'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496)"
+
+
 @query("weighted_sample", oracle(f"""
-SELECT unique_id, dataset FROM (SELECT '0_' || gt_id AS unique_id, 0 AS dataset FROM gt UNION ALL SELECT '1_' || det_id, 1 FROM det)
-WHERE {_share('unique_id')} < CASE dataset WHEN 0 THEN 0.7::DOUBLE / 1.0 * 0.5 * 2 ELSE 0.3::DOUBLE / 1.0 * 0.5 * 2 END"""))
+SELECT w.draw, a.unique_id, a.dataset FROM (
+  SELECT draw, n.dataset, CAST(floor({_long_share("(draw || ':row')")} * n.n) AS BIGINT) AS place
+  FROM (SELECT draw, CASE WHEN {_long_share('draw')} <= 0.7::DOUBLE THEN 0 ELSE 1 END AS dataset FROM range(20000) r(draw)) d JOIN (SELECT dataset, count(*) AS n FROM a GROUP BY 1) n ON d.dataset = n.dataset) w
+JOIN (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY unique_id) - 1 AS place FROM a) a ON a.dataset = w.dataset AND a.place = w.place""",
+    "a AS (SELECT '0_' || gt_id AS unique_id, 0 AS dataset FROM gt UNION ALL SELECT '1_' || det_id, 1 FROM det)"))
 def weighted_sample(t):
-    """Rows of two datasets by weight; a hash of the id decides."""
+    """Draws with replacement from two data sets, the smaller one with the larger weight."""
     a = ds.mix_datasets([t.gt.selectExpr("gt_id AS id", "category_id"), t.det.selectExpr("det_id AS id", "category_id")], "id")
-    return ds.weighted_sample(a, {0: 0.7, 1: 0.3}, 0.5).select("unique_id", "dataset")
+    return ds.weighted_sample(a, {0: 0.7, 1: 0.3}, 20_000).select("draw", "unique_id", "dataset")
 
 
 @query("train_val_split", oracle(f"SELECT image_id, CASE WHEN {_share('image_id')} < 0.8::DOUBLE THEN 'train' ELSE 'val' END AS split FROM images"))
