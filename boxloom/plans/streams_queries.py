@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as inf
 from ..streaming import jobs
+from ..streaming.upserts import SaveLog
 from ..tables import new_path
 from .fixtures import oracle
 from .frames_stats_queries import DIFF
@@ -42,14 +43,14 @@ def stream_frame_batches(t):
 
 @query("stream_upsert_annotations", oracle("SELECT user_id AS image_id, arg_max(event_id, {'a': ts, 'b': event_id}) AS event_id FROM events GROUP BY 1"))
 def stream_upsert_annotations(t):
-    """Two streams into one table, the later saves first: they stay."""
+    """Two streams into one table, the later saves first: they stay. The second stream's changes are read beside the table."""
     saves = t.table("events").select(F.col("user_id").alias("image_id"), "event_id", F.struct("ts", "event_id").alias("at"))
     folder = new_path(saves.sparkSession, "saves")
     for k, part in enumerate((saves.where("event_id % 2 = 1"), saves.where("event_id % 2 = 0"))):
         part.write.parquet(f"{folder}/in{k}")
         source = saves.sparkSession.readStream.schema(saves.schema).parquet(f"{folder}/in{k}")
-        jobs.stream_upsert_annotations(source, f"{folder}/table", f"{folder}/progress{k}", order="at").awaitTermination()
-    return saves.sparkSession.read.parquet(f"{folder}/table").select("image_id", "event_id")
+        jobs.stream_upsert_annotations(source, f"{folder}/table", f"{folder}/progress{k}", order="at", share=None if k else 0.5).awaitTermination()
+    return SaveLog(saves.sparkSession, f"{folder}/table", saves.schema, order="at").current().select("image_id", "event_id")
 
 
 @query("stream_detection_counts", oracle("SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS start, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2"))

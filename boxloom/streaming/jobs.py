@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..tables import stored
+from .upserts import SaveLog
 
 #: State of a video that sends nothing for so long is dropped.
 IDLE_MS = 60 * 60 * 1000
@@ -90,25 +89,16 @@ def stream_detection_counts(detections: DataFrame, time: str = "ts", label: str
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), label, "n")
 
 
-def latest_saves(saves: DataFrame, key: str = "image_id", order: str = "ts") -> DataFrame:
-    """The last save of each image within a batch."""
-    return saves.groupBy(key).agg(F.max_by(F.struct(*saves.columns), order).alias("s")).select("s.*")
+def stream_upsert_annotations(saves: DataFrame, target: str, checkpoint: str, key: str = "image_id", order: str = "ts", share: float | None = 0.5):
+    """A query whose micro-batches go to a table in which the last save of each image, by ``order``, wins, even over one
+    that arrives later. Each batch adds its own rows to the table's log; when the log takes ``share`` of the table it is
+    folded (None: never; fold it by another job). ``upserts.SaveLog(...).current()`` reads the table with its log."""
+    kind, source = saves.schema, hashlib.md5(checkpoint.encode()).hexdigest()[:12]  # batches are numbered by checkpoint
 
-
-def stream_upsert_annotations(saves: DataFrame, target: str, checkpoint: str, key: str = "image_id", order: str = "ts", buckets: int = 64):
-    """A query whose micro-batches update a Parquet table in which the last save of each image, by ``order``, wins, even
-    over one that arrives later. The table has a folder for each bucket of keys, and a batch rewrites those it touches."""
-    kind = saves.schema
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(*kind.names, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"))
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most so many numbers as there are buckets
-        try:
-            old = spark.read.schema(StructType([*kind.fields, StructField("bucket", IntegerType())])).parquet(target).where(F.col("bucket").isin(touched))
-        except AnalysisException:  # the first batch: no table yet
-            old = new.limit(0)
-        merged = stored(latest_saves(old.unionByName(new), key, order))  # read before what it was read from is replaced
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        log = SaveLog(batch.sparkSession, target, kind, key, order)
+        log.append(batch, source, number)
+        if share is not None and log.due(share):
+            log.fold()
 
     return saves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
