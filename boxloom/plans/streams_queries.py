@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as inf
 from ..streaming import jobs
+from ..streaming.late_frames import STATE_STORE, stream_late_keyframes
 from ..streaming.upserts import SaveLog
-from ..tables import new_path
+from ..tables import new_path, stored
 from .fixtures import oracle
 from .frames_stats_queries import DIFF
 from .registry import query
@@ -28,6 +29,25 @@ def stream_keyframes(t):
     return streamed(t.frames.select("video_id", "frame_idx", "gray"), jobs.stream_keyframes)
 
 
+@query("stream_keyframes_late", oracle("SELECT video_id, frame_idx, CASE WHEN frame_idx % 10 = 0 THEN 'interval' ELSE 'scene_change' END AS reason FROM fd WHERE frame_idx % 10 = 0 OR diff IS NULL OR diff > 5", DIFF))
+def stream_keyframes_late(t):
+    """The same frames in three files by time, a third of each in the next one, and a row that ends the stream."""
+    frames = t.frames.select("video_id", "frame_idx", "gray", F.col("ts").cast("timestamp").alias("ts"))
+    spark, folder = frames.sparkSession.newSession(), new_path(frames.sparkSession, "late")
+    spark.conf.set(*STATE_STORE)
+    first, last = t.table("events").agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))), F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()
+    step = (last - first) // 3 + 1
+    part = F.floor((F.unix_millis("ts") - first) / step) + (F.xxhash64("video_id", "frame_idx") % 3 == 0).cast("int")
+    files = stored(frames.withColumn("part", part))
+    ended = frames.limit(1).selectExpr("video_id", "CAST(NULL AS BIGINT) AS frame_idx", "gray", f"timestamp_millis({last + 3 * step}) AS ts")
+    out = None
+    for k in range(5):  # a run takes what has come since, and goes on where the one before ended
+        (files.where(F.col("part") == k).drop("part") if k < 4 else ended).write.mode("append").parquet(f"{folder}/in")
+        out = stream_late_keyframes(spark.readStream.schema(frames.schema).parquet(f"{folder}/in"), "ts", f"{2 * step} milliseconds")
+        out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").format("parquet").start(f"{folder}/out").awaitTermination()
+    return frames.sparkSession.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 @query("stream_rolling_latency", oracle("""
 SELECT video_id, frame_idx, round(a, 6) AS avg_ms, min_ms, max_ms, CASE WHEN a > 0 THEN round(1000 / a, 4) END AS fps FROM (
   SELECT video_id, frame_idx, avg(infer_ms) OVER w AS a, min(infer_ms) OVER w AS min_ms, max(infer_ms) OVER w AS max_ms FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""))

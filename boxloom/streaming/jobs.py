@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .late_frames import chosen
 from .upserts import SaveLog
 
 #: State of a video that sends nothing for so long is dropped.
@@ -40,18 +41,13 @@ def stream_keyframes(frames: DataFrame, fps: float = 10.0, threshold: float = 5.
     """Key frames of an unbounded frame stream: video_id, frame_idx, reason. State: the last gray thumbnail of a video.
 
     Within a micro-batch frames are put in order of frame_idx; a video's frames must not arrive in a later batch than
-    their successors."""
+    their successors. Where they do, ``late_frames.stream_late_keyframes`` waits for them."""
     every = max(int(fps), 1)
 
     def step(video, rows: pd.DataFrame, last):
         gray, index = np.stack(rows["gray"].to_numpy()).astype(np.int64), rows["frame_idx"].to_numpy()
-        before = gray[:-1] if last is None else np.concatenate(([np.array(last, dtype=np.int64)], gray[:-1]))
-        scene = np.abs(gray[len(gray) - len(before) :] - before).mean(axis=1) > threshold if gray.size else np.zeros(len(before), dtype=bool)
-        if last is None:
-            scene = np.concatenate(([keep_first], scene))
-        timed = index % every == 0
-        at = np.flatnonzero(timed | scene)
-        return (np.full(len(at), video), index[at], np.where(timed[at], "interval", "scene_change").astype(object)), gray[-1].tolist()
+        index, reason = chosen(index, gray, None if last is None else np.array(last, dtype=np.int64), every, threshold, keep_first)
+        return (np.full(len(index), video), index, reason), gray[-1].tolist()
 
     return stateful(frames, step, "video_id long, frame_idx long, reason string", "gray array<long>", idle_ms)
 
