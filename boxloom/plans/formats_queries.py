@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import image_ref
 from ..sources import readers as rd
 from ..sources import writers as wr
+from ..tables import new_path
 from .fixtures import CATEGORIES, oracle
 from .registry import query
 
@@ -31,6 +32,15 @@ def read_coco(t):
     return rd.coco_tables(_coco_docs(t), CLASSES)[1].select("id", "image_id", "class_id", "area")
 
 
+@query("read_coco_files", oracle(f"SELECT gt_id AS id, image_id, {CLASS} AS class_id, (x2-x1)*(y2-y1) AS area FROM gt"))
+def read_coco_files(t):
+    """The documents as files, read block by block."""
+    docs = _coco_docs(t)
+    folder = new_path(docs.sparkSession, "coco")
+    docs.select(F.to_json(F.struct("images", "annotations", "categories"))).write.text(folder)
+    return rd.read_coco(docs.sparkSession, folder, CLASSES)[1].select("id", "image_id", "class_id", "area")
+
+
 @query("clean_coco_annotations", oracle(f"SELECT gt_id AS id, x1, y1, least(x2, 640.0) AS x2, least(y2, 480.0) AS y2, {CLASS} AS class_id FROM gt WHERE gt_id % 17 <> 0 AND {CLASS} <> -1 AND (x2-x1)*(y2-y1) >= 1"))
 def clean_coco_annotations(t):
     images, ann, _ = rd.coco_tables(_coco_docs(t), CLASSES)

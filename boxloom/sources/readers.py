@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import taxonomy as tx
 from ..functions.text import image_ref
+from .coco_blocks import read_sections
 
 CORNERS = ("x1", "y1", "x2", "y2")
 COCO = (
@@ -30,18 +31,31 @@ def coco_tables(docs: DataFrame, classes: Mapping[str, int]) -> tuple[DataFrame,
     """COCO documents (columns images, annotations, categories) to images, annotations and categories.
 
     A category gets the class id of its name in any case, else -1; annotations carry it as class_id. A category id means
-    what its own document says, so the annotations need no join."""
-    known = {k.lower(): v for k, v in classes.items()}
-    class_of = lambda name: tx.looked_up(F.lower(name), known, -1)
-    cats = docs.select(F.explode("categories").alias("c")).select("c.*").distinct().withColumn("class_id", class_of(F.col("name")))
-    own = F.transform("categories", lambda c: F.named_struct(F.lit("id"), c["id"], F.lit("class_id"), class_of(c["name"])))
-    ann = docs.select(own.alias("__c"), F.explode("annotations").alias("a")).select("a.*", "__c")
-    found = F.get(F.filter("__c", lambda c: c["id"] == F.col("category_id")), F.lit(0))["class_id"]
-    return docs.select(F.explode("images").alias("i")).select("i.*"), ann.withColumn("class_id", F.coalesce(found, F.lit(-1))).drop("__c"), cats
+    what its own document says, so the annotations need no join. A document is one row, and so one task's: ``read_coco``
+    reads large files block by block."""
+    cats = docs.select(F.explode("categories").alias("c")).select("c.*").distinct().withColumn("class_id", class_of(F.col("name"), classes))
+    own = lambda a: F.coalesce(class_of(F.get(F.filter("categories", lambda c: c["id"] == a["category_id"]), F.lit(0))["name"], classes), F.lit(-1))
+    # looked up before the annotations become rows, which then don't carry the categories
+    ann = docs.select(F.explode(F.transform("annotations", lambda a: F.struct(a.alias("a"), own(a).alias("class_id")))).alias("x")).select("x.a.*", "x.class_id")
+    return docs.select(F.explode("images").alias("i")).select("i.*"), ann, cats
+
+
+def class_of(name: Column, classes: Mapping[str, int]) -> Column:
+    """The class id of a category's name in any case, else -1."""
+    return tx.looked_up(F.lower(name), {k.lower(): v for k, v in classes.items()}, -1)
 
 
 def read_coco(spark: SparkSession, path: str, classes: Mapping[str, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return coco_tables(spark.read.schema(COCO).json(path, multiLine=True), classes)
+    """The tables of ``coco_tables`` from files. A document is read by as many tasks as it has blocks; its categories meet its
+    annotations in a join on document and id."""
+    kinds = {n: t for n, t in (f.split(" array<", 1) for f in COCO.split(", "))}
+    every = read_sections(spark, path, list(kinds))
+    part = {n: every.where(F.col("section") == n).select("path", "place", F.from_json("value", t[:-1]).alias("v")) for n, t in kinds.items()}
+    cats = part["categories"].select("path", "place", "v.*")
+    meaning = cats.groupBy("path", "id").agg(F.min_by("name", "place").alias("name")).select("path", F.col("id").alias("category_id"), class_of(F.col("name"), classes).alias("class_id"))
+    ann = part["annotations"].select("path", "v.*").join(meaning, ["path", "category_id"], "left").withColumn("class_id", F.coalesce("class_id", F.lit(-1)))
+    fields = spark.createDataFrame([], f"struct<{COCO}>").schema["annotations"].dataType.elementType.names
+    return part["images"].select("v.*"), ann.select(*fields, "class_id"), cats.select("id", "name").distinct().withColumn("class_id", class_of(F.col("name"), classes))
 
 
 def clean_annotations(ann: DataFrame, images: DataFrame) -> DataFrame:
