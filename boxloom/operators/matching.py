@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -58,14 +58,31 @@ def match_iou_or_distance(boxes: DataFrame, parsed: DataFrame, min_iou: float =
     return c.select(*keys, "det_id", best["id"].alias("parsed_id")).where("parsed_id is not null")
 
 
-def spatial_relations(det: DataFrame, min_iou: float = 0.1, within: float = 50.0, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def spatial_relations(det: DataFrame, min_iou: float = 0.1, within: float = 50.0, keys: Sequence[str] = ("image_id",), dense: int = 256) -> DataFrame:
     """Edges det_id -> other_id, other_label (lower case) between boxes that overlap or lie close; boxes of equal
-    coordinates are no relation. The gap bounds both axes, so it also bounds the join."""
-    o = prefixed(det.select(*keys, "det_id", "label", *CORNERS), keys, "o_")
+    coordinates are no relation, and a box that lacks a coordinate has none.
+
+    What is related lies within the gap on both axes. In an image of more than ``dense`` boxes, boxes meet in the cells of
+    a grid as wide as a box and the gap are on average, one with the gap around it; a pair belongs to the one cell in which
+    the two areas' common corner lies. Other images are one cell."""
+    w, reach, far = Window.partitionBy(*keys), max(within, 0.0), min_iou < 0  # below 0 all boxes of an image are related
+    edge = F.avg(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).over(w)
+    own = det.dropna(subset=list(CORNERS)).select(*keys, "det_id", "label", *CORNERS, F.when((F.count(F.lit(1)).over(w) > dense) & F.lit(not far), F.greatest(edge, F.lit(1.0)) + reach).alias("cell"))
+
+    def in_cells(df: DataFrame, margin: float) -> DataFrame:
+        span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - margin) / F.col("cell")), F.floor((F.col(hi) + margin) / F.col("cell")))
+        pair = lambda x, y: F.struct(x.cast("long").alias("cx"), y.cast("long").alias("cy"))
+        grid = F.flatten(F.transform(span("x1", "x2"), lambda x: F.transform(span("y1", "y2"), lambda y: pair(x, y))))
+        return df.withColumn("at", F.explode(F.when(F.col("cell").isNull(), F.array(pair(F.lit(0), F.lit(0)))).otherwise(grid))).select("*", "at.cx", "at.cy").drop("at")
+
+    o = prefixed(in_cells(own, 0.0).drop("cell"), [*keys, "cx", "cy"], "o_")
     a, b = g.box(), g.box("o_")
     same = (a[0] == b[0]) & (a[1] == b[1]) & (a[2] == b[2]) & (a[3] == b[3])
+    owner = lambda k, c: F.col(c) == F.floor(F.greatest(a[k] - reach, b[k]) / F.col("cell"))
+    here = F.col("cell").isNull() | (owner(0, "cx") & owner(1, "cy"))
     hit = (g.iou(a, b) > min_iou) | (g.gap(a, b) < within)
-    return det.join(o, list(keys)).where(~same & hit).select(*keys, "det_id", F.col("o_det_id").alias("other_id"), F.lower("o_label").alias("other_label"))
+    pairs = in_cells(own, reach).join(o, [*keys, "cx", "cy"]).where(here & ~same & hit)
+    return pairs.select(*keys, "det_id", F.col("o_det_id").alias("other_id"), F.lower("o_label").alias("other_label"))
 
 
 def assign_labels_to_boxes(labels: DataFrame, det: DataFrame, keywords: Mapping[str, Sequence[str]], keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -83,8 +100,6 @@ def assign_labels_to_boxes(labels: DataFrame, det: DataFrame, keywords: Mapping[
 
 def reattach_by_index(objects: DataFrame, results: DataFrame, default_label: str = "Other", default_score: float = 0.5, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Objects numbered within their image (``idx`` from 0) with the result of that number; defaults where there is none."""
-    from pyspark.sql import Window
-
     numbered = objects.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("det_id")) - 1)
     j = numbered.join(results.select(*keys, "idx", "res_label", "res_score"), [*keys, "idx"], "left")
     return j.select(*keys, "det_id", "idx", F.coalesce("res_label", F.lit(default_label)).alias("label"), F.coalesce("res_score", F.lit(default_score)).alias("score"))
