@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import inference as inf
+from ..operators.answers import AnswerStore
 from ..streaming import jobs
 from ..streaming.late_frames import STATE_STORE, stream_late_keyframes
 from ..streaming.upserts import SaveLog
@@ -99,6 +100,17 @@ def infer_with_fallback(t):
     return inf.infer_with_fallback(t.images.selectExpr("image_id", "concat('image ', image_id) AS prompt"), [("first", shout), ("second", whisper)], "image_id", "prompt")
 
 
+@query("infer_stored", oracle("""
+SELECT image_id, CASE WHEN NOT contains(s, '0') THEN 'IMAGE ' || s WHEN NOT contains(s, '00') THEN 'image ' || s END AS response, NOT contains(s, '00') AS success,
+  CASE WHEN NOT contains(s, '0') THEN 'first' WHEN NOT contains(s, '00') THEN 'second' ELSE 'none' END AS backend FROM (SELECT image_id, image_id::VARCHAR AS s FROM images)"""))
+def infer_stored(t):
+    """A run over some images and one over all, which asks for the others only."""
+    prompts = t.images.selectExpr("image_id", "concat('image ', image_id) AS prompt")
+    store, backends = AnswerStore(prompts.sparkSession, new_path(prompts.sparkSession, "answers")), [("first", shout), ("second", whisper)]
+    store.infer(prompts.where("image_id % 3 = 0"), backends, "image_id", "prompt")
+    return store.infer(prompts, backends, "image_id", "prompt")
+
+
 def same_start(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x[:2].lower() == y[:2].lower() else 0.1 for x, y in zip(a, b)])
 
