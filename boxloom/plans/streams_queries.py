@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import inference as inf
 from ..operators.answers import AnswerStore
 from ..streaming import jobs
+from ..streaming.ingest import stream_ingest as ingest
 from ..streaming.late_frames import STATE_STORE, stream_late_keyframes
 from ..streaming.upserts import SaveLog
 from ..tables import new_path, stored
@@ -74,6 +75,22 @@ def stream_upsert_annotations(t):
     return SaveLog(saves.sparkSession, f"{folder}/table", saves.schema, order="at").current().select("image_id", "event_id")
 
 
+@query("stream_ingest", oracle("""
+SELECT image_id::VARCHAR AS name, image_id * 10 + image_id % 2 AS size, 0 AS run FROM images WHERE image_id % 3 = 0
+UNION ALL SELECT image_id::VARCHAR, image_id * 10, 1 FROM images WHERE image_id % 3 <> 0 OR image_id % 2 = 1"""))
+def stream_ingest(t):
+    """Three listings, a run for each: some objects, then all with some other sizes, then the same once more."""
+    spark, folder = t.spark.newSession(), new_path(t.spark, "listings")
+    spark.conf.set(*STATE_STORE)
+    every = t.images.selectExpr("CAST(image_id AS STRING) AS name", "image_id * 10 AS size", "image_id")
+    some = every.where("image_id % 3 = 0").withColumn("size", F.col("size") + F.col("image_id") % 2)
+    for k, listing in enumerate((some, every, every)):
+        listing.select("name", "size", F.timestamp_seconds(F.lit(k)).alias("listed")).write.mode("append").parquet(f"{folder}/in")
+        out = ingest(spark.readStream.schema("name string, size long, listed timestamp").parquet(f"{folder}/in"), buckets=16)
+        out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").format("parquet").start(f"{folder}/out").awaitTermination()
+    return t.spark.read.schema("name string, size long, listed timestamp").parquet(f"{folder}/out").select("name", "size", F.unix_timestamp("listed").cast("int").alias("run"))
+
+
 @query("stream_detection_counts", oracle("SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS start, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2"))
 def stream_detection_counts(t):
     return jobs.stream_detection_counts(t.table("events").withColumnRenamed("event_type", "label"))
