@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.taxonomy import bound
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -93,19 +94,19 @@ def merge_nearby_boxes(det: DataFrame, least_side: float = 30, threshold: float
         return (g.iou(fa, fb) > threshold) | (g.centre_distance(fa, fb) < F.least(w, h) * 0.5)
 
     whole = F.transform("boxes", lambda x: F.struct(x["det_id"].alias("det_id"), F.array(x).alias("members")))
-    none = F.slice(whole, 1, 0)
-
-    def step(acc: Column, x: Column) -> Column:
-        used = F.exists(acc, lambda m: F.exists(m["members"], lambda y: y["det_id"] == x["det_id"]))
-        mine = F.filter(
-            F.col("boxes"),
-            lambda b: (b["det_id"] == x["det_id"])
-            | (((b["o"] > x["o"]) | ((b["o"] == x["o"]) & (b["det_id"] > x["det_id"]))) & near(x, b) & ~F.exists(acc, lambda m: F.exists(m["members"], lambda y: y["det_id"] == b["det_id"]))),
-        )
-        grown = F.concat(acc, F.array(F.struct(x["det_id"].alias("det_id"), mine.alias("members"))))
-        return F.when(used | (F.size(acc) >= most), acc).otherwise(grown)
-
-    seeds = F.when(F.size("boxes") <= most, whole).otherwise(F.aggregate("boxes", none, step))
+    # state: which boxes are used, by their place, and the results; a box is compared with those after it once, as a seed
+    start = F.struct(F.transform("boxes", lambda x: F.lit(False)).alias("used"), F.slice(whole, 1, 0).alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        x = F.get(F.col("boxes"), i)
+        takes = F.transform("boxes", lambda b, j: (j == i) | ((j > i) & ~F.get(acc["used"], j) & near(x, b)))
+        grown = bound(takes, lambda t: F.struct(
+            F.zip_with(acc["used"], t, lambda u, v: u | v).alias("used"),
+            F.concat(acc["out"], F.array(F.struct(x["det_id"].alias("det_id"), F.filter(F.col("boxes"), lambda b, j: F.get(t, j)).alias("members")))).alias("out"),
+        ))
+        return F.when(F.get(acc["used"], i) | (F.size(acc["out"]) >= most), acc).otherwise(grown)
+
+    seeds = F.when(F.size("boxes") <= most, whole).otherwise(F.aggregate(F.sequence(F.lit(0), F.size("boxes") - 1), start, step)["out"])
     out = boxes.select(*keys, F.explode(seeds).alias("m")).select(*keys, F.col("m.det_id").alias("det_id"), F.col("m.members").alias("members"))
     each = lambda k: F.transform("members", lambda y: y[k])
     return out.select(
