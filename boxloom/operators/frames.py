@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import elapsed
+from .scans import PLACE, RANGE, in_ranges, with_halo
 
 
 def in_order():
@@ -19,7 +20,18 @@ TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "
 
 def with_diff(frames: DataFrame) -> DataFrame:
     """Column diff: the mean absolute gray difference from the previous frame, null for the first."""
-    before = F.lag("gray").over(in_order())
+    return diffed(frames, F.lag("gray").over(in_order()))
+
+
+def endless_diff(frames: DataFrame) -> DataFrame:
+    """video_id, frame_idx, diff as by ``with_diff``, for cameras that never stop: ranges of frames, each with the frame
+    before it, so that a camera is many tasks."""
+    every = with_halo(in_ranges(frames.select("video_id", "frame_idx", "gray"), ["video_id"], ["frame_idx"]), ["video_id"], 1, ["frame_idx", "gray"])
+    before = F.lag("gray").over(Window.partitionBy("video_id", RANGE).orderBy(PLACE))
+    return diffed(every, before).where("not halo").select("video_id", "frame_idx", "diff")
+
+
+def diffed(frames: DataFrame, before: Column) -> DataFrame:
     total = F.aggregate(F.zip_with("gray", before, lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
     return frames.withColumn("diff", F.when(before.isNotNull(), total.cast("double") / F.size("gray")))
 
@@ -65,10 +77,14 @@ def frame_creation_time(text: Column, seconds: Column) -> Column:
 
 
 def rolling_latency(frames: DataFrame, last: int = 30) -> DataFrame:
-    """Mean, least and most of each camera's last so many times, and the frames a second that the mean allows."""
-    w = in_order().rowsBetween(1 - last, 0)
+    """Mean, least and most of each camera's last so many times, and the frames a second that the mean allows.
+
+    A camera may never stop: its frames are cut into ranges, which see the last frames of those before."""
+    every = with_halo(in_ranges(frames.select("video_id", "frame_idx", "infer_ms"), ["video_id"], ["frame_idx"]), ["video_id"], last - 1, ["frame_idx", "infer_ms"]) if last > 1 else frames.withColumns({RANGE: F.lit(0), PLACE: F.col("frame_idx"), "halo": F.lit(False)})
+    w = Window.partitionBy("video_id", RANGE).orderBy(PLACE).rowsBetween(1 - last, 0)
     mean = F.avg("infer_ms").over(w)
-    return frames.select("video_id", "frame_idx", mean.alias("avg_ms"), F.min("infer_ms").over(w).alias("min_ms"), F.max("infer_ms").over(w).alias("max_ms"), F.when(mean > 0, 1000 / mean).alias("fps"))
+    rates = {"avg_ms": mean, "min_ms": F.min("infer_ms").over(w), "max_ms": F.max("infer_ms").over(w)}
+    return every.select("video_id", "frame_idx", "halo", *[c.alias(n) for n, c in rates.items()]).where("not halo").select("video_id", "frame_idx", *rates, F.when(F.col("avg_ms") > 0, 1000 / F.col("avg_ms")).alias("fps"))
 
 
 def in_batches(frames: DataFrame, size: int = 4) -> DataFrame:

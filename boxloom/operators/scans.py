@@ -45,6 +45,21 @@ def best_from_here(rows: DataFrame, keys: Sequence[str], name: str, value: Colum
     return joined(rows, most, keys).select(*rows.columns, F.greatest(F.max(value).over(w), F.col("__most")).alias(name))
 
 
+def with_halo(rows: DataFrame, keys: Sequence[str], n: int, columns: Sequence[str]) -> DataFrame:
+    """The rows of ``in_ranges`` (keys, columns) and, for each group and range, copies of the group's last n rows before it,
+    with ``halo`` true: windows of that many rows over keys and range then see what they would see over the keys alone.
+
+    Every range of a group has a row of it, so the n ranges before hold the n rows."""
+    item = F.struct(PLACE, *[F.col(c).alias(c) for c in columns])
+    back = Window.partitionBy(*keys, RANGE).orderBy(F.desc(PLACE))
+    tails = rows.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= n).groupBy(*keys, RANGE).agg(F.array_sort(F.collect_list(item)).alias("tail"))
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(-n, -1)
+    seen = F.flatten(F.collect_list("tail").over(before))
+    last = F.slice(seen, F.greatest(F.size(seen) - n + 1, F.lit(1)), F.lit(n))
+    halo = tails.select(*keys, RANGE, last.alias("last")).select(*keys, RANGE, F.explode("last").alias("x")).select(*keys, RANGE, "x.*", F.lit(True).alias("halo"))
+    return rows.select(*keys, RANGE, PLACE, *columns, F.lit(False).alias("halo")).unionByName(halo)
+
+
 def joined(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each row with its group's and range's row of totals; null keys meet too."""
     names = [*keys, RANGE]

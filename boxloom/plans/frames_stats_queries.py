@@ -20,6 +20,12 @@ def frame_diff(t):
     return fr.with_diff(t.frames).select("video_id", "frame_idx", "diff")
 
 
+@query("frame_diff_endless", oracle("SELECT video_id, frame_idx, diff FROM fd", DIFF))
+def frame_diff_endless(t):
+    """The same by ranges of frames."""
+    return fr.endless_diff(t.frames)
+
+
 @query("keyframes_scene", oracle("SELECT video_id, frame_idx, 'first' AS variant FROM fd WHERE diff > 5 OR diff IS NULL UNION ALL SELECT video_id, frame_idx, 'strict' FROM fd WHERE diff > 10", DIFF))
 def keyframes_scene(t):
     a = fr.keyframes_scene(t.frames).select("video_id", "frame_idx", F.lit("first").alias("variant"))

@@ -76,3 +76,30 @@ def test_curve_of_one_large_class(spark, rows):
 def test_empty(spark, rows):
     ranged = scans.in_ranges(rows[1].limit(0), ["category_id"], ["det_id"])
     assert scans.running(ranged, ["category_id"], {"rank": F.lit(1)}).count() == 0
+
+
+@pytest.mark.parametrize(("n", "parts"), [(1, 16), (5, 16), (29, 7)])
+def test_windows_with_a_halo_see_what_whole_groups_see(spark, n, parts):
+    """One camera has most frames; small ones fit a range, and some ranges hold fewer rows than the halo."""
+    from boxloom.operators import frames as fr
+
+    rng = random.Random(n)
+    rows = [(1, 3 * i, rng.random(), [rng.randrange(9), i % 50]) for i in range(400)] + [(v, i, rng.random(), [i, v]) for v in (2, 3) for i in range(n + 2)] + [(4, 0, 1.0, [0, 0])]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, infer_ms double, gray array<long>").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {(r["video_id"], r["frame_idx"]): (r["avg_ms"], r["min_ms"], r["max_ms"]) for r in fr.rolling_latency(df, n + 1).collect()}
+        diff = {(r["video_id"], r["frame_idx"]): r["diff"] for r in fr.endless_diff(df).collect()}
+        ranged = scans.in_ranges(df, ["video_id"], ["frame_idx"])
+        assert ranged.where("video_id = 1").select(scans.RANGE).distinct().count() > parts // 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, last = {}, {}
+    for v, i, ms, _ in sorted(rows):
+        own = last.setdefault(v, [])
+        own.append(ms)
+        w = own[-n - 1 :]
+        want[v, i] = (sum(w) / len(w), min(w), max(w))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert diff == {(r["video_id"], r["frame_idx"]): r["diff"] for r in fr.with_diff(df).collect()}
+    assert fr.rolling_latency(df, 1).where("avg_ms <> min_ms").count() == 0
