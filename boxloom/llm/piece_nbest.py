@@ -7,7 +7,8 @@ the agenda in the order of their scores, best first.
 A lattice falls apart wherever no piece of the vocabulary holds two neighbouring characters, as between a letter and
 the space after it. The n best of the whole text are then exactly the n best sums over the parts: only the n - 1 parts
 with the least loss from best to second best can differ from their best in any of them. Parts are searched once and
-cached, which keeps very long texts linear.
+cached, which keeps very long texts linear. A part itself, such as a long run of one character, takes n times its
+edges at most.
 
 The forward pass runs on arrays: the distinct words of a batch of texts, end to end, walk the trie of pieces together, one
 character a step, and the edges found are relaxed for all words at once, by start and length. Words over ``LONG``
@@ -41,6 +42,8 @@ SPACE = "▁"
 OWN_SPACE = "\udc81"
 #: Words of more characters are searched one by one.
 LONG = 48
+#: Longer parts are not kept for the next text.
+KEPT = 1000
 Segmentation = tuple[float, bytes]  # score, ids as little-endian unsigned 32-bit numbers
 Edge = tuple[int, int, float, bytes]  # start, end, score, ids
 Part = tuple[float, bytes, float]  # best score, its ids, loss of the second best
@@ -184,21 +187,47 @@ class PieceModel:
         return edges, best, back
 
     def search(self, part: str) -> Iterator[Segmentation]:
-        """Segmentations of a part, best first: backward A* with the forward scores as exact heuristics."""
+        """The n best segmentations of a part, best first: backward A* with the forward scores as exact heuristics.
+
+        An agenda entry is an edge into a place from which a tail leads to the end; edges into a place follow one another
+        by what they can reach, and the next comes up when the one before is taken. Of equal entries the one nearer to the
+        start goes first, so that ties don't widen the search. A place is passed n times at most: the n best of the whole
+        take one of its n best tails. Tails are chains of edges, joined only once they are complete."""
         edges, best, _ = self.lattice(part)
-        into: list[list[Edge]] = [[] for _ in best]
-        for e in edges:
-            into[e[1]].append(e)
-        tick = count()
-        agenda = [(-best[-1], next(tick), len(part), 0.0, b"")]
+        into: list[list[tuple[float, int, float, bytes]]] = [[] for _ in best]
+        for start, end, score, own in edges:
+            into[end].append((-(best[start] + score), start, score, own))
+        ordered, passed, tick = [False] * len(best), [0] * len(best), count()
+        agenda: list[tuple] = []
+
+        def offer(at: int, k: int, tail: float, chain) -> None:
+            """The k-th best edge into a place, before the tail from there on."""
+            if not ordered[at]:
+                into[at].sort(key=lambda e: e[:2])
+                ordered[at] = True
+            if k < len(into[at]):
+                cost, start, _, _ = into[at][k]
+                heapq.heappush(agenda, (cost - tail, start, next(tick), at, k, tail, chain))
+
+        offer(len(part), 0, 0.0, None)
         while agenda:
-            _, _, at, tail, ids = heapq.heappop(agenda)
-            if at == 0:
-                yield tail, ids
-                continue
-            for start, _, score, own in into[at]:
-                g = tail + score
-                heapq.heappush(agenda, (-(g + best[start]), next(tick), start, g, own + ids))
+            _, start, _, at, k, tail, chain = heapq.heappop(agenda)
+            offer(at, k + 1, tail, chain)
+            if passed[start] < self.n:
+                passed[start] += 1
+                _, _, score, own = into[at][k]
+                chain = (own, chain)
+                if start:
+                    offer(start, 0, tail + score, chain)
+                else:
+                    ids = []
+                    whole = chain
+                    while whole:
+                        ids.append(whole[0])
+                        whole = whole[1]
+                    yield tail + score, b"".join(ids)
+                    if passed[0] == self.n:
+                        return
 
     def part(self, part: str) -> Part:
         """The best segmentation of a part and what the second best loses against it."""
@@ -219,7 +248,9 @@ class PieceModel:
                 at = edge[0]
             # another path takes an edge that the best one doesn't
             second = max((best[i] + score + rest[j] for i, j, score, _ in edges if (i, j) not in used), default=float("-inf"))
-            found = self.parts[part] = (best[-1], b"".join(reversed(ids)), best[-1] - second)
+            found = (best[-1], b"".join(reversed(ids)), best[-1] - second)
+            if len(part) <= KEPT:
+                self.parts[part] = found
         return found
 
     def cut(self, chunk: str) -> list[str]:
@@ -239,7 +270,8 @@ class PieceModel:
                 self.chunks.clear()
             own = [self.part(p) for p in self.cut(chunk)]
             found = own[0] if len(own) == 1 else (sum([x[0] for x in own]), b"".join([x[1] for x in own]), min([x[2] for x in own]))
-            self.chunks[chunk] = found
+            if len(chunk) <= KEPT:
+                self.chunks[chunk] = found
         return found
 
     def merged(self, names: list[str], bests: list[Part], every: Callable[[str], list[Segmentation]]) -> list[Segmentation]:
