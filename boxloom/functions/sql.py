@@ -1,9 +1,16 @@
-"""The box functions as SQL functions of a session."""
+"""The box functions, and the mapping of free labels, as SQL functions of a session."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .taxonomy import ALLOWED, FREE_LABELS
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 #: Name, parameters, result type and body. Boxes are structs of x1, y1, x2, y2.
 BOX = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 INTER = "greatest(0.0D, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0D, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
@@ -20,6 +27,14 @@ FUNCTIONS = (
     ),
 )
 
+#: An allowed class of the label's name in any case, else the first key that it contains, else Other.
+LOW = r"lower(regexp_replace(label, '^\\s+|\\s+$', ''))"
+NAMES = ", ".join(f"{text(a.lower())}, {text(a)}" for a in ALLOWED)
+KEYS = ", ".join(f"named_struct('key', {text(k)}, 'value', {text(v)})" for k, v in FREE_LABELS)
+FUNCTIONS += (
+    ("free_label", "label STRING", "STRING", f"coalesce(try_element_at(map({NAMES}), {LOW}), get(filter(array({KEYS}), p -> contains({LOW}, p.key)), 0).value, 'Other')"),
+)
+
 
 def register(spark: SparkSession) -> list[str]:
     """Create the functions for the session; their names."""

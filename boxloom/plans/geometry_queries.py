@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import sql
+from ..functions import taxonomy as tx
 from . import sqlparts as s
+from .filters_joins_queries import FREE
 from .fixtures import oracle
 from .registry import query
 
@@ -180,3 +182,15 @@ def sql_functions(t):
     t.det.selectExpr("image_id", "category_id", "det_id", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) AS b").createOrReplaceTempView("sql_functions_boxes")
     return spark.sql("""SELECT p.det_id AS a_id, q.det_id AS b_id, round(box_iou(p.b, q.b), 6) AS iou, round(box_overlap(p.b, q.b), 6) AS overlap, box_valid(p.b, 640D, 480D) AS valid
       FROM sql_functions_boxes p JOIN sql_functions_boxes q ON p.image_id = q.image_id AND p.category_id = q.category_id AND p.det_id < q.det_id AND q.det_id - p.det_id < 20""")
+
+
+@query("sql_free_label", oracle("""
+SELECT det_id, l, coalesce(a.name, (SELECT arg_min(f.v, f.i) FROM f WHERE contains(lower(trim(l)), f.k)), 'Other') AS label
+FROM d LEFT JOIN a ON lower(trim(l)) = lower(a.name)""", f"d AS (SELECT det_id, {FREE} AS l FROM det)", f"a(name) AS (VALUES {s.values((x,) for x in tx.ALLOWED)})",
+    f"f(i, k, v) AS (VALUES {s.values((i, k, v) for i, (k, v) in enumerate(tx.FREE_LABELS))})"))
+def sql_free_label(t):
+    """The mapping of free labels called from SQL."""
+    spark = t.det.sparkSession
+    sql.register(spark)
+    t.det.selectExpr("det_id", f"{FREE} AS l").createOrReplaceTempView("sql_free_label_boxes")
+    return spark.sql("SELECT det_id, l, free_label(l) AS label FROM sql_free_label_boxes")
