@@ -27,6 +27,8 @@ from .common import checkpointed, released, shuffle_partitions
 
 #: At most so many cells; their pivots and radii are sent to every task.
 PIVOTS = 1024
+#: Inner products stay below this, so that they are exact as whole numbers and as bounds.
+LARGEST = 2.0**53
 
 
 class BallTree:
@@ -126,7 +128,10 @@ def placed(rows: DataFrame, shard_rows: int) -> tuple[DataFrame, dict[int, list[
     """The rows with the number of the nearest pivot of their length (cell) and the distance to it; the pivots by
     length. Pivots are the vectors of the least hashes of ids, at most PIVOTS in all, one for ``shard_rows`` rows."""
     rows = checkpointed(rows)
-    total = rows.count()
+    size = F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))  # whole numbers that are too large are as large as they can be
+    total, most = rows.agg(F.count(F.lit(1)), F.max(F.col("dim") * size * size)).first()
+    if most is not None and most >= LARGEST:
+        raise ValueError(f"inner products may reach {most:.3g}, beyond what is exact here (2^53): use a smaller scale or smaller vectors")
     most = max(1, min(PIVOTS, -(-total // shard_rows)))
     pivots: dict[int, list[list[int]]] = {}
     for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * most).collect():  # equal vectors are drawn, but not used, twice
@@ -173,7 +178,8 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_c
     ``is_query`` is a condition on the column vec_id. Vectors that are null, or hold null or non-finite components,
     take no part; a vector meets those of its own length only. Rows without an id take no part. Of rows that repeat an
     id, each is a candidate for other queries, and each query id is answered once, for its least vector. An empty table
-    gives an empty result; other columns are ignored.
+    gives an empty result; other columns are ignored. Vectors so large that an inner product may reach 2^53 (length times
+    the square of the greatest component) are refused with a ValueError.
     """
     rows = integer_vectors(table, id_col, vector_col, scale).where("vec_id is not null").withColumn("dim", F.size("v"))
     rows, pivots = placed(rows, shard_rows)
