@@ -92,7 +92,8 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, s
     tokens = checkpointed(
         text.join(wanted, (F.col("key") == F.col("at")) & F.col("id").eqNullSafe(F.col("own"))).select("text", "wanted").mapInArrow(released(fetch), "leaf long, line long, docs long, size int, k int, token long").distinct()
     )
-    support = tokens.where("token <> 0").groupBy("leaf", "k", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
+    # stored, so that the join can split a hot leaf, all of whose lines share their leading tokens
+    support = checkpointed(tokens.where("token <> 0").groupBy("leaf", "k", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs))
     known = _templates(ours, distinct, tokens, support, min_docs, similarity)
     marked = ours.join(known.select("leaf", "line", "template"), ["leaf", "line"])
     if keep_first:
