@@ -23,6 +23,7 @@ import atexit
 import os
 import shutil
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -41,6 +42,8 @@ SLICE = 800_000
 #: Text for one hash range, and entries that a range's task merges at once.
 RANGE_BYTES, RUN = 16 << 20, 2_000_000
 WORD_FIELDS = ("c", "cont", "n1", "n2", "n3")
+#: Files that a scoring task keeps mapped; systems allow some 65,000 maps a process.
+MAPS = 4096
 
 
 class Hashes(dict):
@@ -145,15 +148,20 @@ class KneserNey:
         self.high = discounts([totals[f"t{k}"] for k in range(1, 5)])
         self.low = discounts([totals[f"u{k}"] for k in range(1, 5)])
 
-    def open(self) -> "KneserNey":
-        """For a worker: map the files on first use."""
-        self.maps: dict[str, np.ndarray] = {}
+    def open(self, most: int = MAPS) -> "KneserNey":
+        """For a worker: map the files on first use, and keep at most so many mapped, those used last."""
+        self.maps: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.most = most
         return self
 
     def array(self, name: str) -> np.ndarray:
-        if name not in self.maps:
-            self.maps[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
-        return self.maps[name]
+        if name in self.maps:
+            self.maps.move_to_end(name)
+            return self.maps[name]
+        own = self.maps[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+        if len(self.maps) > self.most:
+            self.maps.popitem(last=False)  # unmapped once no array refers to it
+        return own
 
     def look(self, kind: str, fields: tuple[str, ...], h: np.ndarray) -> list[np.ndarray]:
         """The fields' values for the sorted hashes; 0 where a hash isn't there."""
