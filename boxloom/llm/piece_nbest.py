@@ -70,6 +70,7 @@ class PieceModel:
         self.raw = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.parts: dict[str, Part] = {}
         self.chunks: dict[str, Part] = {}
+        self.several: dict[str, list[Segmentation]] = {}
         # the trie as sorted keys (node, character), each with its child; a node's score and id, or -1
         node = {"": 0} | {t: k for k, t in enumerate(self.table, 1)}
         keys = np.array([node[t[:-1]] << 21 | ord(t[-1]) for t in self.table], dtype=np.int64)
@@ -276,16 +277,21 @@ class PieceModel:
 
     def merged(self, names: list[str], bests: list[Part], every: Callable[[str], list[Segmentation]]) -> list[Segmentation]:
         """The n best sums of one segmentation of each name. Only the n - 1 with the least loss can differ from their best."""
-        losses = [x[2] for x in bests]
-        near = heapq.nsmallest(self.n - 1, range(len(bests)), key=losses.__getitem__)
+        scores, bodies, losses = zip(*bests)
+        left, near = list(losses), []
+        for _ in range(self.n - 1):
+            if (least := min(left)) == float("inf"):  # the others have one segmentation
+                break
+            near.append(left.index(least))
+            left[near[-1]] = float("inf")
         combos: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
         for i in near:
             own = every(names[i])
             combos = sorted((c + own[0][0] - s, (*m, (i, ids))) for c, m in combos for s, ids in own)[: self.n]
-        total = sum([x[0] for x in bests])
+        total = sum(scores)
         out = []
         for cost, changes in combos:
-            ids = [x[1] for x in bests]
+            ids = list(bodies) if changes else bodies
             for i, other in changes:
                 ids[i] = other
             out.append((total - cost, b"".join(ids)))
@@ -295,8 +301,16 @@ class PieceModel:
         return [s for s, _ in zip(self.search(part), range(self.n))]
 
     def chunk_nbest(self, chunk: str) -> list[Segmentation]:
-        parts = self.cut(chunk)
-        return self.merged(parts, [self.part(p) for p in parts], self.part_nbest)
+        """The n best of a chunk; those of short ones are kept, since the chunks that lose least are few and common."""
+        found = self.several.get(chunk)
+        if found is None:
+            parts = self.cut(chunk)
+            found = self.merged(parts, [self.part(p) for p in parts], self.part_nbest)
+            if len(chunk) <= LONG:
+                if len(self.several) > self.most // 4:
+                    self.several.clear()
+                self.several[chunk] = found
+        return found
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text: words with the spaces before them, and spaces at the end."""
@@ -327,7 +341,11 @@ class PieceModel:
             self.chunks.clear()
         self.learn(list({c for chunks in split for c in chunks}.difference(self.chunks)))
         for chunks in split:
-            yield self.merged(chunks, [self.chunk(c) for c in chunks], self.chunk_nbest) if chunks else [(0.0, b"")]
+            try:
+                bests = list(map(self.chunks.__getitem__, chunks))
+            except KeyError:  # long words
+                bests = [self.chunk(c) for c in chunks]
+            yield self.merged(chunks, bests, self.chunk_nbest) if chunks else [(0.0, b"")]
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
