@@ -11,6 +11,7 @@ from .common import held_out, read_table
 from .conversation_trie import trie_query
 from .exact_dedup import exact_dedup
 from .importance_resampling import importance_resample
+from .importance_sql import ORACLE as IMPORTANCE_SQL
 from .kneser_ney import lm_query
 from .line_templates import line_query
 from .packing import pack_documents
@@ -158,4 +159,5 @@ a AS (SELECT left(key, 64 * unnest(range(depth + 1))) AS key, n_children, (n_con
 s AS (SELECT key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM a GROUP BY 1)
 SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM x JOIN s USING (key) LEFT JOIN e USING (key) LEFT JOIN u p ON x.depth > 0 AND p.key = left(x.key, 64 * (x.depth - 1))""",
+    "op12_importance_resampling": IMPORTANCE_SQL,
 }
