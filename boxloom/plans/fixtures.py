@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import computed
+
 CATEGORIES = ("Car", "Pedestrian", "Tree", "Pothole", "Street sign")
 RAW_LABELS = ("car", "person", "potted plant", "bottle", "stop sign")
 
@@ -111,12 +113,13 @@ class Tables:
     def det(self) -> DataFrame:
         jit = self.boxes.selectExpr("*", "explode(array(0, 1, 2)) AS k").where("(l_partkey + k) % 4 <> 0")
         jit = jit.selectExpr("*", "(l_suppkey+k) % 9 - 4 + CASE WHEN (l_partkey+k) % 11 = 0 THEN 30 ELSE 0 END AS j")
-        return jit.selectExpr(
-            "box_id*10 + k AS det_id", "image_id", "element_at(array('yolo','detr','vlm'), k+1) AS source",
-            "CAST(CASE WHEN l_partkey % 9 = k THEN (category_id+1) % 5 ELSE category_id END AS INT) AS category_id",
-            "x1 + j AS x1", "y1 + (l_partkey+k) % 7 - 3 AS y1", "x1 + w + (l_suppkey+k) % 5 - 2 + j AS x2", "y1 + h + (l_partkey+2*k) % 5 - 2 AS y2",
-            "CAST(((s0+2500)*(k+3)) % 7500 + 2500 AS DOUBLE) / 10000 AS score",
-        ).selectExpr("*", "element_at(array('car','person','potted plant','bottle','stop sign'), category_id+1) AS label", "concat('item ', det_id) AS description")
+        made = jit.selectExpr("*", "box_id*10 + k AS det_id", "element_at(array('yolo','detr','vlm'), k+1) AS source")
+        det = computed(made, ["det_id", "image_id", "source"], {
+            "category_id": F.expr("CAST(CASE WHEN l_partkey % 9 = k THEN (category_id+1) % 5 ELSE category_id END AS INT)"),
+            "x1": F.expr("x1 + j"), "y1": F.expr("y1 + (l_partkey+k) % 7 - 3"), "x2": F.expr("x1 + w + (l_suppkey+k) % 5 - 2 + j"), "y2": F.expr("y1 + h + (l_partkey+2*k) % 5 - 2"),
+            "score": F.expr("CAST(((s0+2500)*(k+3)) % 7500 + 2500 AS DOUBLE) / 10000"),
+        })
+        return det.selectExpr("*", "element_at(array('car','person','potted plant','bottle','stop sign'), category_id+1) AS label", "concat('item ', det_id) AS description")
 
     @cached_property
     def frames(self) -> DataFrame:

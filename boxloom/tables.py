@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +42,11 @@ def discard(table: DataFrame) -> None:
         if not folder.getName().startswith("table-"):
             raise ValueError(f"{folder} is no stored table")
         folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def computed(df: DataFrame, keep: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """The columns ``keep`` and the named ones, which are computed once a row.
+
+    A filter over a plain select is pushed below it, with the whole expression in place of each mention of a column; over
+    several such steps it outgrows what the JVM compiles. Nothing is pushed through the rows of an array."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
