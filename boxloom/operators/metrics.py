@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import geometry as g
-from ..functions.taxonomy import bound
+from ..tables import stored
+from . import folds
 from .scans import PLACE, RANGE, best_from_here, in_ranges, running
 
 
@@ -148,73 +152,169 @@ COCO_SUMMARY = (
 
 
 def coco_marks(det: DataFrame, gt: DataFrame, thresholds: Sequence[float] = COCO_IOU, areas: Mapping[str, tuple[float, float]] = COCO_AREAS, most: int = max(COCO_MAX)) -> DataFrame:
-    """What each detection is by the COCO protocol: category_id, det_id, score, rank (in its image and class), area,
-    iou_threshold, tp, ignored.
+    """What each detection is by the COCO protocol: category_id, det_id, score, rank (in its image and class), and as bits,
+    one for each area range and, within it, threshold: hit, ignored.
 
     Detections of an image and class, the best ``most`` by score, take in turn the free ground truth that they overlap most,
     one that counts before an ignored one: a crowd (column iscrowd, default 0), which several may take and whose overlap is
     of the detection's own area, or a box outside the area range (column area, default the box's). What takes an ignored
-    one, or takes nothing and lies outside the range itself, is ignored. Overlaps are computed once for all settings: an
-    image and class is one row, whose boxes the fold goes through for each area and threshold.
+    one, or takes nothing and lies outside the range itself, is ignored. Both sides meet sorted by image and class, and the
+    overlaps are computed once for all settings.
     """
     keys = ["image_id", "category_id"]
-    truth = gt.withColumns({"__crowd": F.coalesce("iscrowd", F.lit(0)) == 1 if "iscrowd" in gt.columns else F.lit(False), "__area": F.coalesce("area", g.area(g.box())) if "area" in gt.columns else g.area(g.box())})
-    truth = truth.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("gt_id").alias("id"), F.col("__area").cast("double").alias("area"), F.col("__crowd").alias("crowd"), *[F.col(c).cast("double").alias(c) for c in CORNERS]))).alias("gts"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "det_id")
-    d = det.select(*keys, "det_id", "score", *CORNERS, F.row_number().over(w).alias("rank")).where(F.col("rank") <= most).join(truth, keys, "left")
-    # the overlaps with each ground truth, in the order of their ids
-    over = F.transform("gts", lambda t: F.when(t["crowd"], ratio(g.intersection(g.box(), [t[c] for c in CORNERS]), g.area(g.box()))).otherwise(g.iou(g.box(), [t[c] for c in CORNERS])))
-    d = d.withColumn("ious", F.coalesce(over, F.array().cast("array<double>")))
-    own = F.struct("rank", "det_id", "score", g.area(g.box()).alias("area"), "ious")
-    image = d.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("dets"), F.first("gts").alias("gts"))
-    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, (lo, hi) in areas.items()])
-    levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    each = image.select(*keys, "dets", F.coalesce("gts", F.array().cast(truth.schema["gts"].dataType)).alias("gts"), F.explode(names).alias("a"))
-    out = F.transform("gts", lambda t: t["crowd"] | (t["area"] < F.col("a.lo")) | (t["area"] > F.col("a.hi")))
-    each = each.select("*", out.alias("out"), F.explode(levels).alias("iou_threshold"))
-    marked = F.aggregate(
-        "dets",
-        F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("got")),
-        lambda acc, x: bound(
-            # the best free one: what counts first, then by overlap; of equal overlaps the last
-            F.array_max(
-                F.filter(
-                    F.transform("gts", lambda t, i: F.struct((~F.col("out")[i]).alias("counts"), F.get(x["ious"], i).alias("iou"), i.alias("i"))),
-                    lambda m: (m["iou"] >= F.col("iou_threshold")) & (F.element_at("gts", m["i"] + 1)["crowd"] | ~F.array_contains(acc["taken"], m["i"])),
-                )
-            ),
-            lambda m: F.struct(F.when(m.isNull(), acc["taken"]).otherwise(F.array_append(acc["taken"], m["i"])).alias("taken"), F.array_append(acc["got"], F.coalesce(m["i"], F.lit(-1))).alias("got")),
-        ),
-    )
-    each = each.withColumn("m", marked["got"])
-    found = each.select("category_id", F.col("a.name").alias("area"), "iou_threshold", F.explode(F.zip_with("dets", "m", lambda x, i: F.struct(
-        x["det_id"].alias("det_id"), x["score"].alias("score"), x["rank"].alias("rank"), ((i >= 0) & ~F.coalesce(F.get(F.col("out"), i), F.lit(False))).alias("tp"),
-        F.when(i >= 0, F.get(F.col("out"), i)).otherwise((x["area"] < F.col("a.lo")) | (x["area"] > F.col("a.hi"))).alias("ignored"),
-    ))).alias("x"))
-    return found.select("category_id", "area", "iou_threshold", "x.*")
+    own = lambda df: F.coalesce("area", g.area(g.box())) if "area" in df.columns else g.area(g.box())
+    corners = [F.col(c).cast("double").alias(c) for c in CORNERS]
+    crowd = F.coalesce("iscrowd", F.lit(0)) == 1 if "iscrowd" in gt.columns else F.lit(False)
+    truth = gt.dropna(subset=keys).select(*keys, F.lit(0).alias("kind"), F.col("gt_id").alias("id"), F.lit(None).cast("double").alias("score"), *corners, own(gt).cast("double").alias("area"), crowd.alias("crowd"))
+    found = det.select(*keys, F.lit(1).alias("kind"), F.col("det_id").alias("id"), F.col("score").cast("double").alias("score"), *corners, g.area(g.box()).cast("double").alias("area"), F.lit(False).alias("crowd"))
+    w = Window.partitionBy(*keys, "kind").orderBy(F.desc("score"), "id")
+    both = truth.unionByName(found).repartition(*keys).withColumn("rank", F.row_number().over(w)).where((F.col("kind") == 0) | (F.col("rank") <= most))
+    levels, ranges = np.array([float(t) for t in thresholds]), [(float(lo), float(hi)) for lo, hi in areas.values()]
+
+    def fold(table, starts):
+        _, group, _ = folds.numbered(starts, table.num_rows)
+        kind, rank = table["kind"].to_numpy(), table["rank"].to_numpy()
+        box, lack = folds.doubles(table, CORNERS)
+        (size,), _ = folds.doubles(table, ["area"])
+        is_crowd = table["crowd"].to_numpy()
+        gts, dets = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        n = np.bincount(group[gts], minlength=len(starts))
+        each = n[group[dets]]  # ground truth that a detection meets
+        d = np.repeat(dets, each)
+        t = gts[np.arange(len(d)) + np.repeat((np.cumsum(n) - n)[group[dets]] - (np.cumsum(each) - each), each)]
+        inter, apart = folds.intersection(box[:, d], box[:, t]), lack[d] | lack[t]
+        over = folds.ratio(inter, np.where(is_crowd[t], folds.area(box[:, d]), folds.area(box[:, d]) + folds.area(box[:, t]) - inter), apart)
+        near = over >= levels.min()
+        d, t, over = d[near], t[near], over[near]
+        hit, ignored = (np.zeros((len(kind), len(ranges), len(levels)), dtype=bool) for _ in range(2))
+        for a, (lo, hi) in enumerate(ranges):
+            out = ~((size >= lo) & (size <= hi))
+            ignored[:, a] = out[:, None]
+            out |= is_crowd
+            # each detection's choices, best first: what counts, then by overlap; of equal overlaps the last
+            order = np.lexsort((-t, -over, out[t], d, rank[d]))
+            do, to, fits = d[order], t[order], over[order, None] >= levels
+            taken = np.zeros((len(kind), len(levels)), dtype=bool)
+            cuts = np.append(np.flatnonzero(np.diff(rank[do], prepend=-1)), len(do))
+            for i, j in zip(cuts, cuts[1:]):  # the detections of a rank, in all images and classes
+                dr, tr = do[i:j], to[i:j]
+                free = fits[i:j] & (is_crowd[tr, None] | ~taken[tr])
+                heads = np.flatnonzero(np.diff(dr, prepend=-1))
+                first = np.minimum.reduceat(np.where(free, np.arange(j - i)[:, None], j - i), heads, axis=0)
+                row, level = np.nonzero(first < j - i)
+                got, taker = tr[first[row, level]], dr[heads][row]
+                taken[got, level] = True
+                hit[taker, a, level], ignored[taker, a, level] = ~out[got], out[got]
+        flat = lambda x: folds.binary(x[dets].reshape(len(dets), -1))
+        some = table.take(pa.array(dets))
+        return pa.table([some["category_id"], some["id"], some["score"], some["rank"], flat(hit), flat(ignored)], names=["category_id", "det_id", "score", "rank", "hit", "ignored"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    return folds.folded(both, keys, ["kind", F.desc("score"), "id"], fold, f"category_id {kinds['category_id']}, det_id {kinds['id']}, score double, rank int, hit binary, ignored binary")
 
 
 def coco_evaluation(det: DataFrame, gt: DataFrame, thresholds: Sequence[float] = COCO_IOU, areas: Mapping[str, tuple[float, float]] = COCO_AREAS, most: Sequence[int] = COCO_MAX) -> DataFrame:
     """area, max_dets, iou_threshold, category_id, ap, ar by the COCO protocol: AP over 101 recall points and the recall
-    reached, of each category that has ground truth in the area range; without detections both are 0."""
+    reached, of each category that has ground truth in the area range; without detections both are 0.
+
+    Detections are sorted once for all settings, a row each, by ranges of the category and score. The driver gets the hits
+    and the number of detections of each category and range, by setting, and the tasks what lies before their range."""
     size = F.coalesce("area", g.area(g.box())) if "area" in gt.columns else g.area(g.box())
     crowd = F.coalesce("iscrowd", F.lit(0)) == 1 if "iscrowd" in gt.columns else F.lit(False)
     counts = gt.where(~crowd).groupBy("category_id").agg(*[F.count_if((size >= float(lo)) & (size <= float(hi))).alias(n) for n, (lo, hi) in areas.items()])
+    counts = stored(counts)
+    truth = {r["category_id"]: [r[n] for n in areas] for r in counts.collect()}  # a row a category
     counts = counts.select("category_id", F.explode(F.array(*[F.struct(F.lit(n).alias("area"), F.col(n).alias("n_gt")) for n in areas])).alias("c")).select("category_id", "c.*").where("n_gt > 0")
     settings = counts.select("*", F.explode(F.array(*[F.lit(m) for m in most])).alias("max_dets")).select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("iou_threshold"))
-    marks = coco_marks(det, gt, thresholds, areas, max(most)).where("not ignored")
-    marks = marks.select("*", F.explode(F.filter(F.array(*[F.lit(m) for m in most]), lambda m: m >= F.col("rank"))).alias("max_dets"))
+    marks = coco_marks(det, gt, thresholds, areas, max(most)).where("category_id is not null")
+    rows = in_ranges(marks, ["category_id"], [F.desc("score"), "det_id"]).select("category_id", RANGE, PLACE, "rank", "hit", "ignored")
+    names, levels = list(areas), [float(t) for t in thresholds]
+    shape = (len(most), len(names) * len(levels))
+
+    def parts(batches):
+        """(category, range), and of each row and setting whether it is a hit and whether it counts."""
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                starts = folds.group_starts(table, ["category_id", RANGE])
+                hit, counts_ = folds.bits(batch.column("hit"), shape[1]), ~folds.bits(batch.column("ignored"), shape[1])
+                rank, ids, ranges = batch.column("rank").to_numpy(), batch.column("category_id"), batch.column(RANGE)
+                for i, j in zip(starts, np.append(starts[1:], batch.num_rows)):
+                    yield (ids[int(i)].as_py(), ranges[int(i)].as_py()), rank[i:j], hit[i:j], counts_[i:j]
+
+    def sums(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for key, rank, hit, counted in parts(batches):
+            own = total.setdefault(key, np.zeros((2, *shape), dtype=np.int64))
+            for m, limit in enumerate(most):
+                own[0, m] += hit[rank <= limit].sum(axis=0)
+                own[1, m] += counted[rank <= limit].sum(axis=0)
+        columns = ([c for c, _ in total], category), ([at for _, at in total], pa.int64()), ([v.ravel() for v in total.values()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(*x) for x in columns], names=["category_id", "range", "sums"])
+
+    category, kind = to_arrow_type(rows.schema["category_id"].dataType), rows.schema["category_id"].dataType.simpleString()
+    totals: dict[tuple, np.ndarray] = {}
+    for r in rows.mapInArrow(sums, f"category_id {kind}, range long, sums array<long>").collect():
+        key = (r["category_id"], r["range"])
+        totals[key] = totals.get(key, 0) + np.array(r["sums"], dtype=np.int64).reshape(2, *shape)
+    before, running_sum = {}, {}
+    for c, at in sorted(totals, key=lambda k: k[1]):
+        before[c, at] = running_sum.get(c, np.zeros((2, *shape), dtype=np.int64))
+        running_sum[c] = before[c, at] + totals[c, at]
+    carried = rows.sparkSession.sparkContext.broadcast(before)
+
+    def best_precisions(batches):
+        """Of each category and range: the best precision from each recall point on, and the recall reached."""
+        now, base, best, reached, points = None, None, None, None, None
+
+        def given():
+            out = [(now[0], names[s // len(levels)], most[m], levels[s % len(levels)], best[m, s], reached[m, s]) for m in range(shape[0]) for s in range(shape[1]) if points[s // len(levels)] is not None]
+            columns = list(zip(*out)) or [[]] * 6
+            types = (category, pa.string(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["category_id", "area", "max_dets", "iou_threshold", "p", "ar"])
+
+        for key, rank, hit, counted in parts(batches):
+            if key != now:
+                if now:
+                    yield given()
+                now, base = key, carried.value[key].copy()
+                best, reached = np.zeros((*shape, 101)), np.zeros(shape)
+                points = [hits_needed(n) if n else None for n in truth.get(key[0], [0] * len(names))]
+            for m, limit in enumerate(most):
+                some = rank <= limit
+                if not some.any():
+                    continue
+                hits, places = (base[k, m] + np.cumsum(x[some], axis=0) for k, x in enumerate((hit, counted)))
+                base[0, m], base[1, m] = hits[-1], places[-1]
+                precision = hits / np.maximum(places, 1)
+                later = np.maximum.accumulate(precision[::-1], axis=0)[::-1]
+                for s in range(shape[1]):
+                    if (needed := points[s // len(levels)]) is not None:
+                        at = np.searchsorted(hits[:, s], needed)
+                        ok = at < len(hits)
+                        best[m, s, ok] = np.maximum(best[m, s, ok], later[at[ok], s])
+                        reached[m, s] = hits[-1, s] / truth[now[0]][s // len(levels)]
+        if now:
+            yield given()
+
     keys = ["area", "max_dets", "iou_threshold", "category_id"]
-    ranged = in_ranges(marks.select(*keys, "score", "det_id", F.col("tp").cast("int").alias("tp")), keys, [F.desc("score"), "det_id"])
-    curve = running(ranged, keys, {"hits": F.col("tp"), "place": F.lit(1)})
-    curve = curve.select(*keys, "hits", (F.col("hits") / F.col("place")).alias("precision")).join(F.broadcast(counts), ["category_id", "area"])  # a row a category and area
-    recall = F.col("hits") / F.col("n_gt")
-    best = curve.groupBy(*keys).agg(F.max(recall).alias("ar"), *[F.coalesce(F.max(F.when(recall >= i / 100, F.col("precision"))), F.lit(0.0)).alias(f"p{i}") for i in range(101)])
+    ordered = rows.repartition(RANGE).sortWithinPartitions(RANGE, PLACE)
+    best = ordered.mapInArrow(best_precisions, f"category_id {kind}, area string, max_dets int, iou_threshold double, p array<double>, ar double")
+    best = best.groupBy(*keys).agg(F.max("ar").alias("ar"), *[F.max(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(101)])
     total = F.aggregate(F.array(*[F.col(f"p{i}") for i in range(101)]), F.lit(0.0), lambda s, p: s + p)
     out = settings.join(best.select(*keys, (total / 101).alias("ap"), "ar"), keys, "left")
     return out.select("area", "max_dets", "iou_threshold", "category_id", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
 
 
+def hits_needed(n: int) -> np.ndarray:
+    """For each recall point the least number of hits, of n, that reaches it in doubles."""
+    points = np.arange(101) / 100
+    least = np.maximum(np.floor(points * n).astype(np.int64) - 1, 0)
+    for _ in range(3):
+        least = np.where(least / n >= points, least, least + 1)
+    return least
+
+
 def coco_summary(evaluation: DataFrame) -> DataFrame:
     """metric, value: the twelve figures; null where no category has ground truth of the area."""
     one = evaluation.agg(*[

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import taxonomy as tx
 from ..functions.text import image_ref
+from ..tables import computed
 from .coco_blocks import read_sections
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -70,8 +71,9 @@ def clean_annotations(ann: DataFrame, images: DataFrame) -> DataFrame:
 def kitti_boxes(lines: DataFrame, classes: Mapping[str, int] = tx.KITTI_TO_COCO) -> DataFrame:
     """KITTI lines (name, line) to boxes: at least 9 tokens, no DontCare, truncated at most 0.8, occluded at most 2, a
     known class. Columns name, type, category_id, x1..y2."""
-    p = lines.select("name", F.split(F.trim("line"), r"\s+").alias("p")).where("size(p) >= 9")
-    d = p.select("name", F.col("p")[0].alias("type"), F.col("p")[1].try_cast("double").alias("truncated"), F.col("p")[2].try_cast("double").alias("occluded"), *[F.col("p")[i + 4].try_cast("double").alias(c) for i, c in enumerate(CORNERS)])
+    p = computed(lines, ["name"], {"p": F.split(F.trim("line"), r"\s+")}).where("size(p) >= 9")
+    fields = {"truncated": 1, "occluded": 2, **{c: i + 4 for i, c in enumerate(CORNERS)}}
+    d = computed(p, ["name"], {"type": F.col("p")[0], **{n: F.col("p")[i].try_cast("double") for n, i in fields.items()}})
     d = d.where("type <> 'DontCare' AND truncated <= 0.8 AND occluded <= 2").withColumn("category_id", tx.looked_up(F.col("type"), classes, -1))
     return d.where("category_id <> -1").select("name", "type", "category_id", *CORNERS)
 

@@ -78,3 +78,14 @@ def test_coco(spark):
             sums["AR100"].append(ar)
     assert len(figures) == 12 and all(figures[k] == pytest.approx(sum(v) / len(v)) for k, v in sums.items())
     assert me.coco_evaluation(d, g.limit(0)).count() == 0
+
+
+def test_evaluation_keeps_a_row_a_detection(spark, monkeypatch):
+    """All settings share one sorted row a detection."""
+    gt = spark.sql("select id as gt_id, id div 4 as image_id, int(id % 2) as category_id, 0d x1, 0d y1, 10d x2, 10d y2 from range(40)")
+    det = gt.selectExpr("gt_id as det_id", "image_id", "category_id", "0.5d as score", "x1", "y1", "x2", "y2")
+    sorted_rows = []
+    real = me.in_ranges
+    monkeypatch.setattr(me, "in_ranges", lambda df, *a: sorted_rows.append(df.count()) or real(df, *a))
+    assert me.coco_evaluation(det, gt).count() > 0
+    assert sorted_rows == [40]

@@ -12,6 +12,6 @@ def longest_condition(df):
     return max((len(line) for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.lstrip(" :+-").startswith("Filter")), default=0)
 
 
-@pytest.mark.parametrize("name", ["box_fix"])
+@pytest.mark.parametrize("name", ["box_fix", "read_kitti_labels"])
 def test_filters_stay_small(spark, name):
     assert longest_condition(registry.QUERIES[name](spark, SF)) < 2500
