@@ -47,14 +47,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         yield table, group_starts(table, keys)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by hash of the keys, in as many tasks as a shuffle has: small rows may be much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], fold: Callable, schema: str) -> DataFrame:
-    """``fold(table, starts)``, a table of the schema, of whole groups in order."""
+    """``fold(table, starts)``, a table of the schema, of whole groups in order; ``rows`` are dealt by the keys."""
 
     def run(batches):
         for table, starts in whole_groups(batches, keys):
             yield from fold(table, starts).to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def doubles(table: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

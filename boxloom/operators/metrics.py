@@ -168,7 +168,7 @@ def coco_marks(det: DataFrame, gt: DataFrame, thresholds: Sequence[float] = COCO
     truth = gt.dropna(subset=keys).select(*keys, F.lit(0).alias("kind"), F.col("gt_id").alias("id"), F.lit(None).cast("double").alias("score"), *corners, own(gt).cast("double").alias("area"), crowd.alias("crowd"))
     found = det.select(*keys, F.lit(1).alias("kind"), F.col("det_id").alias("id"), F.col("score").cast("double").alias("score"), *corners, g.area(g.box()).cast("double").alias("area"), F.lit(False).alias("crowd"))
     w = Window.partitionBy(*keys, "kind").orderBy(F.desc("score"), "id")
-    both = truth.unionByName(found).repartition(*keys).withColumn("rank", F.row_number().over(w)).where((F.col("kind") == 0) | (F.col("rank") <= most))
+    both = folds.dealt(truth.unionByName(found), *keys).withColumn("rank", F.row_number().over(w)).where((F.col("kind") == 0) | (F.col("rank") <= most))
     levels, ranges = np.array([float(t) for t in thresholds]), [(float(lo), float(hi)) for lo, hi in areas.values()]
 
     def fold(table, starts):
@@ -298,7 +298,7 @@ def coco_evaluation(det: DataFrame, gt: DataFrame, thresholds: Sequence[float] =
             yield given()
 
     keys = ["area", "max_dets", "iou_threshold", "category_id"]
-    ordered = rows.repartition(RANGE).sortWithinPartitions(RANGE, PLACE)
+    ordered = folds.dealt(rows, RANGE).sortWithinPartitions(RANGE, PLACE)
     best = ordered.mapInArrow(best_precisions, f"category_id {kind}, area string, max_dets int, iou_threshold double, p array<double>, ar double")
     best = best.groupBy(*keys).agg(F.max("ar").alias("ar"), *[F.max(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(101)])
     total = F.aggregate(F.array(*[F.col(f"p{i}") for i in range(101)]), F.lit(0.0), lambda s, p: s + p)
