@@ -49,13 +49,11 @@ def match_iou_or_distance(boxes: DataFrame, parsed: DataFrame, min_iou: float =
     """A scan over the parsed boxes in order of id: one that overlaps enough replaces the match; else the first within
     the distance is taken if there is none yet. det_id, parsed_id."""
     p = prefixed(parsed.select(*keys, F.col("det_id").alias("id"), *CORNERS), keys, "p_")
-    item = F.struct(F.col("p_id").alias("id"), g.iou(g.box(), g.box("p_")).alias("iou"), g.centre_distance(g.box(), g.box("p_")).alias("d"))
-    c = boxes.join(p, list(keys)).groupBy(*keys, "det_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
-    over = F.filter("c", lambda x: x["iou"] > min_iou)
-    near = F.filter("c", lambda x: x["d"] < within)
+    near = F.when(g.centre_distance(g.box(), g.box("p_")) < within, F.col("p_id"))
+    over = F.when(g.iou(g.box(), g.box("p_")) > min_iou, F.col("p_id"))
     # the last that overlaps wins, whatever came before; without one, the first near
-    best = F.when(F.size(over) > 0, F.element_at(over, -1)).when(F.size(near) > 0, F.element_at(near, 1))
-    return c.select(*keys, "det_id", best["id"].alias("parsed_id")).where("parsed_id is not null")
+    best = boxes.select(*keys, "det_id", *CORNERS).join(p, list(keys)).groupBy(*keys, "det_id").agg(F.coalesce(F.max(over), F.min(near)).alias("parsed_id"))
+    return best.where("parsed_id is not null")
 
 
 def spatial_relations(det: DataFrame, min_iou: float = 0.1, within: float = 50.0, keys: Sequence[str] = ("image_id",), dense: int = 256) -> DataFrame:
