@@ -56,11 +56,13 @@ def valid_images(det: DataFrame, images: DataFrame) -> DataFrame:
 def label_blank_policy(det: DataFrame, categories: Sequence[str], mode: str = "fallback") -> DataFrame:
     """Where all labels of an image are blank: ignore (drop), unknown, or fallback (the categories in turn)."""
     blank = F.trim(F.coalesce("label", F.lit(""))) == ""
-    image = Window.partitionBy("image_id")
-    all_blank = F.min(blank).over(image)
+    image = Window.partitionBy("image_id").orderBy("det_id")  # one order for both windows, so that a task sorts once
+    all_blank = F.min(blank).over(image.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # a task's sort is the largest use of memory, and its rows are few in more tasks
+    det = det.repartition(4 * int(det.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
     if mode == "ignore":
         return det.withColumn("__all", all_blank).where("not __all").drop("__all")
-    n = (F.row_number().over(image.orderBy("det_id")) - 1) % len(categories) + 1
+    n = (F.row_number().over(image) - 1) % len(categories) + 1
     new = F.lit("unknown") if mode == "unknown" else F.element_at(F.array(*[F.lit(c) for c in categories]), n)
     return det.withColumn("label", F.when(all_blank, new).otherwise(F.col("label")))
 
