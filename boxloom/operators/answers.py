@@ -1,7 +1,7 @@
 """A store of model answers: what a backend has answered is never asked again.
 
 Layout below the store's path: ``answers/run=r`` holds Parquet tables of prompt_hash, backend, response; ``open/r/p`` the
-files that the task of partition p of run r writes, one as each batch of answers comes in. A task that is tried again
+files that the task of partition p of run r writes as answers come in, at most one a second, and when it fails. A task that is tried again
 reads its own open files first and asks for the rest only. A later run joins away what is answered and asks for the rest.
 Runs that died are settled, that is their open files are made a table, when the next one begins. The path must be one that
 executors can open: a shared mount, or a file system that Arrow knows (hdfs, s3 and others).
@@ -9,6 +9,7 @@ executors can open: a shared mount, or a file system that Arrow knows (hdfs, s3
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -23,6 +24,7 @@ from ..tables import discard, stored
 from .inference import FAILED, Model, answered
 
 SCHEMA = pa.schema([("prompt_hash", pa.string()), ("backend", pa.string()), ("response", pa.string())])
+PAUSE = 1.0  # seconds between a task's files: what a worker that is killed may lose
 DDL = "prompt_hash string, backend string, response string"
 
 
@@ -39,6 +41,7 @@ class OpenFiles:
     def __init__(self, folder: str):
         self.fs, self.folder = opened(folder)
         self.fs.create_dir(self.folder, recursive=True)
+        self.rows, self.written = [], time.monotonic()
 
     def known(self) -> dict[str, tuple[str, str]]:
         """prompt_hash -> (backend, response)."""
@@ -49,6 +52,17 @@ class OpenFiles:
                 out.update(zip(t["prompt_hash"].to_pylist(), zip(t["backend"].to_pylist(), t["response"].to_pylist())))
         return out
 
+    def keep(self, rows: list[tuple[str, str, str]]) -> None:
+        """Write the answers, those of fast models together, once a second."""
+        self.rows += rows
+        if time.monotonic() - self.written >= PAUSE:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            self.add(self.rows)
+        self.rows, self.written = [], time.monotonic()
+
     def add(self, rows: list[tuple[str, str, str]]) -> None:
         """Write a file and give it its name in one step, so that half a file is never seen."""
         name = f"{uuid.uuid4().hex}.parquet"
@@ -59,9 +73,7 @@ class OpenFiles:
 def asking(folder: str, backends: Sequence[tuple[str, Callable[[], Model]]], batch_size: int):
     """The task: prompt_hash, prompt -> prompt_hash, failed (the names of the backends that didn't answer, if none did)."""
 
-    def run(batches):
-        context = TaskContext.get()
-        files = OpenFiles(f"{folder}/{context.partitionId() if context else 0}")
+    def run(batches, files):
         known = files.known()
         models: dict[str, Model] = {}
         for batch in batches:
@@ -76,13 +88,19 @@ def asking(folder: str, backends: Sequence[tuple[str, Callable[[], Model]]], bat
                         models[name] = make()
                     answers = answered(models[name], [p for _, p in left])
                     new = [(h, name, a) for (h, _), a in zip(left, answers) if a is not FAILED]
-                    if new:
-                        files.add(new)
+                    files.keep(new)
                     left = [row for row, a in zip(left, answers) if a is FAILED]
                 failed += [h for h, _ in left]
             yield pa.RecordBatch.from_arrays([pa.array(failed, pa.string())], names=["prompt_hash"])
 
-    return run
+    def kept(batches):
+        files = OpenFiles(f"{folder}/{TaskContext.get().partitionId() if TaskContext.get() else 0}")
+        try:
+            yield from run(batches, files)
+        finally:  # also when a model fails
+            files.flush()
+
+    return kept
 
 
 class AnswerStore:

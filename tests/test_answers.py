@@ -106,3 +106,16 @@ def test_a_retried_task_asks_for_no_answered_row(tmp_path):
     code = RETRY.format(repo=str(Path(__file__).resolve().parent.parent), mark=str(tmp_path / "mark"), log=str(tmp_path / "log"), store=str(tmp_path / "store"))
     subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300)
     assert (tmp_path / "mark").exists() and asked(tmp_path / "log") == Counter({f"p{i}": 1 for i in range(60)})
+
+
+def test_fast_answers_share_files(tmp_path):
+    """A file for each batch of a fast model would be as many files as batches."""
+    import pyarrow as pa
+
+    from boxloom.operators import answers as an
+
+    rows = pa.RecordBatch.from_pydict({"prompt_hash": [str(i) for i in range(640)], "prompt": ["p"] * 640})
+    run = an.asking(str(tmp_path), [("m", lambda: lambda prompts: list(prompts))], 16)
+    assert sum(b.num_rows for b in run(iter([rows]))) == 0
+    assert len(an.OpenFiles(f"{tmp_path}/0").known()) == 640
+    assert len(list((tmp_path / "0").iterdir())) <= 10  # 40 before
