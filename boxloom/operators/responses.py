@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import taxonomy as tx
 from ..functions.taxonomy import stripped
-from ..tables import stored
+from ..tables import computed, stored
 
 # The markers and patterns of the answers, which the results depend on.
 START, END = "RESULT_START", "RESULT_END"
@@ -62,14 +62,11 @@ def lines(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:
 def line_boxes(rows: DataFrame, default: float, found: str) -> DataFrame:
     """Lines "Label: (x1,y1,x2,y2) confidence description" as raw_label, x1..y2, confidence, description."""
     part = lambda i: F.regexp_extract("line", LINE, i)
-    raw = stripped(part(1))
-    return rows.where(F.col("line").rlike(LINE)).withColumns(
+    parts = computed(rows.where(F.col("line").rlike(LINE)), rows.columns, {"raw_label": stripped(part(1)), **{c: part(i + 2).try_cast("int") for i, c in enumerate(CORNERS)}, "number": part(6), "said": part(7)})
+    return parts.withColumns({"number": some(F.col("number")), "said": stripped(F.col("said"))}).withColumns(
         {
-            "raw_label": raw,
-            **{c: part(i + 2).try_cast("int") for i, c in enumerate(CORNERS)},
-            "number": some(part(6)),
-            "confidence": F.coalesce(some(part(6)).try_cast("double"), F.when(some(part(6)).isNull(), F.lit(default))),
-            "description": F.coalesce(some(stripped(part(7))), F.format_string(found, F.lower(raw))),
+            "confidence": F.coalesce(F.col("number").try_cast("double"), F.when(F.col("number").isNull(), F.lit(default))),
+            "description": F.coalesce(some(F.col("said")), F.format_string(found, F.lower("raw_label"))),
         }
     )
 
@@ -134,9 +131,8 @@ def parse_general(responses: DataFrame, keys: Sequence[str] = ("image_id",)) ->
     found = F.regexp_extract_all("response", F.lit(ANY_BOX), F.lit(0))
     rows = responses.select(*keys, "width", "height", "response", F.posexplode(found).alias("line_no", "box"))
     first = F.element_at(F.filter(F.split("response", "\n", -1), lambda line: line.contains(F.col("box"))), 1)
-    rows = rows.withColumn("line", first).where("line is not null").withColumns(
-        {**{c: F.regexp_extract("box", BOX, i + 1).try_cast("int") for i, c in enumerate(CORNERS)}, "raw_label": object_label(F.col("line")), "description": object_description(stripped(F.col("line"))), "confidence": F.lit(1.0)}
-    )
+    rows = computed(rows, [*keys, "width", "height", "line_no"], {"line": first, **{c: F.regexp_extract("box", BOX, i + 1).try_cast("int") for i, c in enumerate(CORNERS)}})
+    rows = rows.where("line is not null").withColumns({"raw_label": object_label(F.col("line")), "description": object_description(stripped(F.col("line"))), "confidence": F.lit(1.0)})
     return validated(rows).select(*keys, "line_no", *OUT)
 
 
@@ -165,7 +161,10 @@ def parse_cascade(responses: DataFrame, keys: Sequence[str] = ("image_id",)) ->
 
 def split_answer(text: Column, default: float = 0.8) -> tuple[Column, Column, Column]:
     """"Label confidence description": label, confidence (a bad one is the default), description; null with fewer than two parts."""
-    p = F.split(text, " ", 3)
+    return answer_parts(F.split(text, " ", 3), default)
+
+
+def answer_parts(p: Column, default: float = 0.8) -> tuple[Column, Column, Column]:
     ok = F.size(p) >= 2
     label = F.when(ok, F.get(p, F.lit(0)))
     return label, F.when(ok, F.coalesce(F.get(p, F.lit(1)).try_cast("double"), F.lit(default))), F.when(ok, F.coalesce(F.get(p, F.lit(2)), F.concat(F.lit("Detected by VLM: "), F.get(p, F.lit(0)))))
@@ -188,14 +187,15 @@ def direct_boxes(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> D
     pattern = DIRECT
     rows = lines(responses.withColumn("__t", text).where("__t is not null"), F.col("__t"), list(keys)).where(F.col("line").rlike(pattern))
     part = lambda i: F.regexp_extract("line", pattern, i)
-    return rows.select(*keys, F.col("line_no").alias("det_id"), part(1).alias("raw_label"), *[part(i + 2).try_cast("double").alias(c) for i, c in enumerate(CORNERS)], part(6).try_cast("double").alias("confidence"), F.coalesce(some(stripped(part(7))), F.concat(F.lit("Detected by VLM: "), part(1))).alias("description"))
+    parts = computed(rows, [*keys, "line_no"], {"raw_label": part(1), **{c: part(i + 2).try_cast("double") for i, c in enumerate(CORNERS)}, "confidence": part(6).try_cast("double"), "said": stripped(part(7))})
+    return parts.select(*keys, F.col("line_no").alias("det_id"), "raw_label", *CORNERS, "confidence", F.coalesce(some(F.col("said")), F.concat(F.lit("Detected by VLM: "), "raw_label")).alias("description"))
 
 
 def parse_direct_coordinates(responses: DataFrame, boxes: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """The original boxes that a parsed line matches by overlap or distance: keys, det_id, label, confidence, description."""
     from .matching import match_iou_or_distance
 
-    parsed = direct_boxes(responses, keys)
+    parsed = stored(direct_boxes(responses, keys))  # read by the match and for its fields
     hit = match_iou_or_distance(boxes, parsed, keys=keys)
     of = parsed.select(*keys, F.col("det_id").alias("parsed_id"), "raw_label", "confidence", "description")
     return hit.join(of, [*keys, "parsed_id"]).select(*keys, "det_id", tx.free_label(F.col("raw_label")).alias("label"), "confidence", "description")
@@ -208,8 +208,10 @@ def parse_legacy_boxes(responses: DataFrame, boxes: DataFrame, keys: Sequence[st
     pattern = LEGACY
     rows = lines(responses, F.col("response"), list(keys)).where(F.col("line").rlike(pattern))
     nums = F.transform(F.split(F.regexp_extract("line", pattern, 1), ","), lambda x: stripped(x).try_cast("double"))
-    label, conf, text = split_answer(stripped(F.regexp_extract("line", pattern, 2)))
-    parsed = rows.withColumn("n", nums).where("size(n) = 4 and forall(n, x -> x is not null)").select(*keys, F.col("line_no").alias("det_id"), *[F.col("n")[i].alias(c) for i, c in enumerate(CORNERS)], label.alias("raw_label"), conf.alias("confidence"), text.alias("description"))
+    label, conf, text = answer_parts(F.col("p"))
+    rows = computed(rows, [*keys, "line_no"], {"n": nums, "p": F.split(stripped(F.regexp_extract("line", pattern, 2)), " ", 3)})
+    parsed = rows.where("size(n) = 4 and forall(n, x -> x is not null)").select(*keys, F.col("line_no").alias("det_id"), *[F.col("n")[i].alias(c) for i, c in enumerate(CORNERS)], label.alias("raw_label"), conf.alias("confidence"), text.alias("description"))
+    parsed = stored(parsed)  # read by the match and for its fields
     hit = match_nearest_center(boxes, parsed, keys=keys)
     of = parsed.select(*keys, F.col("det_id").alias("parsed_id"), "raw_label", "confidence", "description")
     out = hit.join(of, [*keys, "parsed_id"]).where("raw_label is not null and lower(raw_label) <> 'empty'")
@@ -230,10 +232,15 @@ def parse_box_cascade(responses: DataFrame, boxes: DataFrame, keys: Sequence[str
 def parse_crop_class(responses: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The first "Object: class confidence description" in the markers with two parts or more, else nulls."""
     block = F.coalesce(result_block(F.col("response"), need_end=True), F.lit(""))
-    objects = F.filter(F.transform(F.split(block, "\n", -1), stripped), lambda s: s.startswith("Object:"))
+    objects = F.filter(F.transform(F.split("block", "\n", -1), stripped), lambda s: s.startswith("Object:"))
     said = F.filter(F.transform(objects, lambda s: stripped(F.substr(s, F.lit(8)))), lambda s: s.contains(" "))
-    label, conf, text = split_answer(F.get(said, F.lit(0)))
-    return responses.select(*keys, F.when(label.isNotNull(), tx.free_label(label)).alias("label"), conf.alias("confidence"), text.alias("description"))
+    # step by step, each computed once
+    rows = computed(computed(responses, keys, {"response": F.col("response")}), keys, {"block": block})
+    rows = computed(rows, keys, {"p": F.split(F.get(said, F.lit(0)), " ", 3)})
+    label, conf, text = answer_parts(F.col("p"))
+    rows = computed(rows, keys, {"said_label": label, "confidence": conf, "description": text})
+    label, conf, text = (F.col(c) for c in ("said_label", "confidence", "description"))
+    return rows.select(*keys, F.when(label.isNotNull(), tx.free_label(label)).alias("label"), conf.alias("confidence"), text.alias("description"))
 
 
 def parse_bulleted(responses: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -269,10 +276,23 @@ def repaired_json(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(some(inner)))
 
 
+ANSWER = ("class", "confidence", "reasoning")
+
+
 def classification(text: Column, allowed: Sequence[str] = tx.ALLOWED) -> dict[str, Column]:
     """class, confidence, reasoning of a JSON answer; Other, 0.5 and a reason where a key is missing."""
     v = repaired_json(text)
-    cls, conf, why = (F.try_variant_get(v, f"$.{k}", "string") for k in ("class", "confidence", "reasoning"))
+    return classes_of(*[F.try_variant_get(v, f"$.{k}", "string") for k in ANSWER], allowed)
+
+
+def classified(df: DataFrame, text: Column, keep: Sequence[str], allowed: Sequence[str] = tx.ALLOWED) -> DataFrame:
+    """The columns ``keep`` and those of ``classification``, with each answer parsed once."""
+    rows = computed(computed(df, keep, {"__text": text}), keep, {"__v": repaired_json(F.col("__text"))})
+    rows = computed(rows, keep, {f"__{k}": F.try_variant_get("__v", f"$.{k}", "string") for k in ANSWER})
+    return rows.select(*keep, *[c.alias(n) for n, c in classes_of(*[F.col(f"__{k}") for k in ANSWER], allowed).items()])
+
+
+def classes_of(cls: Column, conf: Column, why: Column, allowed: Sequence[str]) -> dict[str, Column]:
     whole = cls.isNotNull() & conf.isNotNull() & why.isNotNull()
     return {
         "class": F.when(whole, coerced_class(cls, allowed)).otherwise("Other"),

@@ -152,8 +152,7 @@ JSON = """CASE WHEN det_id % 5 = 0 THEN concat('{"class": "Car", "confidence": '
 SELECT det_id, CASE WHEN det_id % 5 = 0 THEN 'Car' WHEN det_id % 5 = 1 THEN 'Truck' WHEN det_id % 5 = 2 THEN 'Tree' ELSE 'Other' END AS class,
   CASE WHEN det_id % 5 = 0 THEN score WHEN det_id % 5 = 1 THEN 1.0 WHEN det_id % 5 = 2 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN det_id % 5 < 3 THEN 'r' ELSE 'Failed to parse response' END AS reasoning FROM det"""))
 def repair_json(t):
-    c = rs.classification(F.expr(JSON))
-    return t.det.select("det_id", *[v.alias(k) for k, v in c.items()])
+    return rs.classified(t.det, F.expr(JSON), ["det_id"])
 
 
 @query("coerce_class", oracle(f"""
