@@ -14,9 +14,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 ESCAPED = re.compile(rb"\\.", re.DOTALL)
 #: The key before an opening bracket.
 KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*\Z', re.DOTALL)
@@ -52,13 +55,19 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]
     """(file, block, bytes) in order, the braces put back."""
     now, own, size = None, [], 0
     for b in batches:
-        for path, block, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-            if (path, block) != now or size > FEED:
+        values, blocks = b.column(2).cast(pa.binary()).to_pylist(), b.column(1)
+        new = pc.or_(pc.not_equal(b.column(0).slice(1), b.column(0).slice(0, max(len(values) - 1, 0))), pc.not_equal(blocks.slice(1), blocks.slice(0, max(len(values) - 1, 0))))
+        cuts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), len(values)]
+        for i, j in zip(cuts, cuts[1:]):  # the records of a block
+            if i == j:
+                continue
+            at = (b.column(0)[i].as_py(), blocks[i].as_py())
+            if at != now or size > FEED:
                 if own:
                     yield (*now, b"}".join([*own, b""]))
-                now, own, size = (path, block), [], 0
-            own.append(value)
-            size += len(value) + 1
+                now, own, size = at, [], 0
+            own += values[i:j]
+            size += sum(map(len, values[i:j])) + j - i
     if own:
         yield (*now, b"}".join([*own, b""]))
 
@@ -155,7 +164,7 @@ def read_sections(spark: SparkSession, path: str, sections: Sequence[str]) -> Da
     pass gets, is a row of some 100 bytes for each block, a millionth of the input at Spark's block size."""
     text = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
     states = starting_states(text.mapInArrow(summaries, SUMMARY).collect())
-    rows = text.mapInArrow(elements_of(states, frozenset(sections)), "path string, section string, began long, place long, block long, whole boolean, value string")
+    rows = stored(text.mapInArrow(elements_of(states, frozenset(sections)), "path string, section string, began long, place long, block long, whole boolean, value string"))  # for each section
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda x: x["value"]), "")
     parts = rows.where("not whole").groupBy("path", "section", "began").agg(F.max("place").alias("place"), joined.alias("value"))  # of one element
     return rows.where("whole").select("path", "section", "began", "place", "value").unionByName(parts).select("path", "section", F.struct("began", "place").alias("place"), "value")
