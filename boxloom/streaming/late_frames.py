@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 #: Session setting that ``stream_late_keyframes`` needs.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Frames of a video that wait in one value of the state.
+RUN = 256
 COLUMNS = ("video_id", "frame_idx", "reason")
 
 
@@ -32,7 +34,7 @@ def chosen(index: np.ndarray, gray: np.ndarray, last: np.ndarray | None, every:
 
 
 class LateKeyframes(StatefulProcessor):
-    """State of a video: the frames that wait, by time and index; the last frame that has gone through, and its time.
+    """State of a video: the frames that wait, in runs by time and index; the last frame that has gone through, and its time.
 
     One timer a video stands at the earliest waiting frame; without any, at the time when the video counts as ended and
     its state goes (``idle_ms`` after its last frame). One that comes back after that starts anew."""
@@ -42,29 +44,45 @@ class LateKeyframes(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long, frame_idx long", "gray array<long>")
+        self.waiting = handle.getMapState("waiting", "ms long, frame_idx long", "ms array<long>, frame_idx array<long>, gray array<array<long>>")
         self.last = handle.getValueState("last", "ms long, gray array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         passed = timerValues.getCurrentWatermarkInMs()
         for part in rows:
             part = part[part["frame_idx"].notna() & (part["ms"] >= passed)]  # a row without a frame only moves the watermark
-            for ms, index, gray in zip(part["ms"], part["frame_idx"], part["gray"]):
-                self.waiting.updateValue((int(ms), int(index)), ([int(x) for x in gray],))
+            if len(part):
+                ms, index = part["ms"].to_numpy(dtype=np.int64), part["frame_idx"].to_numpy(dtype=np.int64)
+                self.put(ms, index, [[int(x) for x in g] for g in part["gray"]])
         self.wait(passed)
         return iter([])
 
+    def put(self, ms: np.ndarray, index: np.ndarray, gray: list) -> None:
+        """Frames wait in runs of consecutive ones, a state's value each, under the first one's time and index."""
+        order = np.lexsort((index, ms))
+        for at in range(0, len(order), RUN):
+            own = order[at : at + RUN]
+            key = (int(ms[own[0]]), int(index[own[0]]))
+            old = self.waiting.getValue(key) if self.waiting.containsKey(key) else ([], [], [])
+            self.waiting.updateValue(key, ([*old[0], *ms[own].tolist()], [*old[1], *index[own].tolist()], [*old[2], *(gray[i] for i in own)]))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         passed = timerValues.getCurrentWatermarkInMs()
-        ready = sorted(k for k in self.waiting.keys() if k[0] < passed)
-        if ready:
-            ready.sort(key=lambda k: k[1])
-            gray = np.array([self.waiting.getValue(k)[0] for k in ready], dtype=np.int64)
+        frames: dict[tuple[int, int], list] = {}
+        for first in [k for k in self.waiting.keys() if k[0] < passed]:
+            run = self.waiting.getValue(first)
+            self.waiting.removeKey(first)
+            late = [i for i, ms in enumerate(run[0]) if ms >= passed]
+            if late:
+                self.put(np.array([run[0][i] for i in late]), np.array([run[1][i] for i in late]), [run[2][i] for i in late])
+            # a frame that came twice is one
+            frames.update({(i, ms): gray for ms, i, gray in zip(*run) if ms < passed})
+        if frames:
+            ready = sorted(frames)
+            gray = np.array([frames[k] for k in ready], dtype=np.int64)
             last = np.array(self.last.get()[1], dtype=np.int64) if self.last.exists() else None
-            index, reason = chosen(np.array([k[1] for k in ready]), gray, last, *self.rule)
-            self.last.update((max(k[0] for k in ready), gray[-1].tolist()))
-            for k in ready:
-                self.waiting.removeKey(k)
+            index, reason = chosen(np.array([k[0] for k in ready]), gray, last, *self.rule)
+            self.last.update((max(k[1] for k in ready), gray[-1].tolist()))
             if len(index):
                 yield pd.DataFrame(dict(zip(COLUMNS, (np.full(len(index), key[0]), index, reason))))
         self.wait(passed)
