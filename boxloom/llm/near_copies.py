@@ -16,7 +16,10 @@ Pairs are verified in rounds. In each, a node is verified against one other at m
 drawn for each shingle and round) that it meets and isn't linked to, directly or not. Shingles at which all nodes are
 linked are left out, so a large group of near copies shrinks to what is not yet linked, and takes rows in proportion to its
 size. When rounds bring no more links, or after a few, all pairs of different groups that the bounds leave are verified;
-the largest group at a shingle is not paired with itself. So the result is exact.
+the largest group at a shingle is not paired with itself. So the result is exact. These pairs are many and seldom near: before
+their texts are joined, a sketch of 4096 bits, by the same exact bound, takes most of them away.
+
+Disk: a table goes when nothing reads it any more, and the shuffle files of each query go with its end (``tables.shuffles_removed``).
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import shuffles_removed
 from .common import discard, released, written
 from .components import connected_components
 from .simhash import fingerprint_links, folded
@@ -38,6 +42,8 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: One of SAMPLE texts is counted for the frequent shingles; at most FREQUENT of them are kept.
 SAMPLE, FREQUENT = 16, 1 << 16
+#: Bits of the fine sketch.
+FINE = 4096
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -102,6 +108,24 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(joined.mapInArrow(released(measure), "a long, b long, near boolean"))
 
 
+def unlike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) without those whose fine sketches differ in too many bits to be near."""
+
+    def bits(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, FINE // 64)
+
+    def measure(batches):
+        for batch in batches:
+            apart = np.bitwise_count(bits(batch.column(4)) ^ bits(batch.column(5))).sum(axis=1, dtype=np.int64)
+            both = sum(batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(apart * (NUM + DEN) <= both))
+
+    left = texts.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("fine").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fine").alias("right"))
+    joined = written(pairs.distinct()).join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
+    return written(joined.mapInArrow(released(measure), "a long, b long"))
+
+
 def _bounds(a: str, b: str):
     """Whether two sets that meet at their places ``pos`` can be near: by length, and by what follows the place."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -110,9 +134,9 @@ def _bounds(a: str, b: str):
     return (F.greatest(n, m) * NUM <= F.least(n, m) * DEN) & ((before + after) * (NUM + DEN) >= NUM * (n + m))
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
+def sketch(found: np.ndarray, size: int = 512) -> np.ndarray:
     """512 bits, as eight longs: of each bucket of hashes, whether an odd number of shingles falls into it."""
-    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -151,7 +175,14 @@ def near_copy_links(places: DataFrame, comps: DataFrame, first: DataFrame, sketc
     discard(places)
     places = written(split.join(sketches, "node"))
     discard(split)
-    texts = written(texts_of(places.select("node").distinct()))
+
+    def finer(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            fine = pa.array([sketch(s, FINE).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), fine], names=["node", "text", "n", "fine"])
+
+    texts = written(texts_of(places.select("node").distinct()).mapInArrow(released(finer), "node long, text string, n long, fine binary"))
     for r in range(rounds):
         if places.isEmpty():
             return comps
@@ -177,8 +208,9 @@ def near_copy_links(places: DataFrame, comps: DataFrame, first: DataFrame, sketc
         .where(_open("x", "y") & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))))
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     )
-    near = written(verified(rest, texts).where("near").select("a", "b"))
+    rest = unlike(rest, texts)
     discard(places)
+    near = written(verified(rest, texts).where("near").select("a", "b"))
     discard(texts)
     return comps if near.isEmpty() else written(connected_components(first.unionByName(near)))
 
@@ -189,6 +221,13 @@ def near_copy_groups(rows: DataFrame, distance: int = 2, rounds: int = 4) -> Dat
     ``key`` (long) stands for a row, rows of one key must have one text. Texts without words are equal. Nothing is left
     out but pairs under similarity 0.8; sets are compared by 64-bit hashes.
     """
+    with shuffles_removed(rows.sparkSession):
+        members, linked = _linked(rows, distance, rounds)
+    return members.join(linked, "node", "left").select("key", "id", F.coalesce("component", "node").alias("component"))
+
+
+def _linked(rows: DataFrame, distance: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id, node) of all rows, and (node, component) of the nodes that are linked, both stored."""
     spark = rows.sparkSession
     text = rows.select("key", "id", "text")
 
@@ -219,21 +258,26 @@ def near_copy_groups(rows: DataFrame, distance: int = 2, rounds: int = 4) -> Dat
     marked = written(text.mapInArrow(released(mark), f"key long, id long, node long, fp long, n long, prefix array<long>, {longs}"))
     # rows of one node differ in key and id only
     nodes = written(marked.groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", *SKETCH)]))
+    members = written(marked.select("key", "id", "node"))
+    discard(marked)
+    slim = written(nodes.select("node", "key", "fp", *SKETCH))
 
     def texts_of(own: DataFrame) -> DataFrame:
-        reps = nodes.join(own, "node", "left_semi").select("node", "key")
-        return text.join(written(reps), "key").select("node", "text").dropDuplicates(["node"])
+        reps = slim.join(own, "node", "left_semi").select("node", "key")
+        # a node has one key: the rows of a key lie together after the join, and need no second shuffle
+        return text.join(written(reps), "key").select("key", "node", "text").dropDuplicates(["key"]).select("node", "text")
 
     # candidates by SimHash: within a few bits, or with one fingerprint
-    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    fps = written(slim.groupBy("fp").agg(F.min("node").alias("rep")))
     links = fingerprint_links(fps.select("fp"), distance)
     a, b = fps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), fps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-    close = links.join(a, "a").join(b, "b").select("x", "y").union(nodes.join(fps, "fp").where("node <> rep").select("rep", "node"))
+    close = links.join(a, "a").join(b, "b").select("x", "y").union(slim.join(fps, "fp").where("node <> rep").select("rep", "node"))
     # and each node's best meeting with the least node of a shingle of its prefix
     places = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     common = written(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n", "pos")).alias("hub")).where("m > 1").select("shingle", "hub"))
     places = written(places.join(common, "shingle"))
     discard(common)
+    discard(nodes)
     met = places.select("node", "n", "pos", F.col("hub.node").alias("to"), F.struct("hub.*").alias("y"), F.struct("n", "pos").alias("x")).where(F.col("node") != F.col("to"))
     met = met.where(_bounds("x", "y")).groupBy("node", "to").agg(F.count(F.lit(1)).alias("met"))
     best = met.groupBy("node").agg(F.max(F.struct("met", "to")).alias("best")).select(F.col("best.to").alias("x"), F.col("node").alias("y"))
@@ -244,6 +288,4 @@ def near_copy_groups(rows: DataFrame, distance: int = 2, rounds: int = 4) -> Dat
     comps = written(connected_components(first))
     met = written(places.drop("hub"))
     discard(places)
-    linked = near_copy_links(met, comps, first, nodes.select("node", *SKETCH), texts_of, rounds)
-    discard(nodes)
-    return marked.select("key", "id", "node").join(linked, "node", "left").select("key", "id", F.coalesce("component", "node").alias("component"))
+    return members, near_copy_links(met, comps, first, slim.select("node", *SKETCH), texts_of, rounds)
