@@ -90,22 +90,21 @@ def is_near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, near) of each distinct pair (a, b) of nodes, from the texts of both."""
+    """The distinct pairs (a, b) of nodes that are near, from the texts of both, stored."""
 
     def measure(batches):
         sets = lru_cache(64)(shingles)
         for batch in batches:
-            both = [(sets(x.as_py()), sets(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([is_near(x, y) for x, y in both], pa.bool_())],
-                names=["a", "b", "near"],
-            )
+            near = [is_near(sets(x.as_py()), sets(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     pairs = written(pairs.distinct())
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return written(joined.mapInArrow(released(measure), "a long, b long, near boolean"))
+    out = written(joined.mapInArrow(released(measure), "a long, b long"))
+    discard(pairs)
+    return out
 
 
 def unlike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -122,8 +121,11 @@ def unlike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("fine").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fine").alias("right"))
-    joined = written(pairs.distinct()).join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
-    return written(joined.mapInArrow(released(measure), "a long, b long"))
+    pairs = written(pairs.distinct())
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
+    out = written(joined.mapInArrow(released(measure), "a long, b long"))
+    discard(pairs)
+    return out
 
 
 def _bounds(a: str, b: str):
@@ -164,9 +166,17 @@ def _split(places: DataFrame) -> DataFrame:
     return out
 
 
-def near_copy_links(places: DataFrame, comps: DataFrame, first: DataFrame, sketches: DataFrame, texts_of, rounds: int = 4) -> DataFrame:
-    """(node, component) of all links, from places (shingle, node, n, pos), the components that the first links (a, b) give,
-    the sketch of each node, and ``texts_of``, which gives the (node, text) of a table of nodes."""
+def _joined(comps: DataFrame, near: DataFrame) -> DataFrame:
+    """The stored components with more links (a, b); both tables go."""
+    out = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(near))
+    discard(comps)
+    discard(near)
+    return out
+
+
+def near_copy_links(places: DataFrame, comps: DataFrame, sketches: DataFrame, texts_of, rounds: int = 4) -> DataFrame:
+    """(node, component) of all links, from places (shingle, node, n, pos), the components that the first links give, the
+    sketch of each node, and ``texts_of``, which gives the (node, text) of a table of nodes."""
 
     def grouped(own: DataFrame) -> DataFrame:
         return own.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
@@ -185,34 +195,37 @@ def near_copy_links(places: DataFrame, comps: DataFrame, first: DataFrame, sketc
     texts = written(texts_of(places.select("node").distinct()).mapInArrow(released(finer), "node long, text string, n long, fine binary"))
     for r in range(rounds):
         if places.isEmpty():
+            discard(texts)
             return comps
         drawn = places.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", "shingle", F.lit(r)).alias("lot"), "node", "n", "pos", "comp", *SKETCH)).alias("hub"))
         hubs = written(drawn.select("shingle", "hub.*").drop("lot"))
         met = places.alias("x").join(hubs.alias("y"), "shingle").where(_open("x", "y"))
         best = met.groupBy(F.col("x.node").alias("node")).agg(F.min(F.struct(_apart("x", "y").alias("bits"), F.col("y.node").alias("to"))).alias("best"))
         pairs = best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b"))
-        near = written(verified(pairs, texts).where("near").select("a", "b"))
+        near = verified(pairs, texts)
         discard(hubs)
         if near.isEmpty():
             break
-        first = first.unionByName(near)
-        comps = written(connected_components(first))
+        comps = _joined(comps, near)
         split = _split(grouped(places))
         discard(places)
         places = split
     # what is left: each node outside of the largest group at a shingle, with all others there
     sizes = places.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
-    topped = places.join(written(sizes), "shingle")
+    sizes = written(sizes)
+    topped = places.join(sizes, "shingle")
     rest = (
         topped.where("comp <> top").alias("x").join(topped.alias("y"), "shingle")
         .where(_open("x", "y") & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))))
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     )
     rest = unlike(rest, texts)
+    discard(sizes)
     discard(places)
-    near = written(verified(rest, texts).where("near").select("a", "b"))
+    near = verified(rest, texts)
+    discard(rest)
     discard(texts)
-    return comps if near.isEmpty() else written(connected_components(first.unionByName(near)))
+    return comps if near.isEmpty() else _joined(comps, near)
 
 
 def near_copy_groups(rows: DataFrame, distance: int = 2, rounds: int = 4) -> DataFrame:
@@ -283,9 +296,11 @@ def _linked(rows: DataFrame, distance: int, rounds: int) -> tuple[DataFrame, Dat
     best = met.groupBy("node").agg(F.max(F.struct("met", "to")).alias("best")).select(F.col("best.to").alias("x"), F.col("node").alias("y"))
     close = written(close.union(best).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     texts = written(texts_of(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()))
-    first = verified(close, texts).where("near").select("a", "b")
-    discard(texts)
-    comps = written(connected_components(first))
+    first = verified(close, texts)
+    for table in (texts, close, fps):
+        discard(table)
+    comps = connected_components(first)
+    discard(first)
     met = written(places.drop("hub"))
     discard(places)
-    return members, near_copy_links(met, comps, first, slim.select("node", *SKETCH), texts_of, rounds)
+    return members, near_copy_links(met, comps, slim.select("node", *SKETCH), texts_of, rounds)
