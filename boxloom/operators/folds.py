@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 
 CORNERS = ("x1", "y1", "x2", "y2")
 ROWS = 20_000  # that are folded together
+FINE = 4  # times as many tasks, where a task sorts more than once: sorts that fit into memory leave nothing on disk
 
 
 def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
@@ -47,9 +48,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         yield table, group_starts(table, keys)
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows by hash of the keys, in as many tasks as a shuffle has: small rows may be much work."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def dealt(rows: DataFrame, *keys: Column | str, times: int = 1) -> DataFrame:
+    """The rows by hash of the keys, in as many tasks as a shuffle has, or so many times as many: small rows may be much work."""
+    return rows.repartition(times * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], fold: Callable, schema: str) -> DataFrame:
@@ -69,6 +70,11 @@ def doubles(table: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarr
     return np.array([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]), lack
 
 
+def nullable(table: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of numbers for each name, and a row that says which are missing."""
+    return doubles(table, names)[0], np.array([table[n].combine_chunks().is_null().to_numpy(zero_copy_only=False) for n in names])
+
+
 def area(b: np.ndarray) -> np.ndarray:
     return (b[2] - b[0]) * (b[3] - b[1])
 
@@ -93,6 +99,19 @@ def iou(a: np.ndarray, b: np.ndarray, lack: np.ndarray) -> np.ndarray:
     return ratio(inter, area(a) + area(b) - inter, lack)
 
 
+def overlap_ratio(a: np.ndarray, a_none: np.ndarray, b: np.ndarray, b_none: np.ndarray) -> np.ndarray:
+    """Intersection over the smaller area. As in SQL the least and the greatest pass over what is missing."""
+
+    def side(low: int, high: int) -> np.ndarray:
+        start = np.maximum(np.where(a_none[low], -np.inf, a[low]), np.where(b_none[low], -np.inf, b[low]))
+        none = (a_none[low] & b_none[low]) | (a_none[high] & b_none[high])
+        return np.where(none, 0.0, np.maximum(0.0, np.fmin(a[high], b[high]) - start))
+
+    lack = [x.any(axis=0) for x in (a_none, b_none)]
+    least = np.fmin(*[np.where(none, np.nan, area(x)) for none, x in zip(lack, (a, b))])
+    return ratio(side(0, 2) * side(1, 3), least, lack[0] & lack[1])
+
+
 def numbered(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The size of each group; the group and the place there of each row."""
     sizes = np.diff(np.append(starts, n))

@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..tables import computed
 
 CATEGORIES = ("Car", "Pedestrian", "Tree", "Pothole", "Street sign")
@@ -75,18 +76,26 @@ def oracle(select: str, *ctes: str) -> str:
 
 
 class Tables:
-    """The derived tables of one sf_dir, built on first use."""
+    """The derived tables of one sf_dir, built on first use. ``dealt_by_image``: boxes and detections of an image lie in one
+    partition, at the price of the one shuffle that numbers the boxes."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, dealt_by_image: bool = False):
+        self.spark, self.sf_dir, self.dealt_by_image = spark, sf_dir, dealt_by_image
+
+    @cached_property
+    def by_image(self) -> Tables:
+        return Tables(self.spark, self.sf_dir, True)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def boxes(self) -> DataFrame:
-        w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-        li = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").withColumn("rn", F.row_number().over(w))
+        li, keys = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"), ["l_orderkey", "l_linenumber"]
+        if self.dealt_by_image:
+            image = F.expr("l_orderkey div 4")
+            li, keys = folds.dealt(li, image, times=folds.FINE), [image, *keys]
+        li = li.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")))
         return li.selectExpr(
             "l_orderkey*1000 + l_linenumber*100 + rn AS box_id", "l_orderkey div 4 AS image_id",
             "CAST((l_partkey*37 + l_orderkey*11) % 440 AS DOUBLE) AS x1",

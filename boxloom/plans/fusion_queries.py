@@ -93,7 +93,7 @@ FROM mg f LEFT JOIN hit h ON f.det_id = h.det_id LEFT JOIN det v ON v.det_id = h
     nms_sql("n", "det", "image_id, category_id"), "kept AS (SELECT image_id, category_id, unnest(k) FROM n)", merge_sql("mg", "kept"),
     f"hit AS (SELECT a.det_id, min(b.det_id) AS v_id FROM mg a JOIN det b ON a.image_id = b.image_id AND b.source = 'vlm' AND ({s.iou('a', 'b')} > 0.3 OR {s.overlap('a', 'b')} > 0.5) GROUP BY 1)"))
 def fuse_hybrid(t):
-    return fu.fuse_hybrid(t.det.where("source <> 'vlm'"), t.det.where("source = 'vlm'"))
+    return fu.fuse_marked(t.by_image.det.withColumn("by_model", F.col("source") == "vlm"))
 
 
 @query("fuse_sequential", oracle("""
